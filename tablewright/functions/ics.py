@@ -12,7 +12,7 @@ from .times import local_to_utc
 _JS = BLANK_CLASS["js"]
 _PY = BLANK_CLASS["python"]
 _BLOCK = r"(?s)BEGIN:VEVENT(.*?)END:VEVENT"
-_STAMP = r"^(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})(Z)?)?\z"
+_STAMP = r"^\d{8}(?:T\d{6}Z?)?\z"
 
 
 def ics_unfold(text: Column | str) -> Column:
@@ -44,7 +44,9 @@ def ics_blocks(text: Column | str, dialect: str = "strict") -> Column:
 def ics_field(block: Column | str, name: str, dialect: str = "strict") -> Column:
     """Value of a field. Strict: line-anchored, null when absent. Lenient: anywhere, else ''."""
     if dialect == "strict":
-        pattern = rf"(?:^|[{EOL_CLASS}]){name}(?:;[^:\r\n]*)*:([^{EOL_CLASS}]*)"
+        # The name comes first and its line start is looked back for, so that blocks are
+        # searched for a literal.
+        pattern = rf"{name}(?<=^{name}|[{EOL_CLASS}]{name})(?:;[^:\r\n]*)*:([^{EOL_CLASS}]*)"
         found = F.get(F.regexp_extract_all(col(block), F.lit(pattern), F.lit(1)), 0)
         return trim_ws(found)
     return trim_ws(F.regexp_extract(col(block), rf"{name}(?:;[^:]*)*:([^\n]*)", 1), "python")
@@ -52,7 +54,7 @@ def ics_field(block: Column | str, name: str, dialect: str = "strict") -> Column
 
 def _dots(blank: str, count: int, more: str = "") -> str:
     # A run of blanks is entered only at its start, which keeps long blank runs linear.
-    lead = rf"(?:(?<![{blank}])[{blank}]++)?"
+    lead = rf"(?:(?=[{blank}])(?<![{blank}])[{blank}]++)?"
     return lead + rf"\.[{blank}]*+" * count + more
 
 
@@ -96,15 +98,28 @@ def parse_ics_ts(raw: Column | str, dialect: str = "strict", zone: str = ZONE) -
             F.regexp_extract(raw, r"^\d{8}T\d{6}Z\z", 0), F.lit("yyyyMMdd'T'HHmmss'Z'")
         )
 
-    def part(index: int) -> Column:
-        return F.coalesce(F.regexp_extract(raw, _STAMP, index).try_cast("long"), F.lit(0))
+    return ics_instant(ics_wall(raw), raw, zone)
 
-    year = F.when(part(1) < 100, part(1) + 1900).otherwise(part(1)).cast("int")
-    month_start = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), (part(2) - 1).cast("int"))
-    days = F.unix_date(month_start).cast("long") + part(3) - 1
-    wall = F.timestamp_seconds(days * 86400 + part(4) * 3600 + part(5) * 60 + part(6))
-    instant = F.when(F.endswith(raw, F.lit("Z")), wall).otherwise(local_to_utc(wall, zone))
-    return F.when(raw.rlike(_STAMP), instant)
+
+def ics_instant(wall: Column | str, raw: Column | str, zone: str = ZONE) -> Column:
+    """Instant of a clock reading whose text ``raw`` ends in ``Z`` or is local."""
+    wall = col(wall)
+    return F.when(F.endswith(col(raw), F.lit("Z")), wall).otherwise(local_to_utc(wall, zone))
+
+
+def ics_wall(raw: Column | str) -> Column:
+    """Clock reading of a strict date or date-time, zone mark ignored; null when unreadable."""
+    raw = col(raw)
+
+    def part(start: int, length: int) -> Column:
+        return F.coalesce(F.substring(raw, start, length).try_cast("int"), F.lit(0))
+
+    # Two-digit years count from 1900.
+    year = F.when(part(1, 4) < 100, part(1, 4) + 1900).otherwise(part(1, 4))
+    month_start = F.add_months(F.make_date(year, F.lit(1), F.lit(1)), part(5, 2) - 1)
+    days = F.unix_date(month_start).cast("long") + part(7, 2) - 1
+    seconds = days * 86400 + part(10, 2) * 3600 + part(12, 2) * 60 + part(14, 2)
+    return F.when(raw.rlike(_STAMP), F.timestamp_seconds(seconds))
 
 
 def format_event_ts(raw: Column | str) -> Column:

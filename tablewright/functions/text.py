@@ -11,10 +11,11 @@ def col(value: Column | str) -> Column:
 
 
 # The blanks stripped by JavaScript and by Python differ in a few characters.
-_SHARED = [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_CODES = {"js": [*_SHARED, 0xFEFF], "python": [*_SHARED, *range(0x1C, 0x20), 0x85]}
-BLANKS = {flavour: "".join(map(chr, codes)) for flavour, codes in _CODES.items()}
-BLANK_CLASS = {flavour: "".join(rf"\x{{{code:X}}}" for code in codes) for flavour, codes in _CODES.items()}
+_SHARED = [(0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029)]
+_SHARED += [(0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+_SPANS = {"js": [*_SHARED, (0xFEFF, 0xFEFF)], "python": [*_SHARED, (0x1C, 0x1F), (0x85, 0x85)]}
+BLANKS = {f: "".join(chr(c) for a, b in spans for c in range(a, b + 1)) for f, spans in _SPANS.items()}
+BLANK_CLASS = {f: "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) for f, spans in _SPANS.items()}
 # JavaScript's line ends.
 EOL_CLASS = r"\n\r\x{2028}\x{2029}"
 

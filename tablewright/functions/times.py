@@ -21,10 +21,12 @@ def local_to_utc(wall: Column | str, zone: str = ZONE, rule: str = "two_pass") -
     if rule == "native":
         return F.to_utc_timestamp(wall, zone)
 
-    def earlier(seconds: Column) -> Column:
-        return F.timestamp_micros(F.unix_micros(wall) - seconds * 1_000_000)
-
-    return earlier(tz_offset(earlier(tz_offset(wall, zone)), zone))
+    # With w the wall clock read as UTC and f(x) the local clock at x, the first guess is
+    # w - (f(w) - w) and the result w minus the offset at that guess.
+    micros = F.unix_micros(wall)
+    guess = micros * 2 - F.unix_micros(F.from_utc_timestamp(wall, zone))
+    there = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(guess), zone))
+    return F.timestamp_micros(micros + guess - there)
 
 
 def local_date_key(instant: Column | str, zone: str = ZONE) -> Column:

@@ -14,7 +14,9 @@ from ..functions.ics import (
     format_event_ts,
     ics_blocks,
     ics_field,
+    ics_instant,
     ics_unescape,
+    ics_wall,
     parse_ics_ts,
     rsvp_url,
 )
@@ -34,17 +36,22 @@ def raw_fields(blocks: DataFrame, keep: Sequence[str], dialect: str = "strict")
     def field(name: str) -> Column:
         return F.coalesce(ics_field("block", name, dialect), F.lit(""))
 
-    return blocks.select(
-        *keep,
-        "ord",
-        field("UID").alias("uid"),
-        field("SUMMARY").alias("summary"),
-        field("DESCRIPTION").alias("raw_description"),
-        field("LOCATION").alias("raw_location"),
-        field("URL").alias("url"),
-        field("DTSTART").alias("start_raw"),
-        field("DTEND").alias("end_raw"),
-    )
+    names = {
+        "uid": "UID",
+        "summary": "SUMMARY",
+        "raw_description": "DESCRIPTION",
+        "raw_location": "LOCATION",
+        "url": "URL",
+        "start_raw": "DTSTART",
+        "end_raw": "DTEND",
+    }
+    return blocks.select(*keep, "ord", _once(**{out: field(name) for out, name in names.items()}))
+
+
+def _once(**columns: Column) -> Column:
+    """Columns of a one-row generator: later filters on them are not pushed into the patterns
+    behind them, which would match every pattern once more per use."""
+    return F.inline(F.array(F.struct(*[value.alias(name) for name, value in columns.items()])))
 
 
 def event_projection(
@@ -55,10 +62,8 @@ def event_projection(
     rsvp_pattern: str = RSVP_PATTERN,
 ) -> DataFrame:
     """Typed events; the end defaults to the start. Nothing is dropped here."""
-    start = parse_ics_ts("start_raw", dialect, zone)
-    end = parse_ics_ts("end_raw", dialect, zone)
     plain = ics_unescape if dialect == "strict" else col
-    return fields.select(
+    projected = fields.select(
         *keep,
         "ord",
         event_id("uid", "start_raw", "summary").alias("id"),
@@ -66,16 +71,26 @@ def event_projection(
         clean_description("raw_description", dialect).alias("description"),
         plain("raw_location").alias("location"),
         rsvp_url("raw_description", "url", rsvp_pattern).alias("rsvp_url"),
-        start.alias("start"),
-        F.coalesce(end, start).alias("end"),
         "summary",
         "start_raw",
         "end_raw",
     )
+    if dialect == "strict":
+        walls = projected.select("*", _once(_start=ics_wall("start_raw"), _end=ics_wall("end_raw")))
+        start, end = ics_instant("_start", "start_raw", zone), ics_instant("_end", "end_raw", zone)
+    else:
+        walls = projected
+        start, end = parse_ics_ts("start_raw", dialect), parse_ics_ts("end_raw", dialect)
+    typed = walls.select(*projected.columns, _once(start=start, end=end))
+    return typed.withColumn("end", F.coalesce("end", "start"))
+
+
+def is_valid_event() -> Column:
+    return F.col("start").isNotNull() & (F.col("summary") != "")
 
 
 def valid_events(events: DataFrame) -> DataFrame:
-    return events.where("start IS NOT NULL AND summary <> ''")
+    return events.where(is_valid_event())
 
 
 def parse_events(

@@ -271,9 +271,9 @@ def event_report_rows(t: Tables):
 def ics_block_counts(t: Tables):
     fields = C.raw_fields(C.event_blocks(_ics_texts(t), ["calendar_id"]), ["calendar_id"])
     events = C.event_projection(fields, ["calendar_id"])
-    valid = C.valid_events(events.withColumn("valid", F.lit(1))).groupBy("calendar_id").agg(F.count("*").alias("n_valid"))
-    counts = events.groupBy("calendar_id").agg(F.count("*").alias("n_blocks"))
-    return counts.join(valid, ["calendar_id"])
+    return events.groupBy("calendar_id").agg(
+        F.count("*").alias("n_blocks"), F.count_if(C.is_valid_event()).alias("n_valid")
+    )
 
 
 # --- timetable ------------------------------------------------------------------------------
