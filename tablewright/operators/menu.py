@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..fixed_values import FLAG_COLOURS, FLAG_WORD, HOURS_MISSING, NO_ITEMS, UNCATEGORIZED
 from ..functions.hours import fix_hours_separators
 from ..functions.text import col, normalize_key, trim_ws
+from .joins import join_lookup
 from .ordering import carry_forward, dedup_first_seen, last_wins
 
 
@@ -49,7 +50,7 @@ def any_meals(items: DataFrame, keys: Sequence[str] = ("restaurant",), meal: str
 def nonempty_restaurants(items: DataFrame, keys: Sequence[str] = ("restaurant",), meal: str = "meal") -> DataFrame:
     """Rows, empty categories included, of restaurants with at least one meal."""
     kept = any_meals(items, keys, meal).where("has_meals").select(*keys)
-    return items.join(kept, list(keys), "left_semi")
+    return join_lookup(items, kept, keys, "left_semi")
 
 
 # --- rows of menu pages -------------------------------------------------------------------
@@ -83,7 +84,7 @@ def merge_menus(items: DataFrame, keys: Sequence[str] = ("restaurant", "category
     Rows stay as they are; ``category_ord`` becomes the first ordinal of the merged category.
     """
     first = items.groupBy(*keys).agg(F.min(order).alias("category_ord"))
-    return items.drop("category_ord").join(first, list(keys))
+    return join_lookup(items.drop("category_ord"), first, keys, "inner")
 
 
 def distinct_meals(items: DataFrame, keys: Sequence[str] = ("restaurant", "category", "meal"), order: str = "item_ord") -> DataFrame:
@@ -95,6 +96,7 @@ def distinct_meals(items: DataFrame, keys: Sequence[str] = ("restaurant", "categ
 def crosswalk_names(rows: DataFrame, crosswalk: DataFrame, name: str, out: str) -> DataFrame:
     """Map a name through the crosswalk; an unmapped name stays as it is."""
     pairs = crosswalk.select(F.col("source_name").alias("_source"), F.col("target_name").alias("_target"))
+    # The name map is a local table, whose size Spark knows when it plans the join.
     joined = rows.join(pairs, F.col(name) == F.col("_source"), "left")
     return joined.withColumn(out, F.coalesce("_target", name)).drop("_source", "_target")
 
@@ -106,22 +108,26 @@ def hours_by_name(raw: DataFrame, crosswalk: DataFrame, order: str = "pos") -> D
     return last_wins(fixed, ["restaurant"], F.col(order), ["hours"])
 
 
-def attach_hours(rows: DataFrame, hours: DataFrame, normalize: bool = False, missing: str = HOURS_MISSING) -> DataFrame:
+def attach_hours(
+    rows: DataFrame, hours: DataFrame, normalize: bool = False, missing: str = HOURS_MISSING, measure: bool = True
+) -> DataFrame:
     """Left join on the exact name, or on its normalized key; hours default to ``missing``.
 
-    ``hours`` has one row per name, so the row count of ``rows`` is kept.
+    ``hours`` has one row per name, so the row count of ``rows`` is kept. Without ``measure``
+    the join is left to Spark, for ``rows`` that are few themselves.
     """
     key = normalize_key if normalize else F.col
     side = hours.select(key("restaurant").alias("_name"), F.col("hours").alias("_hours"))
     if normalize:
         side = side.groupBy("_name").agg(F.max("_hours").alias("_hours"))
-    joined = rows.drop("hours").withColumn("_name", key("restaurant")).join(side, ["_name"], "left")
+    named = rows.drop("hours").withColumn("_name", key("restaurant"))
+    joined = join_lookup(named, side, ["_name"]) if measure else named.join(side, ["_name"], "left")
     return joined.withColumn("hours", F.coalesce("_hours", F.lit(missing))).drop("_name", "_hours")
 
 
 # --- nesting and reports ------------------------------------------------------------------
 
-def nest_menu(items: DataFrame, keys: Sequence[str] = ("restaurant",), order: str = "item_ord", block: int = 100_000) -> DataFrame:
+def nest_menu(items: DataFrame, keys: Sequence[str] = ("restaurant",), order: str = "item_ord", block: int = 10_000) -> DataFrame:
     """Nest meals in categories in restaurants, in first-seen order.
 
     ``order`` is unique in a restaurant. A row holds the meals of one block of ordinals, so it
@@ -159,7 +165,7 @@ def menu_report_lines(
     per_restaurant = per_category.groupBy(*scope, "restaurant").agg(
         F.min("category_ord").alias("restaurant_ord"), F.max("_last").alias("_last")
     )
-    titled = per_restaurant if hours is None else attach_hours(per_restaurant, hours)
+    titled = per_restaurant if hours is None else attach_hours(per_restaurant, hours, measure=False)
     title = F.col("restaurant") if hours is None else F.concat_ws(" - ", "restaurant", "hours")
     out = [*scope, "restaurant_ord", "category_ord", "line_ord", "line"]
 
@@ -169,7 +175,8 @@ def menu_report_lines(
     )
     names = per_category.join(per_restaurant.drop("_last"), [*scope, "restaurant"])
     sections = names.withColumns({"line_ord": F.lit(-1).cast("long"), "line": F.format_string("  %s:", "category")})
-    meals = items.drop("category_ord", "restaurant_ord").join(names, [*scope, "restaurant", "category"])
+    plain = items.drop("category_ord", "restaurant_ord")
+    meals = join_lookup(plain, names, [*scope, "restaurant", "category"], "inner")
     lines = meals.withColumns({"line_ord": F.col(order).cast("long"), "line": F.format_string("    - %s", "meal")})
     parts = [part.select(*out) for part in (heads, sections, lines, tails)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lookup_key, normalize_key, split_lookup_key
+from .joins import join_lookup
 
 INFO = ("item", "restaurant", "category", "serving_size", "calories", "facts", "secondary", "ingredients")
 
@@ -53,13 +54,12 @@ def lookup_count(items: DataFrame) -> DataFrame:
 def nutrition_key(items: DataFrame, by_restaurant: DataFrame, by_item: DataFrame) -> DataFrame:
     """Add ``nutrition_key``: restaurant and item, else item alone, else null.
 
-    Both lookups have unique keys. No broadcast is forced: Spark broadcasts a side it has
-    measured to be small and otherwise shuffles, splitting hot keys of the item side.
+    Both lookups have unique keys, so the row count is kept.
     """
     keyed = items.withColumns({"_rest": normalize_key("restaurant"), "_item": normalize_key("meal")})
     own = by_restaurant.select(F.col("rest_key").alias("_rest"), F.col("item_key").alias("_item"), F.lit(True).alias("_own"))
     shared = by_item.select(F.col("item_key").alias("_item"), F.lit(True).alias("_shared"))
-    joined = keyed.join(own, ["_rest", "_item"], "left").join(shared, ["_item"], "left")
+    joined = join_lookup(join_lookup(keyed, own, ["_rest", "_item"]), shared, ["_item"])
     key = F.when(F.col("_own"), lookup_key("_item", "_rest")).when(F.col("_shared"), lookup_key("_item"))
     return joined.select(*items.columns, key.alias("nutrition_key"))
 
@@ -80,7 +80,7 @@ def nutrition_by_key(keys: DataFrame, by_restaurant: DataFrame, by_item: DataFra
 
 def item_info(items: DataFrame, info_by_key: DataFrame) -> DataFrame:
     """Menu items with the facts of their key, null without one."""
-    return items.join(info_by_key, ["nutrition_key"], "left")
+    return join_lookup(items, info_by_key, ["nutrition_key"])
 
 
 def secondary_not_in_main(secondary: DataFrame, main: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -88,7 +88,7 @@ def secondary_not_in_main(secondary: DataFrame, main: DataFrame, keys: Sequence[
 
     The main side is reduced to distinct keys first, so a hot key costs one row there.
     """
-    return secondary.join(main.select(*keys).distinct(), list(keys), "left_anti")
+    return join_lookup(secondary, main.select(*keys).distinct(), keys, "left_anti")
 
 
 def fact_rows(items: DataFrame, keep: Sequence[str], facts: Column | str = "facts") -> DataFrame:

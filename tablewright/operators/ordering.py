@@ -70,12 +70,14 @@ def carry_forward(
 
     joined = local.join(carried, keys)
     out = joined.withColumns({m: F.coalesce(m, f"{m}_in") for m in marks})
-    values, outer = {}, None
+    values, outer = {}, []
     for mark, (name, _, _) in zip(marks, headers):
-        live = F.lit(True) if outer is None else F.col(f"{outer}.at") < F.col(f"{mark}.at")
+        at = F.col(f"{mark}.at")
+        started = F.greatest(*outer) if len(outer) > 1 else outer[0] if outer else F.lit(None)
+        live = F.coalesce(started < at, F.lit(True))
         values[name] = F.when(live, F.col(f"{mark}.value"))
-        values[f"{name}_pos"] = F.when(live, F.col(f"{mark}.at"))
-        outer = mark
+        values[f"{name}_pos"] = F.when(live, at)
+        outer.append(at)
     return out.select(*rows.columns, *[v.alias(n) for n, v in values.items()])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.hours import is_open, now_minutes_local, parse_hours
 from ..functions.text import contains_ci
 from ..fixed_values import ZONE
+from .joins import join_lookup
 
 
 def filter_restaurant(items: DataFrame, restaurant: str | None) -> DataFrame:
@@ -29,7 +30,7 @@ def open_at_join(visits: DataFrame, hours: DataFrame, key: str, instant: str, zo
     range pairs are produced and no visit is multiplied.
     """
     ranges = hours.select(F.col("restaurant").alias(key), parse_hours("hours").alias("_ranges"))
-    joined = visits.join(ranges, [key], "left")
+    joined = join_lookup(visits, ranges, [key])
     opened = is_open("_ranges", now_minutes_local(instant, zone))
     return joined.withColumn("is_open", opened).drop("_ranges")
 

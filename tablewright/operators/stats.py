@@ -42,7 +42,7 @@ def restaurant_index(
     )
     named = totals.withColumn("safe_name", slugify("restaurant"))
     named = named.withColumn("filename", F.concat("safe_name", F.lit(".json")))
-    return named if hours is None else attach_hours(named, hours)
+    return named if hours is None else attach_hours(named, hours, measure=False)
 
 
 def index_totals(index: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..fixed_values import SLOT_MINUTES, SLOTS, SUNRISE, ZONE
 from ..functions.ics import ics_escape, ics_utc, slot_uid
 from ..functions.text import col
 from ..functions.times import clean_time, hijri_label, local_date_key, next_month, slot_to_utc, to_12h, valid_hhmm
+from .joins import join_lookup
 
 
 def timetable_day(days: DataFrame, keep: Sequence[str] = (), slots: Sequence[str] = SLOTS, sunrise: str = SUNRISE) -> DataFrame:
@@ -82,7 +83,7 @@ def next_slot(instants: DataFrame, instant: str, slots: DataFrame, zone: str = Z
     entry = F.struct("slot_ord", "slot", "kind", "utc_ts")
     per_day = one.groupBy("date").agg(F.array_sort(F.collect_list(entry)).alias("_slots"))
     per_day = per_day.select(F.date_format("date", "yyyy-MM-dd").alias("_day"), "_slots")
-    joined = instants.withColumn("_day", local_date_key(instant, zone)).join(per_day, ["_day"], "left")
+    joined = join_lookup(instants.withColumn("_day", local_date_key(instant, zone)), per_day, ["_day"])
     wait = F.make_dt_interval(mins=F.lit(minutes))
     later = F.filter("_slots", lambda s: (s["kind"] == "prayer") & (s["utc_ts"] + wait > F.col(instant)))
     found = F.get(later, 0)

@@ -401,7 +401,7 @@ def fact_rows(t: Tables):
 
 
 @query("""SELECT conv_id, turn, md5(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER w) AS heading,
-       CASE WHEN reply_at > head_at THEN md5(reply) END AS subheading
+       CASE WHEN head_at IS NULL OR reply_at > head_at THEN md5(reply) END AS subheading
 FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER w AS head_at,
              last_value(CASE WHEN role = 'assistant' THEN turn END IGNORE NULLS) OVER w AS reply_at,
              last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER w AS reply
@@ -451,7 +451,7 @@ def merge_menus(t: Tables):
 
 
 @query(f"""WITH {MENU}, placed AS (
-  SELECT *, item_ord // 100000 AS part, min(item_ord) OVER (PARTITION BY restaurant, item_ord // 100000, category) AS cat_first FROM menu)
+  SELECT *, item_ord // 10000 AS part, min(item_ord) OVER (PARTITION BY restaurant, item_ord // 10000, category) AS cat_first FROM menu)
 SELECT restaurant, part, dense_rank() OVER (PARTITION BY restaurant, part ORDER BY cat_first) - 1 AS category_ord, category,
        row_number() OVER (PARTITION BY restaurant, part, category ORDER BY item_ord) - 1 AS item_ord, meal, is_halal
 FROM placed""")

@@ -12,7 +12,7 @@ from ..operators.menu import LINE_ORDER, nest_menu
 from ..operators.stats import summary_stats, top10_categories, top10_halal, top10_items
 
 
-def write_menu_json(items: DataFrame, path: str, timestamp: Column, keys: Sequence[str] = ("restaurant", "hours"), block: int = 100_000) -> None:
+def write_menu_json(items: DataFrame, path: str, timestamp: Column, keys: Sequence[str] = ("restaurant", "hours"), block: int = 10_000) -> None:
     """Nested restaurant documents (``name, hours, categories``), one JSON line each."""
     nested = nest_menu(items, keys, block=block).withColumnRenamed("restaurant", "name")
     hours = F.coalesce("hours", F.lit(HOURS_MISSING)) if "hours" in keys else F.lit(HOURS_MISSING)
@@ -20,7 +20,7 @@ def write_menu_json(items: DataFrame, path: str, timestamp: Column, keys: Sequen
     documents.orderBy("first_ord").drop("first_ord").write.mode("overwrite").json(path)
 
 
-def write_restaurant_parts(items: DataFrame, index: DataFrame, path: str, created_at: Column, block: int = 100_000) -> None:
+def write_restaurant_parts(items: DataFrame, index: DataFrame, path: str, created_at: Column, block: int = 10_000) -> None:
     """Documents per restaurant under ``safe_name=...`` folders, with totals from the index.
 
     Of several names with one slug the last in index order is kept.
