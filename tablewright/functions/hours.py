@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import ZONE
-from .text import BLANK_CLASS, col, trim_ws
+from .text import BLANK, col, trim_ws
 
-_JS = BLANK_CLASS["js"]
-_CLOCK = rf"^(\d{{1,2}})(?::(\d{{2}}))?[{_JS}]*(am|pm)\z"
+_JS = BLANK["js"]
+_CLOCK = rf"^(\d{{1,2}})(?::(\d{{2}}))?{_JS}*(am|pm)\z"
 
 
 def fix_hours_separators(raw: Column | str) -> Column:
@@ -41,7 +41,7 @@ def parse_hours(hours: Column | str) -> Column:
     hours = col(hours)
 
     def one(part: Column) -> Column:
-        ends = F.split(part, rf"[{_JS}]*[-–][{_JS}]*")
+        ends = F.split(part, rf"{_JS}*[-–]{_JS}*")
         return F.struct(
             parse_time_minutes(F.get(ends, 0)).alias("start_min"),
             parse_time_minutes(F.get(ends, 1), is_end=True).alias("end_min"),

@@ -6,11 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import RSVP_PATTERN, ZONE
-from .text import BLANK_CLASS, EOL_CLASS, col, trim_ws
+from .text import BLANK, EOL_CLASS, col, trim_ws
 from .times import local_to_utc
 
-_JS = BLANK_CLASS["js"]
-_PY = BLANK_CLASS["python"]
+_JS = BLANK["js"]
+_PY = BLANK["python"]
 _BLOCK = r"(?s)BEGIN:VEVENT(.*?)END:VEVENT"
 _STAMP = r"^\d{8}(?:T\d{6}Z?)?\z"
 
@@ -54,8 +54,8 @@ def ics_field(block: Column | str, name: str, dialect: str = "strict") -> Column
 
 def _dots(blank: str, count: int, more: str = "") -> str:
     # A run of blanks is entered only at its start, which keeps long blank runs linear.
-    lead = rf"(?:(?=[{blank}])(?<![{blank}])[{blank}]++)?"
-    return lead + rf"\.[{blank}]*+" * count + more
+    lead = rf"(?:(?={blank})(?<!{blank}){blank}++)?"
+    return lead + rf"\.{blank}*+" * count + more
 
 
 def clean_description(raw: Column | str, dialect: str = "strict") -> Column:
@@ -63,7 +63,7 @@ def clean_description(raw: Column | str, dialect: str = "strict") -> Column:
     text = F.substring_index(col(raw), "---", 1)
     if dialect == "strict":
         text = ics_unescape(text)
-        text = F.regexp_replace(text, _dots(_JS, 2, rf"(?:\.[{_JS}]*+)?+"), "\n\n")
+        text = F.regexp_replace(text, _dots(_JS, 2, rf"(?:\.{_JS}*+)?+"), "\n\n")
         text = F.regexp_replace(text, r"\n{3,}", "\n\n")
         return trim_ws(text)
     text = F.replace(text, F.lit(r"\n"), F.lit("\n"))

@@ -6,32 +6,45 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..fixed_values import MAJOR_NUTRIENTS, SERVING_UNITS
-from .text import BLANK_CLASS, col, trim_ws
+from .text import BLANK, col, trim_ws
 
-_PY = BLANK_CLASS["python"]
-_FACT = rf"^([^\n]+?)[{_PY}]+([0-9.]+[a-zA-Z]*|NA)\z"
+_PY = BLANK["python"]
+_FACT = rf"^([^\n]+?){_PY}+([0-9.]+[a-zA-Z]*|NA)\z"
 _SERVINGS = "Servings per container"
 _SIZE = "Serving Size"
 
 
-def parse_nutrient(left: Column | str) -> Column:
-    """``struct<name, amount, unit, matched>`` of a text such as ``Total Fat 25g``.
-
-    ``NA`` gives null amount and unit. A text of another shape becomes the name as it is.
-    """
+def nutrient_parts(left: Column | str) -> Column:
+    """``struct<text, name, quantity>``: the pattern groups, empty for a text of another shape."""
     left = trim_ws(left, "python")
-    quantity = F.regexp_extract(left, _FACT, 2)
+    return F.struct(
+        left.alias("text"),
+        F.regexp_extract(left, _FACT, 1).alias("name"),
+        F.regexp_extract(left, _FACT, 2).alias("quantity"),
+    )
+
+
+def nutrient_of(parts: Column) -> Column:
+    quantity = parts["quantity"]
     matched = quantity != ""
-    amount = F.regexp_extract(quantity, r"^[0-9.]+", 0).try_cast("double")
+    number = F.regexp_extract(quantity, r"^[0-9.]+", 0)
     unit = F.nullif(F.regexp_replace(quantity, r"^[0-9.]+", ""), F.lit(""))
     return F.struct(
-        F.when(matched, trim_ws(F.regexp_extract(left, _FACT, 1), "python")).otherwise(left).alias("name"),
-        amount.alias("amount"),
+        F.when(matched, trim_ws(parts["name"], "python")).otherwise(parts["text"]).alias("name"),
+        number.try_cast("double").alias("amount"),
         F.when(quantity != "NA", unit).alias("unit"),
         matched.alias("matched"),
     )
 
 
+def parse_nutrient(left: Column | str) -> Column:
+    """``struct<name, amount, unit, matched>`` of a text such as ``Total Fat 25g``.
+
+    ``NA`` gives null amount and unit. A text of another shape becomes the name as it is.
+    """
+    return nutrient_of(nutrient_parts(left))
+
+
 def parse_dv(right: Column | str) -> Column:
     return trim_ws(F.replace(col(right), F.lit("%"), F.lit("")), "python").try_cast("double")
 
@@ -48,14 +61,14 @@ def major_nutrient_flag(name: Column | str, names: tuple[str, ...] = MAJOR_NUTRI
 def servings_per_container(text: Column | str) -> Column:
     """Number before the phrase, read from the first line that has the phrase."""
     lines = F.filter(F.split(col(text), "\n"), lambda line: F.contains(line, F.lit(_SERVINGS)))
-    return F.regexp_extract(F.get(lines, 0), rf"(\d+)[{_PY}]*{_SERVINGS}", 1).try_cast("int")
+    return F.regexp_extract(F.get(lines, 0), rf"(\d+){_PY}*{_SERVINGS}", 1).try_cast("int")
 
 
 def serving_size(text: Column | str, units: tuple[str, ...] = SERVING_UNITS) -> Column:
     """The last labelled line wins; without one, the first line that looks like a size."""
     lines = F.split(col(text), "\n")
     labelled = F.flatten(
-        F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(rf"{_SIZE}[{_PY}]*(.+)"), F.lit(1)))
+        F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(rf"{_SIZE}{_PY}*(.+)"), F.lit(1)))
     )
     looks = rf"(?i)\b\d+.*(?:{'|'.join(units)})\b"
     unlabelled = F.filter(

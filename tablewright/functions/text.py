@@ -14,8 +14,22 @@ def col(value: Column | str) -> Column:
 _SHARED = [(0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029)]
 _SHARED += [(0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
 _SPANS = {"js": [*_SHARED, (0xFEFF, 0xFEFF)], "python": [*_SHARED, (0x1C, 0x1F), (0x85, 0x85)]}
+
+
+def _ranges(spans: list[tuple[int, int]]) -> str:
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans)
+
+
+def _blank(spans: list[tuple[int, int]]) -> str:
+    # The wide blanks sit behind one range test, so plain text is matched in two steps.
+    plain, wide = [s for s in spans if s[1] < 0x80], [s for s in spans if s[0] >= 0x80]
+    return rf"[{_ranges(plain)}[\x{{80}}-\x{{FFFF}}&&[{_ranges(wide)}]]]"
+
+
 BLANKS = {f: "".join(chr(c) for a, b in spans for c in range(a, b + 1)) for f, spans in _SPANS.items()}
-BLANK_CLASS = {f: "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans) for f, spans in _SPANS.items()}
+# A whole class, and the inside of one.
+BLANK = {f: _blank(spans) for f, spans in _SPANS.items()}
+BLANK_CLASS = {f: _ranges(spans) for f, spans in _SPANS.items()}
 # JavaScript's line ends.
 EOL_CLASS = r"\n\r\x{2028}\x{2029}"
 
@@ -41,9 +55,10 @@ def normalize_key(value: Column | str) -> Column:
 
 def slugify(value: Column | str) -> Column:
     """File-name form of a name; letters and digits of any script are kept."""
-    blanks = BLANK_CLASS["python"]
-    kept = F.regexp_replace(col(value), rf"[^\p{{L}}\p{{N}}_{blanks}-]", "")
-    joined = F.regexp_replace(kept, rf"[{blanks}-]+", "_")
+    blank = BLANK["python"]
+    odd = rf"[^\p{{L}}\p{{N}}_{BLANK_CLASS['python']}-]+"
+    kept = F.regexp_replace(col(value), odd, "")
+    joined = F.regexp_replace(kept, f"[-{blank}]+", "_")
     return F.lower(F.btrim(joined, F.lit("_")))
 
 

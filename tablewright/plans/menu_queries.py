@@ -568,7 +568,7 @@ SELECT doc_id, pos, CASE WHEN trim(line, ' ' || chr(9)) = '' THEN 'blank' WHEN l
   WHEN regexp_full_match(line, '  [^ \t].*:') THEN 'category' WHEN trim(line, ' ' || chr(9)) LIKE '- %' THEN 'item' ELSE 'other' END AS kind
 FROM lines""")
 def classify_menu_lines(t: Tables):
-    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    rows = t.spread("documents", "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     pos = F.col("n").cast("long")
     kind = (F.col("doc_id") + pos) % 4
     line = (

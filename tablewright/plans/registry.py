@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure
+from ..session import configure, spread
 
 
 class Tables:
@@ -20,6 +20,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for costly work on each row."""
+        return spread(getattr(self, name), key)
+
 
 @dataclass(frozen=True)
 class Query:

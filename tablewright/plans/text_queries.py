@@ -31,39 +31,39 @@ def _digest(value):
 
 @query(f"SELECT doc_id, md5({_sql_normalized('text')}) AS key_md5, length({_sql_normalized('text')}) AS key_length FROM documents")
 def normalize_key(t: Tables):
-    key = t.documents.select("doc_id", text.normalize_key("text").alias("key"))
+    key = t.spread("documents", "doc_id").select("doc_id", text.normalize_key("text").alias("key"))
     return key.select("doc_id", _digest("key").alias("key_md5"), F.length("key").cast("long").alias("key_length"))
 
 
 @query(r"""SELECT doc_id, md5(slug) AS slug_md5 FROM (
   SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s-]+', '_', 'g'), '_')) AS slug FROM documents)""")
 def slugify(t: Tables):
-    return t.documents.select("doc_id", _digest(text.slugify("text")).alias("slug_md5"))
+    return t.spread("documents", "doc_id").select("doc_id", _digest(text.slugify("text")).alias("slug_md5"))
 
 
 @query("SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS js_md5, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS python_md5 FROM documents")
 def trim_ws(t: Tables):
     padded = F.concat(F.lit(" 　 \t"), "text", F.lit(" \n  "))
-    return t.documents.select(
+    return t.spread("documents", "doc_id").select(
         "doc_id", _digest(text.trim_ws(padded)).alias("js_md5"), _digest(text.trim_ws(padded, "python")).alias("python_md5")
     )
 
 
 @query("SELECT doc_id, split_part(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10), 1) AS first FROM documents")
 def first_line(t: Tables):
-    return t.documents.select("doc_id", text.first_line(F.concat(F.lit(" \n"), "text")).alias("first"))
+    return t.spread("documents", "doc_id").select("doc_id", text.first_line(F.concat(F.lit(" \n"), "text")).alias("first"))
 
 
 @query("SELECT doc_id, contains(lower(text), 'the ') AS hit FROM documents")
 def contains_ci(t: Tables):
     # The query is trimmed, so a blank is kept by asking for the word inside other text.
-    return t.documents.select("doc_id", text.contains_ci(F.replace("text", F.lit(" "), F.lit("_")), " THE_ ").alias("hit"))
+    return t.spread("documents", "doc_id").select("doc_id", text.contains_ci(F.replace("text", F.lit(" "), F.lit("_")), " THE_ ").alias("hit"))
 
 
 @query("SELECT doc_id, md5(replace(replace(text, chr(10) || ' ', ''), chr(10) || chr(9), '')) AS text_md5 FROM documents")
 def ics_unfold(t: Tables):
     folded = F.regexp_replace("text", r"([^\n]{60})", "$1\r\n ")
-    return t.documents.select("doc_id", _digest(ics.ics_unfold(folded)).alias("text_md5"))
+    return t.spread("documents", "doc_id").select("doc_id", _digest(ics.ics_unfold(folded)).alias("text_md5"))
 
 
 @query(r"""SELECT doc_id, length(text) + length(text) - length(replace(replace(replace(text, ',', ''), ';', ''), '\', '')) AS escaped_length,
@@ -71,7 +71,7 @@ def ics_unfold(t: Tables):
 def ics_escape_roundtrip(t: Tables):
     escaped = ics.ics_escape("text")
     coded = F.replace("text", F.lit(" "), F.lit(r"\N"))
-    return t.documents.select(
+    return t.spread("documents", "doc_id").select(
         "doc_id",
         F.length(escaped).cast("long").alias("escaped_length"),
         _digest(ics.ics_unescape(escaped)).alias("text_md5"),
@@ -96,12 +96,12 @@ def _sql_cleaned(rule: str) -> str:
 
 @query(f"SELECT doc_id, {_sql_cleaned(_STRICT)} AS text_md5 FROM documents")
 def clean_description(t: Tables):
-    return t.documents.select("doc_id", _digest(ics.clean_description(_dirty())).alias("text_md5"))
+    return t.spread("documents", "doc_id").select("doc_id", _digest(ics.clean_description(_dirty())).alias("text_md5"))
 
 
 @query(f"SELECT doc_id, {_sql_cleaned(_LENIENT)} AS text_md5 FROM documents")
 def clean_description_lenient(t: Tables):
-    return t.documents.select("doc_id", _digest(ics.clean_description(_dirty(), "lenient")).alias("text_md5"))
+    return t.spread("documents", "doc_id").select("doc_id", _digest(ics.clean_description(_dirty(), "lenient")).alias("text_md5"))
 
 
 @query(r"SELECT page_id, coalesce(nullif(regexp_extract(html || CASE WHEN page_id % 3 = 0 THEN ' https://groups.example.org/rsvp?id=' || page_id ELSE '' END, 'https?://[a-zA-Z0-9_.-]+/rsvp\?id=[0-9]+', 0), ''), url) AS rsvp FROM pages")
@@ -299,7 +299,7 @@ def _label_pages(t: Tables):
         F.lit("</td></tr></table>"),
         F.when(_size() % 7 != 0, div("cbo_nn_LabelIngredients", F.concat(F.lit("of "), "p_name"))).otherwise(""),
     )
-    return t.part.select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    return t.spread("part", "p_partkey").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
 
 
 @query(f"""SELECT p_partkey AS page_id, 'fact' AS section, {_FACT}, CASE WHEN p_size % 6 <> 2 THEN {_DAILY} END AS daily_value_percent FROM part WHERE p_size % 6 <> 5

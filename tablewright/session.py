@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Wall clocks are kept as UTC-session timestamps, so the session zone is part of the semantics.
 # The adaptive settings are Spark's defaults, stated because the joins against lookup tables
@@ -40,3 +40,13 @@ def checkpoint_ready(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-checkpoint-"))
+
+
+def spread(table: DataFrame, key: str) -> DataFrame:
+    """Give a stored table of fewer splits than there are cores to all cores.
+
+    For costly per-row work on small inputs. A table with enough splits stays as it is, so a
+    large one is never shuffled for this.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)

@@ -6,15 +6,16 @@ import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hours import fix_hours_separators
-from ..functions.labels import parse_dv, parse_nutrient, serving_size, servings_per_container, skip_include_na
+from ..functions.labels import nutrient_of, nutrient_parts, parse_dv, parse_nutrient, serving_size, servings_per_container, skip_include_na
 from ..functions.text import col, first_line, trim_ws
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_RUN = re.compile(r"[ \t\n\r\f]+")
 _BREAKS = {"br", "div", "p", "li", "tr", "table"}
 
 
@@ -24,6 +25,7 @@ class _Tags(HTMLParser):
     def __init__(self, text: str) -> None:
         super().__init__()
         self.elements: list[dict] = []
+        self.by_class: dict[str, list[dict]] = {}
         self.texts: list[str | None] = []
         self._open: list[int] = []
         self.feed(text)
@@ -40,10 +42,13 @@ class _Tags(HTMLParser):
             self.texts.append(None)
         here, at = len(self.elements), len(self.texts)
         attrs = {k: v or "" for k, v in attrs}
+        classes = attrs.get("class", "").split()
         parent = self._open[-1] if self._open else None
-        self.elements.append(
-            {"tag": tag, "attrs": attrs, "parent": parent, "at": here, "end": here + 1, "text": at, "text_end": at}
-        )
+        element = {"tag": tag, "attrs": attrs, "classes": classes, "parent": parent, "at": here, "end": here + 1}
+        element.update(text=at, text_end=at)
+        self.elements.append(element)
+        for name in dict.fromkeys(classes):
+            self.by_class.setdefault(name, []).append(element)
         if tag not in _VOID:
             self._open.append(here)
 
@@ -73,7 +78,7 @@ class _Tags(HTMLParser):
         if not found:
             return None
         pieces = self.texts[found[0]["text"] : found[0]["text_end"]]
-        return "".join("\n" if p is None else re.sub(r"[ \t\n\r\f]+", " ", p) for p in pieces)
+        return "".join("\n" if p is None else _RUN.sub(" ", p) for p in pieces)
 
     def joined(self, found: list[dict]) -> str | None:
         """Text of the first element with every piece stripped and nothing between pieces."""
@@ -82,8 +87,8 @@ class _Tags(HTMLParser):
         return "".join(p.strip() for p in self.texts[found[0]["text"] : found[0]["text_end"]] if p)
 
 
-def _classed(*names: str) -> Callable[[dict], bool]:
-    return lambda e: any(name in e["attrs"].get("class", "").split() for name in names)
+def _classed(name: str) -> Callable[[dict], bool]:
+    return lambda e: name in e["classes"]
 
 
 def _role(name: str) -> Callable[[dict], bool]:
@@ -119,41 +124,36 @@ _LABEL_PARTS = {
 
 def _label(page: _Tags):
     for part, name in _LABEL_PARTS.items():
-        found = list(filter(_classed(name), page.elements))
+        found = page.by_class.get(name)
         if found:
             yield part, page.shown(found), None, []
-    calories = [
-        size
-        for outer in filter(_classed("cbo_nn_LabelSubHeader"), page.elements)
-        for size in page.under(outer, _classed("font-22"))
-    ]
+    boxes = page.by_class.get("cbo_nn_LabelSubHeader", [])
+    calories = [size for box in boxes for size in page.under(box, _classed("font-22"))]
     if calories:
         yield "calories", page.shown(calories), None, []
-    bordered, plain = _classed("cbo_nn_LabelBorderedSubHeader"), _classed("cbo_nn_LabelNoBorderSubHeader")
-    for row in page.elements:
-        sections = ["fact"] if bordered(row) else []
-        if (bordered(row) or plain(row)) and page.inside(row, _classed("cbo_nn_LabelSecondaryTable")):
-            sections.append("secondary")
-        for section in sections:
-            left = page.under(row, _classed("inline-div-left"))
-            right = page.under(row, _classed("inline-div-right"))
-            yield section, page.shown(left), page.shown(right), []
+    bordered = page.by_class.get("cbo_nn_LabelBorderedSubHeader", [])
+    plain = page.by_class.get("cbo_nn_LabelNoBorderSubHeader", [])
+    tables = page.by_class.get("cbo_nn_LabelSecondaryTable", [])
+    inner = [row for row in bordered + plain if any(t["at"] < row["at"] < t["end"] for t in tables)]
+    left, right = _classed("inline-div-left"), _classed("inline-div-right")
+    for section, rows in (("fact", bordered), ("secondary", sorted(inner, key=lambda row: row["at"]))):
+        for row in rows:
+            yield section, page.shown(page.under(row, left)), page.shown(page.under(row, right)), []
 
 
 _READERS = {"hours": _hours, "menu": _menu, "label": _label}
-_ROWS = "array<struct<kind string, first string, second string, alts array<string>>>"
+_ROW = pa.struct([("kind", pa.string()), ("first", pa.string()), ("second", pa.string()), ("alts", pa.list_(pa.string()))])
 
 
 def _tag_rows(html: Column | str, page: str) -> Column:
     reader = _READERS[page]
 
-    @F.pandas_udf(_ROWS)
-    def rows(pages: pd.Series) -> pd.Series:
-        def one(text):
-            found = reader(_Tags(text or ""))
-            return [{"kind": k, "first": a, "second": b, "alts": alts} for k, a, b, alts in found]
+    @F.arrow_udf("array<struct<kind string, first string, second string, alts array<string>>>")
+    def rows(pages: pa.Array) -> pa.Array:
+        def one(text: pa.Scalar) -> list[dict]:
+            return [dict(zip(("kind", "first", "second", "alts"), row)) for row in reader(_Tags(text.as_py() or ""))]
 
-        return pages.map(one)
+        return pa.array([one(text) for text in pages], pa.list_(_ROW))
 
     return rows(col(html))
 
@@ -246,16 +246,20 @@ def label_from_html(pages: DataFrame, key: str = "page_id", html: str = "html")
             whole = (r["kind"] == section) & r["first"].isNotNull() & r["second"].isNotNull()
             return whole & skip_include_na(r["first"]) if section == "fact" else whole
 
-        def parse(r: Column) -> Column:
-            n = parse_nutrient(r["first"])
-            value = F.struct(
-                n["amount"].alias("amount"),
-                n["unit"].alias("unit"),
-                F.when(n["matched"], parse_dv(r["second"])).alias("daily_value_percent"),
-            )
-            return F.struct(n["name"].alias("name"), value.alias("value"))
+        def split(r: Column) -> Column:
+            return F.struct(nutrient_parts(r["first"]).alias("parts"), r["second"].alias("right"))
+
+        def read(r: Column) -> Column:
+            return F.struct(nutrient_of(r["parts"]).alias("n"), r["right"].alias("right"))
+
+        def value(r: Column) -> Column:
+            n = r["n"]
+            daily = F.when(n["matched"], parse_dv(r["right"])).alias("daily_value_percent")
+            return F.struct(n["name"].alias("name"), F.struct(n["amount"], n["unit"], daily).alias("value"))
 
-        return F.transform(F.filter("_rows", keep), parse)
+        # Three passes, so that each step reads the one before instead of repeating it.
+        found = F.filter("_rows", keep)
+        return F.transform(F.transform(F.transform(found, split), read), value)
 
     parts = rows.select(
         key,

@@ -8,13 +8,13 @@ from pyspark.sql import types as T
 
 from ..fixed_values import HOURS_MISSING, NAME_MISSING
 from ..functions.hours import parse_hours
-from ..functions.text import BLANK_CLASS, category_name, classify_menu_line, col, item_name, split_name_hours
+from ..functions.text import BLANK_CLASS, EOL_CLASS, category_name, classify_menu_line, col, item_name, split_name_hours
 
 _JS = BLANK_CLASS["js"]
 # A section starts at a line that is neither indented nor blank; inside a section a category
 # starts at its header line.
 _SECTION = rf"\n(?=[^ \n][^\n]*)(?=[^\n]*[^{_JS}])"
-_CATEGORY = rf"\n(?=  [^{_JS}][^\n]*:(?:\n|\z))"
+_CATEGORY = rf"\n(?=  [^{_JS}][^{EOL_CLASS}]*:(?:\n|\z))"
 
 FACT = T.StructType(
     [
