@@ -18,6 +18,7 @@ def join_lookup(
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "left",
+    null_safe: bool = False,
     max_rows: int = LOOKUP_ROWS,
     max_bytes: int = LOOKUP_BYTES,
 ) -> DataFrame:
@@ -26,10 +27,15 @@ def join_lookup(
     At most ``max_rows + 1`` lookup rows are materialized and counted. A lookup within both
     limits is broadcast from that copy, so the long side is not shuffled. A larger one is
     joined as it is, by a shuffle in which Spark splits hot keys of the long side.
+    ``null_safe`` lets null keys meet.
     """
     checkpoint_ready(rows.sparkSession)
-    copy = lookup.limit(max_rows + 1).checkpoint()
+    side = lookup.withColumnsRenamed({key: f"_right_{key}" for key in on}) if null_safe else lookup
+    copy = side.limit(max_rows + 1).checkpoint()
     measured = copy.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()
-    if measured["n"] <= max_rows and (measured["size"] or 0) <= max_bytes:
-        return rows.join(F.broadcast(copy), list(on), how)
-    return rows.join(lookup, list(on), how)
+    small = measured["n"] <= max_rows and (measured["size"] or 0) <= max_bytes
+    chosen = F.broadcast(copy) if small else side
+    if not null_safe:
+        return rows.join(chosen, list(on), how)
+    same = [rows[key].eqNullSafe(chosen[f"_right_{key}"]) for key in on]
+    return rows.join(chosen, same, how).drop(*[f"_right_{key}" for key in on])

@@ -7,13 +7,15 @@ A menu row has ``restaurant, category, meal, is_halal`` and ordinals ``restauran
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import FLAG_COLOURS, FLAG_WORD, HOURS_MISSING, NO_ITEMS, UNCATEGORIZED
 from ..functions.hours import fix_hours_separators
 from ..functions.text import col, normalize_key, trim_ws
+from ..session import checkpoint_ready
 from .joins import join_lookup
 from .ordering import carry_forward, dedup_first_seen, last_wins
 
@@ -84,7 +86,7 @@ def merge_menus(items: DataFrame, keys: Sequence[str] = ("restaurant", "category
     Rows stay as they are; ``category_ord`` becomes the first ordinal of the merged category.
     """
     first = items.groupBy(*keys).agg(F.min(order).alias("category_ord"))
-    return join_lookup(items.drop("category_ord"), first, keys, "inner")
+    return join_lookup(items.drop("category_ord"), first, keys)
 
 
 def distinct_meals(items: DataFrame, keys: Sequence[str] = ("restaurant", "category", "meal"), order: str = "item_ord") -> DataFrame:
@@ -96,7 +98,6 @@ def distinct_meals(items: DataFrame, keys: Sequence[str] = ("restaurant", "categ
 def crosswalk_names(rows: DataFrame, crosswalk: DataFrame, name: str, out: str) -> DataFrame:
     """Map a name through the crosswalk; an unmapped name stays as it is."""
     pairs = crosswalk.select(F.col("source_name").alias("_source"), F.col("target_name").alias("_target"))
-    # The name map is a local table, whose size Spark knows when it plans the join.
     joined = rows.join(pairs, F.col(name) == F.col("_source"), "left")
     return joined.withColumn(out, F.coalesce("_target", name)).drop("_source", "_target")
 
@@ -159,27 +160,30 @@ def menu_report_lines(
     grouped names and item lines straight from the rows; nothing is gathered per restaurant.
     """
     scope = list(snapshot)
-    per_category = items.groupBy(*scope, "restaurant", "category").agg(
-        F.min(order).alias("category_ord"), F.max(order).alias("_last")
-    )
-    per_restaurant = per_category.groupBy(*scope, "restaurant").agg(
-        F.min("category_ord").alias("restaurant_ord"), F.max("_last").alias("_last")
-    )
-    titled = per_restaurant if hours is None else attach_hours(per_restaurant, hours, measure=False)
+    per_category = items.groupBy(*scope, "restaurant", "category").agg(F.min(order).alias("category_ord"))
+    restaurant = Window.partitionBy(*scope, "restaurant")
+    checkpoint_ready(items.sparkSession)
+    # One row per category name; written once, since four parts of the report read it.
+    names = per_category.withColumn("restaurant_ord", F.min("category_ord").over(restaurant)).checkpoint()
+    first = names.where("category_ord = restaurant_ord").drop("category_ord")
+    titled = first if hours is None else attach_hours(first, hours, measure=False)
     title = F.col("restaurant") if hours is None else F.concat_ws(" - ", "restaurant", "hours")
-    out = [*scope, "restaurant_ord", "category_ord", "line_ord", "line"]
 
-    heads = titled.withColumns({"category_ord": F.lit(-1).cast("long"), "line_ord": F.lit(-1).cast("long"), "line": title})
-    tails = per_restaurant.withColumns(
-        {"category_ord": F.lit(2**62), "line_ord": F.lit(0).cast("long"), "line": F.lit("")}
-    )
-    names = per_category.join(per_restaurant.drop("_last"), [*scope, "restaurant"])
-    sections = names.withColumns({"line_ord": F.lit(-1).cast("long"), "line": F.format_string("  %s:", "category")})
+    def lines(part: DataFrame, line: Column, category_ord: Column, line_ord: Column) -> DataFrame:
+        ords = [category_ord.cast("long").alias("category_ord"), line_ord.cast("long").alias("line_ord")]
+        return part.select(*scope, "restaurant_ord", *ords, line.alias("line"))
+
+    before = F.lit(-1)
+    named = F.col("category_ord")
     plain = items.drop("category_ord", "restaurant_ord")
-    meals = join_lookup(plain, names, [*scope, "restaurant", "category"], "inner")
-    lines = meals.withColumns({"line_ord": F.col(order).cast("long"), "line": F.format_string("    - %s", "meal")})
-    parts = [part.select(*out) for part in (heads, sections, lines, tails)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    meals = join_lookup(plain, names, [*scope, "restaurant", "category"])
+    parts = [
+        lines(titled, title, before, before),
+        lines(names, F.format_string("  %s:", "category"), named, before),
+        lines(meals, F.format_string("    - %s", "meal"), named, F.col(order)),
+        lines(first, F.lit(""), F.lit(2**62), F.lit(0)),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 LINE_ORDER = ("restaurant_ord", "category_ord", "line_ord")

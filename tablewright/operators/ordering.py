@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_ready
+from .joins import join_lookup
 
 
 def first_wins(rows: DataFrame, keys: Sequence[str], order: Column, payload: Sequence[str]) -> DataFrame:
@@ -68,7 +69,7 @@ def carry_forward(
     ends = base.groupBy(*keys).agg(*[F.max(m).alias(m) for m in marks])
     carried = ends.select(*keys, *[F.last(m, ignorenulls=True).over(before).alias(f"{m}_in") for m in marks])
 
-    joined = local.join(carried, keys)
+    joined = local.join(carried, keys, "left")
     out = joined.withColumns({m: F.coalesce(m, f"{m}_in") for m in marks})
     values, outer = {}, []
     for mark, (name, _, _) in zip(marks, headers):
@@ -84,15 +85,17 @@ def carry_forward(
 def with_position(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Exact 1-based position of each row in its key, without gathering a key in one task.
 
-    Rows are range-partitioned by key and order, so a hot key spans many partitions; the cut
-    is checkpointed because row counts per partition and the rows must see the same ranges.
+    Rows are range-partitioned and sorted by key and order, so a hot key spans many partitions,
+    and numbered inside each. What the earlier partitions hold of a key is one small row per
+    key and partition. The numbered rows are checkpointed: both uses must see the same ranges.
     """
     checkpoint_ready(rows.sparkSession)
-    cut = rows.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id()).checkpoint()
-    slices = [*keys, "_slice"]
-    counts = cut.groupBy(*slices).agg(F.count("*").alias("_n"))
+    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    cut = ranged.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    # The id is the partition number above 33 bits of row number.
+    cut = cut.withColumns({"_slice": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(2**33 - 1)})
+    starts = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*slices, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(*slices).orderBy(*order))
-    placed = cut.withColumn("_rank", rank).join(offsets, slices)
-    return placed.select(*rows.columns, (F.col("_before") + F.col("_rank")).alias(name))
+    shift = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
+    placed = join_lookup(cut, starts.select(*keys, "_slice", shift), [*keys, "_slice"], "inner", null_safe=True)
+    return placed.select(*rows.columns, (F.col("_row") + F.col("_shift")).alias(name))

@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CROSSWALK, HOURS_MISSING
 from ..functions.labels import major_nutrient_flag
-from ..functions.text import classify_menu_line, normalize_key
+from ..functions.text import classify_menu_line
 from ..operators import menu as M
 from ..operators import nutrition as N
 from ..operators import search as S
 from ..operators import stats
 from ..operators.ordering import carry_forward as carry
 from ..operators.ordering import dedup_first_seen as first_seen
+from ..operators.ordering import first_wins as keep_first
 from ..operators.ordering import last_wins as keep_last
 from ..sources.lookups import crosswalk_dim
 from ..sources.menus import DOCUMENT, flatten_documents, parse_menu_restaurants, parse_menu_text
 from ..streaming.snapshots import latest_snapshot as newest
+from ..streaming.snapshots import read_latest, write_latest
 from .inputs import (
     HOURS,
     MENU,
@@ -24,13 +26,10 @@ from .inputs import (
     NUTRITION,
     SNAPSHOT_ITEMS,
     as_of,
-    AS_OF,
     hours_raw,
-    iso,
     menu,
     menu_snapshots,
     nutrition,
-    sql_iso,
     sql_local,
 )
 from .registry import Tables, query
@@ -140,13 +139,32 @@ def hours_by_name(t: Tables):
     return _hours(t)
 
 
-@query("""SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders
+LATEST = """SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders
 WHERE (o_custkey, o_orderdate, o_orderkey) IN (
   SELECT o_custkey, (m).d, (m).k FROM (
-    SELECT o_custkey, max({'d': o_orderdate, 'k': o_orderkey}) AS m FROM orders GROUP BY o_custkey))""")
-def latest_snapshot(t: Tables):
+    SELECT o_custkey, max({'d': o_orderdate, 'k': o_orderkey}) AS m FROM orders GROUP BY o_custkey))"""
+
+
+def _latest(orders):
     order = F.struct("o_orderdate", "o_orderkey")
-    return newest(t.orders, ["o_custkey"], ["o_orderkey", "o_orderstatus", "o_totalprice"], order)
+    return newest(orders, ["o_custkey"], ["o_orderkey", "o_orderstatus", "o_totalprice"], order)
+
+
+@query(LATEST)
+def latest_snapshot(t: Tables):
+    return _latest(t.orders)
+
+
+@query(LATEST)
+def latest_snapshot_stream(t: Tables):
+    folder = t.scratch()
+    write_latest(_latest(t.stream("orders")), f"{folder}/rows", f"{folder}/state").awaitTermination()
+    return read_latest(t.spark, f"{folder}/rows", ["o_custkey"])
+
+
+@query("""SELECT p_name, p_brand, p_partkey FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_name)""")
+def first_wins(t: Tables):
+    return keep_first(t.part, ["p_name"], F.col("p_partkey"), ["p_brand", "p_partkey"])
 
 
 # --- filters --------------------------------------------------------------------------------

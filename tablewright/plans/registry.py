@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure, spread
+from ..session import checkpoint_ready, configure, spread
 
 
 class Tables:
@@ -20,6 +21,16 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files. A plain stream path must be a folder; a pattern
+        matches a single file as well."""
+        schema = getattr(self, name).schema
+        return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
+
+    def scratch(self) -> str:
+        """A fresh folder in the shared checkpoint location."""
+        return f"{checkpoint_ready(self.spark)}/{uuid.uuid4()}"
+
     def spread(self, name: str, key: str) -> DataFrame:
         """A table for costly work on each row."""
         return spread(getattr(self, name), key)

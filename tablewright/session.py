@@ -33,13 +33,15 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return configure(builder.getOrCreate())
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable, preferring the folder the cluster names."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
+def checkpoint_ready(spark: SparkSession) -> str:
+    """Folder for checkpoints: the one the cluster names, else one set here (as in tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:

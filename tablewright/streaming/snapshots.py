@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.calendar import parse_events
 from ..operators.ordering import last_wins
@@ -51,3 +52,24 @@ def stream_latest_menus(spark: SparkSession, path: str) -> DataFrame:
     rows = stream_menu_restaurants(spark, path)
     payload = ["snapshot_id", "snapshot_ts", "hours", "open_ranges", "categories", "item_count"]
     return latest_snapshot(rows, ["restaurant"], payload)
+
+
+def write_latest(latest: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keep the changed keys of each micro-batch in a folder of its own under ``path``.
+
+    A batch that is run again after a failure overwrites its own folder, so no key is written
+    twice; nothing older is read or rewritten.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = latest.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest state of every key over the batches written so far."""
+    rows = spark.read.parquet(path)
+    payload = [c for c in rows.columns if c not in (*keys, "batch")]
+    return last_wins(rows, keys, F.col("batch"), payload)
