@@ -58,3 +58,27 @@ FLAG_WORD = "halal"
 RSVP_PATTERN = r"https?://[\w.-]+/rsvp\?id=\d+"
 SLOT_MINUTES = 5
 FLAG_COLOURS = ("lightgreen", "salmon")
+
+# Classes of the rows and links of a menu page.
+MENU_TABLE = "table"
+MENU_GROUP_ROW = "itemGroupRow"
+MENU_ITEM_ROWS = ("itemPrimaryRow", "itemAlternateRow")
+MENU_LINK = "cbo_nn_itemHover"
+
+# Classes of the parts of a label page.
+LABEL_PARTS = {
+    "name": "cbo_nn_LabelHeader",
+    "serving": "cbo_nn_LabelBottomBorderLabel",
+    "ingredients": "cbo_nn_LabelIngredients",
+    "allergens": "cbo_nn_LabelAllergens",
+}
+LABEL_CALORIES = ("cbo_nn_LabelSubHeader", "font-22")
+LABEL_ROW = "cbo_nn_LabelBorderedSubHeader"
+LABEL_PLAIN_ROW = "cbo_nn_LabelNoBorderSubHeader"
+LABEL_SECONDARY = "cbo_nn_LabelSecondaryTable"
+LABEL_SIDES = ("inline-div-left", "inline-div-right")
+
+# Phrases of a label.
+SERVINGS_PHRASE = "Servings per container"
+SIZE_PHRASE = "Serving Size"
+SKIPPED_FACT = "Include NA"

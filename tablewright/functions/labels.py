@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..fixed_values import MAJOR_NUTRIENTS, SERVING_UNITS
+from ..fixed_values import MAJOR_NUTRIENTS, SERVING_UNITS, SERVINGS_PHRASE, SIZE_PHRASE, SKIPPED_FACT
 from .text import BLANK, col, trim_ws
 
 _PY = BLANK["python"]
 _FACT = rf"^([^\n]+?){_PY}+([0-9.]+[a-zA-Z]*|NA)\z"
-_SERVINGS = "Servings per container"
-_SIZE = "Serving Size"
 
 
 def nutrient_parts(left: Column | str) -> Column:
@@ -51,7 +49,7 @@ def parse_dv(right: Column | str) -> Column:
 
 def skip_include_na(left: Column | str) -> Column:
     """True for rows to keep."""
-    return ~F.contains(col(left), F.lit("Include NA"))
+    return ~F.contains(col(left), F.lit(SKIPPED_FACT))
 
 
 def major_nutrient_flag(name: Column | str, names: tuple[str, ...] = MAJOR_NUTRIENTS) -> Column:
@@ -60,20 +58,20 @@ def major_nutrient_flag(name: Column | str, names: tuple[str, ...] = MAJOR_NUTRI
 
 def servings_per_container(text: Column | str) -> Column:
     """Number before the phrase, read from the first line that has the phrase."""
-    lines = F.filter(F.split(col(text), "\n"), lambda line: F.contains(line, F.lit(_SERVINGS)))
-    return F.regexp_extract(F.get(lines, 0), rf"(\d+){_PY}*{_SERVINGS}", 1).try_cast("int")
+    lines = F.filter(F.split(col(text), "\n"), lambda line: F.contains(line, F.lit(SERVINGS_PHRASE)))
+    return F.regexp_extract(F.get(lines, 0), rf"(\d+){_PY}*{SERVINGS_PHRASE}", 1).try_cast("int")
 
 
 def serving_size(text: Column | str, units: tuple[str, ...] = SERVING_UNITS) -> Column:
     """The last labelled line wins; without one, the first line that looks like a size."""
     lines = F.split(col(text), "\n")
     labelled = F.flatten(
-        F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(rf"{_SIZE}{_PY}*(.+)"), F.lit(1)))
+        F.transform(lines, lambda line: F.regexp_extract_all(line, F.lit(rf"{SIZE_PHRASE}{_PY}*(.+)"), F.lit(1)))
     )
     looks = rf"(?i)\b\d+.*(?:{'|'.join(units)})\b"
     unlabelled = F.filter(
         lines,
-        lambda line: ~F.contains(line, F.lit(_SERVINGS)) & ~F.contains(line, F.lit(_SIZE)) & line.rlike(looks),
+        lambda line: ~F.contains(line, F.lit(SERVINGS_PHRASE)) & ~F.contains(line, F.lit(SIZE_PHRASE)) & line.rlike(looks),
     )
     found = F.coalesce(F.try_element_at(labelled, F.lit(-1)), F.get(unlabelled, 0))
     return trim_ws(found, "python")

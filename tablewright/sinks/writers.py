@@ -12,11 +12,23 @@ from ..operators.menu import LINE_ORDER, nest_menu
 from ..operators.stats import summary_stats, top10_categories, top10_halal, top10_items
 
 
-def write_menu_json(items: DataFrame, path: str, timestamp: Column, keys: Sequence[str] = ("restaurant", "hours"), block: int = 10_000) -> None:
-    """Nested restaurant documents (``name, hours, categories``), one JSON line each."""
-    nested = nest_menu(items, keys, block=block).withColumnRenamed("restaurant", "name")
+def write_menu_json(
+    items: DataFrame,
+    path: str,
+    timestamp: Column,
+    keys: Sequence[str] = ("restaurant", "hours"),
+    order: str = "item_ord",
+    block: int = 10_000,
+) -> None:
+    """Nested documents ``timestamp, part, restaurants`` in first-seen order, one per line.
+
+    A line holds one restaurant, or one block of it, so no line grows with the data. Read them
+    back with ``read_menu_json(..., multi_line=False)``.
+    """
+    nested = nest_menu(items, keys, order, block)
     hours = F.coalesce("hours", F.lit(HOURS_MISSING)) if "hours" in keys else F.lit(HOURS_MISSING)
-    documents = nested.withColumns({"hours": hours, "timestamp": timestamp})
+    restaurant = F.struct(F.col("restaurant").alias("name"), hours.alias("hours"), "categories")
+    documents = nested.select("first_ord", timestamp.alias("timestamp"), "part", F.array(restaurant).alias("restaurants"))
     documents.orderBy("first_ord").drop("first_ord").write.mode("overwrite").json(path)
 
 

@@ -10,8 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as V
 from ..functions.hours import fix_hours_separators
-from ..functions.labels import nutrient_of, nutrient_parts, parse_dv, parse_nutrient, serving_size, servings_per_container, skip_include_na
+from ..functions.labels import (
+    nutrient_of,
+    nutrient_parts,
+    parse_dv,
+    parse_nutrient,
+    serving_size,
+    servings_per_container,
+    skip_include_na,
+)
 from ..functions.text import col, first_line, trim_ws
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -102,9 +111,9 @@ def _hours(page: _Tags):
 
 
 def _menu(page: _Tags):
-    hover = _classed("cbo_nn_itemHover")
+    hover = _classed(V.MENU_LINK)
     for row in page.elements:
-        if row["tag"] != "tr" or not page.inside(row, _classed("table")):
+        if row["tag"] != "tr" or not page.inside(row, _classed(V.MENU_TABLE)):
             continue
         button = page.under(row, _role("button"))
         links = page.under(row, lambda e: e["tag"] == "a" and hover(e))
@@ -113,29 +122,20 @@ def _menu(page: _Tags):
         yield row["attrs"].get("class", ""), page.shown(button), page.shown(links), alts
 
 
-# Classes of the parts of a label page.
-_LABEL_PARTS = {
-    "name": "cbo_nn_LabelHeader",
-    "serving": "cbo_nn_LabelBottomBorderLabel",
-    "ingredients": "cbo_nn_LabelIngredients",
-    "allergens": "cbo_nn_LabelAllergens",
-}
-
-
 def _label(page: _Tags):
-    for part, name in _LABEL_PARTS.items():
+    for part, name in V.LABEL_PARTS.items():
         found = page.by_class.get(name)
         if found:
             yield part, page.shown(found), None, []
-    boxes = page.by_class.get("cbo_nn_LabelSubHeader", [])
-    calories = [size for box in boxes for size in page.under(box, _classed("font-22"))]
+    boxes = page.by_class.get(V.LABEL_CALORIES[0], [])
+    calories = [size for box in boxes for size in page.under(box, _classed(V.LABEL_CALORIES[1]))]
     if calories:
         yield "calories", page.shown(calories), None, []
-    bordered = page.by_class.get("cbo_nn_LabelBorderedSubHeader", [])
-    plain = page.by_class.get("cbo_nn_LabelNoBorderSubHeader", [])
-    tables = page.by_class.get("cbo_nn_LabelSecondaryTable", [])
+    bordered = page.by_class.get(V.LABEL_ROW, [])
+    plain = page.by_class.get(V.LABEL_PLAIN_ROW, [])
+    tables = page.by_class.get(V.LABEL_SECONDARY, [])
     inner = [row for row in bordered + plain if any(t["at"] < row["at"] < t["end"] for t in tables)]
-    left, right = _classed("inline-div-left"), _classed("inline-div-right")
+    left, right = map(_classed, V.LABEL_SIDES)
     for section, rows in (("fact", bordered), ("secondary", sorted(inner, key=lambda row: row["at"]))):
         for row in rows:
             yield section, page.shown(page.under(row, left)), page.shown(page.under(row, right)), []
@@ -178,8 +178,9 @@ def menu_rows_from_html(pages: DataFrame, key: str = "page_id", html: str = "htm
     """
     rows = pages.select(key, F.posexplode(_tag_rows(html, "menu")).alias("pos", "_r"))
     kind = F.col("_r.kind")
-    header = F.contains(kind, F.lit("itemGroupRow"))
-    item = F.contains(kind, F.lit("itemPrimaryRow")) | F.contains(kind, F.lit("itemAlternateRow"))
+    header = F.contains(kind, F.lit(V.MENU_GROUP_ROW))
+    primary, alternate = (F.contains(kind, F.lit(name)) for name in V.MENU_ITEM_ROWS)
+    item = primary | alternate
     text = F.when(header, trim_ws("_r.first", "python")).otherwise(first_line("_r.second"))
     picked = rows.where(header | item).select(
         key,

@@ -188,9 +188,9 @@ def flatten_documents(documents: DataFrame, keep: list[str]) -> DataFrame:
     return flatten_restaurants(listed.select(*keep, "restaurant_ord", "_r.*"), [*keep, "restaurant_ord"])
 
 
-def read_menu_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Nested documents, one row per file, with the restaurants array never null."""
-    raw = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+def read_menu_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nested documents, one row per file (or per line), with the restaurants array never null."""
+    raw = spark.read.schema(DOCUMENT).option("multiLine", multi_line).json(path)
     return raw.select(
         F.col("_metadata.file_path").alias("snapshot_id"),
         "timestamp",
@@ -198,8 +198,8 @@ def read_menu_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_menu_json(spark: SparkSession, path: str) -> DataFrame:
-    return flatten_documents(read_menu_documents(spark, path), ["snapshot_id"])
+def read_menu_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return flatten_documents(read_menu_documents(spark, path, multi_line), ["snapshot_id"])
 
 
 def read_restaurant_jsons(spark: SparkSession, directory: str) -> DataFrame:
