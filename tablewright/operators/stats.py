@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed_values import HOURS_MISSING, NAME_MISSING
 from ..functions.text import slugify
 from ..functions.times import round1
 from .menu import attach_hours
@@ -45,6 +46,37 @@ def restaurant_index(
     return named if hours is None else attach_hours(named, hours, measure=False)
 
 
+def restaurant_index_documents(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Index straight from nested documents: empty categories and restaurants count as listed.
+
+    Counts are taken inside each restaurant's own value, without unnesting meals. A name listed
+    again keeps its first place and its last values.
+    """
+    listed = documents.select(*keep, F.posexplode("restaurants").alias("ord", "_r"))
+    categories = F.coalesce("_r.categories", F.array())
+    meals = lambda c: F.coalesce(c["meals"], F.array())
+    flagged = lambda c: F.filter(meals(c), lambda m: F.coalesce(m["is_halal"], F.lit(False)))
+    total = lambda size: F.aggregate(categories, F.lit(0).cast("long"), lambda n, c: n + F.size(size(c)))
+    counted = listed.select(
+        *keep,
+        "ord",
+        F.coalesce("_r.name", F.lit(NAME_MISSING)).alias("restaurant"),
+        F.coalesce("_r.hours", F.lit(HOURS_MISSING)).alias("hours"),
+        total(meals).alias("total_items"),
+        total(flagged).alias("halal_items"),
+        F.size(categories).cast("long").alias("categories_count"),
+    )
+    values = F.struct("hours", "total_items", "halal_items", "categories_count")
+    index = counted.groupBy(*keep, "restaurant").agg(F.min("ord").alias("ord"), F.max_by(values, "ord").alias("_v"))
+    named = index.select(*keep, "restaurant", "ord", "_v.*").withColumn("safe_name", slugify("restaurant"))
+    return named.withColumn("filename", F.concat("safe_name", F.lit(".json")))
+
+
+def listed_restaurants(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Restaurants as listed, repeated names included."""
+    return documents.groupBy(*keep).agg(F.sum(F.size("restaurants")).alias("total_restaurants"))
+
+
 def index_totals(index: DataFrame) -> DataFrame:
     return index.agg(F.sum("total_items").alias("total_items"), F.sum("halal_items").alias("halal_items"))
 

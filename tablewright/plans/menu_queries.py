@@ -541,20 +541,44 @@ def menu_text_restaurants(t: Tables):
     )
 
 
+def _documents(t: Tables):
+    """One nested document per snapshot, whose size SNAPSHOT_ITEMS bounds."""
+    nested = M.nest_menu(_with_hours(t), ["snapshot_id", "restaurant", "hours"])
+    document = F.struct("first_ord", F.col("restaurant").alias("name"), "hours", "categories")
+    return nested.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(document)).alias("restaurants"))
+
+
 @query(f"""WITH {ROUND_TRIP}
 SELECT snapshot_id, restaurant, hours, category, meal, is_halal, r - 1 AS restaurant_ord, c - 1 AS category_ord, i - 1 AS item_ord FROM placed""")
 def menu_json_roundtrip(t: Tables):
-    nested = M.nest_menu(_with_hours(t), ["snapshot_id", "restaurant", "hours"])
-    document = F.struct("first_ord", F.col("restaurant").alias("name"), "hours", "categories")
-    # One document per snapshot, whose size SNAPSHOT_ITEMS bounds.
-    listed = nested.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(document)).alias("restaurants"))
-    text = listed.select("snapshot_id", F.to_json(F.struct("restaurants")).alias("value"))
+    text = _documents(t).select("snapshot_id", F.to_json(F.struct("restaurants")).alias("value"))
     read = text.select("snapshot_id", F.from_json("value", DOCUMENT).alias("_d")).select("snapshot_id", "_d.restaurants")
     flat = flatten_documents(read, ["snapshot_id"]).drop("nutrition")
     ords = {c: F.col(c).cast("long") for c in ("restaurant_ord", "category_ord", "item_ord")}
     return flat.withColumns(ords)
 
 
+@query(f"""WITH {ROUND_TRIP}
+SELECT snapshot_id, restaurant, hours, max(r) - 1 AS ord, count(*) AS total_items, count(*) FILTER (WHERE is_halal) AS halal_items,
+       max(c) + CASE WHEN length(restaurant) % 2 = 0 THEN 1 ELSE 0 END AS categories_count
+FROM placed GROUP BY snapshot_id, restaurant, hours""")
+def restaurant_index_documents(t: Tables):
+    # Restaurants with a name of even length also list a category without meals.
+    def more(r):
+        empty = F.struct(F.lit("Empty").alias("name"), F.slice(r["categories"][0]["meals"], 1, 0).alias("meals"))
+        added = F.when(F.length(r["name"]) % 2 == 0, F.concat(r["categories"], F.array(empty)))
+        return r.withField("categories", F.coalesce(added, r["categories"]))
+
+    documents = _documents(t).withColumn("restaurants", F.transform("restaurants", more))
+    index = stats.restaurant_index_documents(documents, ["snapshot_id"]).withColumn("ord", F.col("ord").cast("long"))
+    return index.drop("safe_name", "filename")
+
+
+@query(f"WITH {MENU_SNAPSHOTS} SELECT snapshot_id, count(DISTINCT restaurant) AS total_restaurants FROM snapshots GROUP BY snapshot_id")
+def listed_restaurants(t: Tables):
+    return stats.listed_restaurants(_documents(t), ["snapshot_id"])
+
+
 @query(f"""WITH {MENU}, {HOURS}, cats AS (SELECT restaurant, category, min(item_ord) AS c, max(item_ord) AS last FROM menu GROUP BY ALL),
 rests AS (SELECT restaurant, min(c) AS r, max(last) AS last FROM cats GROUP BY restaurant)
 SELECT r AS restaurant_ord, CAST(-1 AS BIGINT) AS category_ord, CAST(-1 AS BIGINT) AS line_ord,

@@ -140,6 +140,20 @@ def test_index_stats_and_rankings(spark, tmp_path):
     assert empty["average_items_per_restaurant"] is None and empty["total_items"] == 0
 
 
+def test_index_of_documents_counts_what_is_listed(spark, tmp_path):
+    listed = DOCUMENT["restaurants"] + [{"name": "Closed", "hours": "x", "categories": [{"name": "C"}, {"name": "C", "meals": [{"name": "M"}]}]}]
+    (tmp_path / "d.json").write_text(json.dumps({"restaurants": listed}))
+    documents = menus.read_menu_documents(spark, str(tmp_path / "d.json"))
+    rows = stats.restaurant_index_documents(documents).orderBy("ord").collect()
+    got = [(r["restaurant"], r["hours"], r["total_items"], r["halal_items"], r["categories_count"], r["ord"]) for r in rows]
+    assert got == [
+        ("Café Ünï & Co", "8 am - 9 am", 3, 2, 2, 0),
+        ("Unknown", "Hours not available", 2, 2, 1, 1),
+        ("Closed", "x", 1, 0, 2, 2),
+    ]
+    assert stats.listed_restaurants(documents).first()["total_restaurants"] == 4
+
+
 def test_nutrition_lookup(spark, tmp_path):
     rows = items(spark, tmp_path)
     own, shared = N.build_nutrition_lookup(rows, ["item_ord"])
