@@ -46,10 +46,10 @@ def ics_field(block: Column | str, name: str, dialect: str = "strict") -> Column
     if dialect == "strict":
         # The name comes first and its line start is looked back for, so that blocks are
         # searched for a literal.
-        pattern = rf"{name}(?<=^{name}|[{EOL_CLASS}]{name})(?:;[^:\r\n]*)*:([^{EOL_CLASS}]*)"
+        pattern = rf"{name}(?<=^{name}|[{EOL_CLASS}]{name})(?:;[^:\r\n]*+)?+:([^{EOL_CLASS}]*)"
         found = F.get(F.regexp_extract_all(col(block), F.lit(pattern), F.lit(1)), 0)
         return trim_ws(found)
-    return trim_ws(F.regexp_extract(col(block), rf"{name}(?:;[^:]*)*:([^\n]*)", 1), "python")
+    return trim_ws(F.regexp_extract(col(block), rf"{name}(?:;[^:]*+)?+:([^\n]*)", 1), "python")
 
 
 def _dots(blank: str, count: int, more: str = "") -> str:

@@ -91,6 +91,11 @@ def test_field_absent_and_anchored(evaluate):
     assert evaluate(rows, "v string", lambda d: ics.ics_field("v", "URL", "lenient")) == ["no", "", ""]
 
 
+def test_field_without_value_separator_is_no_match(evaluate):
+    rows = [("URL" + ";" * 5000 + "\nURL;a;b=c:yes",)]
+    assert evaluate(rows, "v string", lambda d: ics.ics_field("v", "URL")) == ["yes"]
+
+
 def test_description_dialects(evaluate):
     rows = [(r"one . . two...three\n\n\nfour\, five .  .  .  . six --- x",), (". . . .",), ("   ",)]
     strict = evaluate(rows, "v string", lambda d: ics.clean_description("v"))

@@ -48,7 +48,7 @@ def test_menu_text(spark):
     assert parse(spark, "", "\n \n", "Just a name") == []
 
 
-def reference_parse(text):
+def line_by_line(text):
     """The line rules, one line at a time."""
     out, rest, cat = [], None, None
     for line in text.split("\n"):
@@ -70,7 +70,7 @@ LINE = st.sampled_from(["", " ", "A - 1 - 2", "B", "\tC", "  X:", "  Y:", "  - Z
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(LINE, max_size=14).map("\n".join), min_size=20, max_size=40))
 def test_menu_text_agrees_with_line_rules(spark, texts):
-    assert parse(spark, *texts) == [row for text in texts for row in reference_parse(text)]
+    assert parse(spark, *texts) == [row for text in texts for row in line_by_line(text)]
 
 
 def test_restaurants_with_counts(spark):
