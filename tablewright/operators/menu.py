@@ -114,6 +114,8 @@ def attach_hours(
 ) -> DataFrame:
     """Left join on the exact name, or on its normalized key; hours default to ``missing``.
 
+    Of names that share a normalized key the greatest hours text is taken.
+
     ``hours`` has one row per name, so the row count of ``rows`` is kept. Without ``measure``
     the join is left to Spark, for ``rows`` that are few themselves.
     """
@@ -135,7 +137,7 @@ def nest_menu(items: DataFrame, keys: Sequence[str] = ("restaurant",), order: st
     never has more than ``block`` of them; a larger restaurant goes on in the row of the next
     ``part``. Reading the parts back in order gives every meal once.
     """
-    part = F.floor(F.col(order) / block).alias("part")
+    part = F.expr(f"`{order}` div {block}").alias("part")
     fields = [F.col(order).alias("ord"), F.col("meal").alias("name"), "is_halal"]
     fields += ["nutrition"] if "nutrition" in items.columns else []
     # Maps cannot be compared, so meals are ordered by their ordinal alone.

@@ -58,7 +58,7 @@ def carry_forward(
     """
     keys = [*stream, "_block"]
     marks = [f"_mark_{name}" for name, _, _ in headers]
-    base = rows.withColumn("_block", F.floor(F.col(pos) / block))
+    base = rows.withColumn("_block", F.expr(f"`{pos}` div {block}"))
     for mark, (_, test, value) in zip(marks, headers):
         base = base.withColumn(mark, F.when(test, F.struct(F.col(pos).alias("at"), value.alias("value"))))
 

@@ -190,7 +190,7 @@ def drop_empty_panels(t: Tables):
     return M.drop_empty_panels(panels).select("doc_id", "lang")
 
 
-# Some categories have no meal: only the meals of large parts are kept.
+# All rows stay; most have no meal, so that some categories and restaurants are empty.
 SPARSE = f"""{MENU}, sparse AS (
   SELECT restaurant, category, item_ord, CASE WHEN item_ord % 97 < 3 THEN meal END AS meal FROM menu)"""
 
@@ -366,8 +366,12 @@ def lookup_count(t: Tables):
     return N.lookup_count(nutrition(t))
 
 
+def _plain(t: Tables):
+    return nutrition(t).select("item_ord", "restaurant", "meal")
+
+
 def _keyed(t: Tables):
-    return N.nutrition_key(nutrition(t).select("item_ord", "restaurant", "meal"), *_lookup(t))
+    return N.nutrition_key(_plain(t), *_lookup(t))
 
 
 @query(f"WITH {LOOKUP} SELECT item_ord, restaurant, meal, nutrition_key FROM keyed")
@@ -383,15 +387,17 @@ def distinct_keys(t: Tables):
 @query(f"""WITH {LOOKUP}, wanted AS (SELECT DISTINCT nutrition_key FROM keyed)
 SELECT nutrition_key, {INFO_SQL} FROM info JOIN wanted USING (nutrition_key)""")
 def nutrition_by_key(t: Tables):
-    keys = N.distinct_keys(_keyed(t))
-    return N.nutrition_by_key(keys, *_lookup(t)).select("nutrition_key", *_info())
+    lookup = _lookup(t)
+    keys = N.distinct_keys(N.nutrition_key(_plain(t), *lookup))
+    return N.nutrition_by_key(keys, *lookup).select("nutrition_key", *_info())
 
 
 @query(f"""WITH {LOOKUP}
 SELECT k.item_ord, k.meal, k.nutrition_key, i.calories FROM keyed k LEFT JOIN info i USING (nutrition_key)""")
 def item_info(t: Tables):
-    items = _keyed(t)
-    info = N.nutrition_by_key(N.distinct_keys(items), *_lookup(t))
+    lookup = _lookup(t)
+    items = N.nutrition_key(_plain(t), *lookup)
+    info = N.nutrition_by_key(N.distinct_keys(items), *lookup)
     shown = F.col("info.calories").alias("calories")
     return N.item_info(items, info).select("item_ord", "meal", "nutrition_key", shown)
 
