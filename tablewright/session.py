@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Wall clocks are kept as UTC-session timestamps, so the session zone is part of the semantics.
@@ -36,15 +34,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return configure(builder.getOrCreate())
 
 
-def checkpoint_ready(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, else one set here (as in tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that the driver and all executors see: ``spark.checkpoint.dir``, or one in the
+    warehouse where that is unset (as in tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+
+
+def checkpoint_ready(spark: SparkSession) -> str:
+    """Make ``checkpoint()`` write to the shared folder; gives that folder."""
+    folder, context = shared_folder(spark), spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablewright-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def spread(table: DataFrame, key: str) -> DataFrame:
