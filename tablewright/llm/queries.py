@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import exact_dedup, piece_codec
+from . import exact_dedup, piece_codec, simhash
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op3_simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_groups(table(spark, folder, "documents"))
+
+
 @query()
 def op5_sentencepiece_codec(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
