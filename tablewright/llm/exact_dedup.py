@@ -24,6 +24,7 @@ from .common import prepare, quoted, without
 
 WORDS = 1 << 20
 BITS_PER_TEXT = 3
+SALTS = 64  # parts of a large group of copies
 _OWN = ["_tw_hash", "_tw_word", "_tw_mask", "_tw_bits", "_tw_repeated", "_tw_row"]
 
 
@@ -69,11 +70,18 @@ def mark_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     single = rows.where("NOT _tw_repeated").select(
         "_tw_id", F.col("_tw_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
-    suspects = rows.where("_tw_repeated").select("_tw_id", "_tw_row", F.unhex("text_sha256").alias("_tw_key"))
-    groups = suspects.groupBy("_tw_key").agg(
+    suspects = rows.where("_tw_repeated").select(
+        "_tw_id", "_tw_row", F.unhex("text_sha256").alias("_tw_key"), F.pmod("_tw_row", F.lit(SALTS)).alias("_tw_salt")
+    )
+    # A large group is settled in parts, and meets its rows again under each of its salts.
+    parts = suspects.groupBy("_tw_key", "_tw_salt").agg(
         F.max(F.struct("_tw_id", "_tw_row")).alias("_tw_kept"), F.count("*").alias("group_size")
     )
-    settled = suspects.join(groups, "_tw_key").select(
+    groups = parts.groupBy("_tw_key").agg(
+        F.max("_tw_kept").alias("_tw_kept"), F.sum("group_size").alias("group_size"), F.collect_set("_tw_salt").alias("_tw_salts")
+    )
+    groups = groups.select("_tw_key", "_tw_kept", "group_size", F.explode("_tw_salts").alias("_tw_salt"))
+    settled = suspects.join(groups, ["_tw_key", "_tw_salt"]).select(
         "_tw_id",
         F.col("_tw_kept._tw_id").alias("keep_id"),
         "group_size",
