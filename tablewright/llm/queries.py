@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
-from . import exact_dedup, piece_codec, simhash
+from . import exact_dedup, language_id, piece_codec, simhash
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query()
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    found = language_id.identify(table(spark, folder, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query()
 def op3_simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
