@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
-from . import exact_dedup, language_id, piece_codec, simhash
+from . import exact_dedup, language_id, mixing, piece_codec, sharding, simhash
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,15 @@ def op5_sentencepiece_codec(spark: SparkSession, folder: str, model: str | None
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query()
+def op6_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    sized = docs.select("doc_id", sharding.text_size(F.col("text")).alias("size"), sharding.text_crc32(F.col("text")).alias("text_crc32"))
+    law = F.lit("rows").alias("law")
+    made = sharding.uniform_shards(sized)
+    return made.select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("""
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
@@ -63,3 +73,9 @@ FROM documents
 """)
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, folder, "documents"))
+
+
+@query()
+def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.training_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "positions")
