@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import exact_dedup, language_id, mixing, piece_codec, sharding, simhash
+from . import exact_dedup, language_id, mixing, personal_data, piece_codec, sharding, simhash
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,16 @@ def op6_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "size", "text_crc32", law, "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query()
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.find(table(spark, folder, "documents").select("doc_id", "text"))
+    base = [kind.name for kind in personal_data.BASE]
+    added = [kind.name for kind in personal_data.ADDED]
+    counts = [F.size(name).cast("long").alias(f"n_{name}") for name in base]
+    spans = personal_data.joined([*base, *added]).alias("spans")
+    return found.select("doc_id", *counts, F.sha2(personal_data.joined(base), 256).alias("base_sha256"), spans)
+
+
 @query("""
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
