@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import exact_dedup, language_id, mixing, personal_data, piece_codec, sharding, simhash
+from . import chat_format, exact_dedup, language_id, mixing, personal_data, piece_codec, sharding, simhash
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,16 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.training_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "positions")
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query()
+def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("turn"), F.lit(r).alias("role")) for n, r in enumerate(("user", "assistant"))]))
+    probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), roles.alias("r"), F.lit(PROBE).alias("text"))
+    every = turns.unionByName(probe.select("conv_id", "r.turn", "r.role", "text"))
+    made = chat_format.digests(chat_format.formatted(chat_format.segments(every)))
+    return made.withColumnRenamed("conversation", "conv_id")
