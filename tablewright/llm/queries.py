@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat_format, exact_dedup, language_id, metric_search, mixing, personal_data, piece_codec, sharding, simhash
+from . import chat_format, exact_dedup, language_id, metric_search, mixing, personal_data, piece_codec, sharding, simhash, token_counts
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,13 @@ def op3_simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
 
 
+@query()
+def op4_token_counts(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    pieces = token_counts.vocabulary(model or tokenizer("piece_bpe_32k.model"))
+    return token_counts.count_tokens(docs, *pieces).select("doc_id", "n_words", "n_tokens", "n_unknown")
+
+
 @query()
 def op5_sentencepiece_codec(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
