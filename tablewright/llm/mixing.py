@@ -80,15 +80,22 @@ def demand_time(share: Column, rates: Column) -> Column:
     return F.least(F.greatest(2 * mean * share / (a + root), F.lit(0.0)), F.lit(1.0))
 
 
-def _laid_out(docs: DataFrame, id: str, text: str, source: str, payload: Sequence[str]) -> DataFrame:
-    """Narrow rows with ``size`` and ``before``: the words of the source's earlier documents."""
+def _keys(id: Column, text: Column) -> list[Column]:
+    """128 bits that stand for a row's id and text. The first part is the random order."""
+    body = F.xxhash64(text)
+    return [F.xxhash64(id, body, F.lit(11)).alias("_order"), F.xxhash64(F.lit(12), text, id).alias("_other")]
+
+
+def _laid_out(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
+    """``_id, source, size, _order, _other, before`` per row: ``before`` are the words of the
+    documents that stand earlier in the source's order."""
     prepare(docs.sparkSession)
     words = docs.select(
         quoted(id).alias("_id"), quoted(source).alias("source"), word_count(quoted(text)).alias("size"),
-        F.xxhash64(quoted(id), F.xxhash64(quoted(text)), F.lit(11)).alias("_order"), *map(quoted, payload),
-    )
-    ordered = words.repartitionByRange("source", "_order", F.monotonically_increasing_id())
-    ordered = ordered.sortWithinPartitions("source", "_order")
+        *_keys(quoted(id), quoted(text)), F.monotonically_increasing_id().alias("_nth"),
+    ).checkpoint()
+    ordered = words.repartitionByRange("source", "_order", "_other", "_nth")
+    ordered = ordered.sortWithinPartitions("source", "_order", "_other", "_nth").drop("_nth")
     # Frozen: all uses must see the same ranges.
     rows = ordered.withColumn("_slice", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
     parts = rows.groupBy("source", "_slice").agg(F.sum("size").alias("part"))
@@ -98,58 +105,90 @@ def _laid_out(docs: DataFrame, id: str, text: str, source: str, payload: Sequenc
     local = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     parts = parts.select(F.col("source").alias("_source"), F.col("_slice").alias("_at"), "start")
     same = [local["_slice"] == parts["_at"], local["source"].eqNullSafe(parts["_source"])]
-    return local.join(parts, same).withColumn("before", F.col("start") + F.col("_inside")).drop("_source", "_at", "start", "_inside")
+    return local.join(parts, same).withColumn("before", F.col("start") + F.col("_inside")).select(
+        "_id", "source", "size", "_order", "_other", "before"
+    )
+
+
+class Plan:
+    """Settings of a mix: weights, budget and epochs of the totals, schedules of sources by name
+    (``named``) and of the others in turn. Rates are positive."""
+
+    def __init__(
+        self,
+        weights: Sequence[float] = WEIGHTS,
+        budget: float = BUDGET,
+        epochs: int = EPOCHS,
+        schedules: Sequence[tuple[float, float]] = SCHEDULES,
+        named: Mapping[str, tuple[float, float]] | None = None,
+    ) -> None:
+        self.weights, self.budget, self.epochs, self.schedules, self.named = weights, budget, epochs, schedules, named or {}
+
+    def with_goals(self, rows: DataFrame) -> DataFrame:
+        """Laid-out rows with ``source_size``, ``target`` and ``rates`` of their source."""
+        sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+        goals = source_targets(sizes, self.weights, self.budget, self.epochs)
+        turned = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in self.schedules])
+        rates = F.element_at(turned, (F.col("place") % len(self.schedules) + 1).cast("int"))
+        for name, (a, b) in self.named.items():
+            rates = F.when(F.col("source") == name, F.array(F.lit(float(a)), F.lit(float(b)))).otherwise(rates)
+        goals = goals.withColumn("rates", rates).withColumnRenamed("source", "_source")
+        return rows.join(goals, rows["source"].eqNullSafe(goals["_source"])).drop("_source")
+
+    def positions(self, before: Column) -> Column:
+        """Times at which a document is taken, by the epochs whose middle lies in the total."""
+        middles = F.transform(
+            F.sequence(F.lit(0), F.lit(self.epochs - 1)),
+            lambda n: n * F.col("source_size") + before + F.col("size") / F.lit(2.0),
+        )
+        taken = F.filter(middles, lambda m: (F.col("size") > 0) & (m < F.col("target")))
+        return F.transform(taken, lambda m: demand_time(m / F.col("target"), F.col("rates")))
 
 
 def training_mix(
-    docs: DataFrame,
-    id: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    payload: Sequence[str] = (),
-    weights: Sequence[float] = WEIGHTS,
-    budget: float = BUDGET,
-    epochs: int = EPOCHS,
-    schedules: Sequence[tuple[float, float]] = SCHEDULES,
-    named: Mapping[str, tuple[float, float]] | None = None,
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", plan: Plan | None = None
 ) -> DataFrame:
-    """One row per document, range-sorted by first position: ``id, source, size, source_size,
-    target, copies, taken, positions`` and the columns of ``payload``.
-
-    ``positions`` holds the time of each epoch in which the document is taken. ``named`` gives
-    schedules to sources by name, ``schedules`` to the others in turn. Rates are positive.
-    """
-    rows = _laid_out(docs, id, text, source, payload)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = source_targets(sizes, weights, budget, epochs)
-    turned = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in schedules])
-    rates = F.element_at(turned, (F.col("place") % len(schedules) + 1).cast("int"))
-    for name, (a, b) in (named or {}).items():
-        rates = F.when(F.col("source") == name, F.array(F.lit(float(a)), F.lit(float(b)))).otherwise(rates)
-    goals = goals.withColumn("rates", rates).withColumnRenamed("source", "_source")
-    made = rows.join(goals, rows["source"].eqNullSafe(goals["_source"])).drop("_source")
-    middles = F.transform(
-        F.sequence(F.lit(0), F.lit(epochs - 1)),
-        lambda n: n * F.col("source_size") + F.col("before") + F.col("size") / F.lit(2.0),
-    )
-    taken = F.filter(middles, lambda m: (F.col("size") > 0) & (m < F.col("target")))
-    times = F.transform(taken, lambda m: demand_time(m / F.col("target"), F.col("rates")))
-    made = made.withColumn("positions", times).withColumn("copies", F.size("positions"))
-    made = made.withColumn("taken", F.col("copies") * F.col("size"))
+    """One row per document, range-sorted by first position (untaken ones last): ``id, source,
+    size, source_size, target, taken, positions``; ``positions`` has the time of each epoch in
+    which the document is taken."""
+    plan = plan or Plan()
+    made = plan.with_goals(_laid_out(docs, id, text, source)).withColumn("positions", plan.positions(F.col("before")))
     out = made.select(
-        F.col("_id").alias(id), *([F.col("source")] if "source" != id else []), "size", "source_size", "target",
-        "copies", F.col("taken").cast("long").alias("taken"), "positions", *map(quoted, payload),
+        F.col("_id").alias(id), *(["source"] if id != "source" else []), "size", "source_size", "target",
+        (F.size("positions") * F.col("size")).cast("long").alias("taken"), "positions",
     )
     return out.orderBy(F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0)), quoted(id))
 
 
-def mixed_documents(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The training stream: ``docs`` as often as the mix takes them, in order of position.
-    Documents without words are in no mix."""
+def mixed_documents(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", plan: Plan | None = None
+) -> DataFrame:
+    """The training stream: ``docs`` as often as the mix takes them, range-sorted by position.
+
+    Decisions are made on narrow rows; the documents meet theirs by id and text, and rows equal
+    in both take the places of their group one after the other. Documents without words are in
+    no mix.
+    """
+    plan = plan or Plan()
+    placed = _laid_out(docs, id, text, source)
+    groups = placed.groupBy("source", "_order", "_other").agg(F.first("size").alias("size"), F.min("before").alias("before"), F.count("*").alias("n"))
+    # Sizes of sources come from all rows, as in training_mix.
+    goals = plan.with_goals(placed.select("source", "size")).select("source", "source_size", "target", "rates").distinct()
+    goals = goals.withColumnRenamed("source", "_source")
+    groups = groups.join(goals, groups["source"].eqNullSafe(goals["_source"]))
+    some = F.size(plan.positions(F.col("before"))) > 0
+    chosen = groups.where(some | (F.col("n") > 1)).select(
+        F.xxhash64("source").alias("_tw_source"), F.col("_order").alias("_tw_order"), F.col("_other").alias("_tw_other"),
+        "size", "before", "source_size", "target", "rates",
+    )
     names = docs.columns
-    held = [f"_c{n}" for n in range(len(names))]
-    wide = docs.select(*[quoted(name).alias(h) for name, h in zip(names, held)])
-    key = {name: h for name, h in zip(names, held)}
-    found = training_mix(wide, key[id], key[text], key[source], payload=[h for h in held if h != key[id]])
-    stream = found.where("copies > 0").withColumn("_position", F.explode("positions")).orderBy("_position", key[id])
-    return stream.select(*[F.col(h).alias(name) for name, h in zip(names, held)])
+    held = docs.select(*[quoted(name).alias(f"_c{n}") for n, name in enumerate(names)])
+    at = {name: F.col(f"_c{n}") for n, name in enumerate(names)}
+    order, other = _keys(at[id], at[text])
+    keys = ["_tw_order", "_tw_other", "_tw_source"]
+    wide = held.select("*", order.alias(keys[0]), other.alias(keys[1]), F.xxhash64(at[source]).alias(keys[2]))
+    met = wide.join(chosen, keys)
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) - 1
+    met = met.withColumn("_tw_turn", turn)
+    stream = met.withColumn("_tw_at", F.explode(plan.positions(F.col("before") + F.col("_tw_turn") * F.col("size"))))
+    return stream.orderBy("_tw_at", *keys).select(*[at[name].alias(name) for name in names])
