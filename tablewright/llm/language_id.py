@@ -8,8 +8,8 @@ gives ``lang_pred`` and ``score``. The state starts anew in each window, so wind
 texts run side by side as one matrix and memory depends on the block of windows, not on a text.
 
 The network is trained in numpy by backpropagation through time, on the driver, from a bounded
-sample of labelled rows: at most ``SAMPLE_ROWS`` rows, the same number of each language (those
-whose id has the smallest hash), and from each at most ``PIECES`` pieces of ``WINDOW``
+sample of labelled rows: at most ``SAMPLE_ROWS`` rows, as even over the languages as these allow (those with
+the smallest hashes in ``SLOTS`` slots of each language), and from each at most ``PIECES`` pieces of ``WINDOW``
 characters. Prediction covers every whole text; language, source and id never enter it.
 
 Results: a text that is null or has no letter gets ``und`` and score 0, as does every text if no
@@ -31,6 +31,7 @@ from .common import prepare, quoted, without
 
 WINDOW, HIDDEN = 64, 8
 SAMPLE_ROWS, PIECES = 2400, 2
+SLOTS = 64
 EPOCHS, BATCH, RATE = 12, 128, 0.01
 BLOCK = 2048  # windows run side by side
 PAD = 256  # symbol after the end of a text
@@ -222,10 +223,12 @@ def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "la
     rows = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     pieces = [F.expr(f"substring(text, 1 + cast((length(text) - {WINDOW}) * {n} / {PIECES} AS int), {WINDOW})") for n in range(PIECES)]
     short = F.when(F.length("text") > WINDOW * PIECES, F.array(*pieces)).otherwise(F.array(F.substring("text", 1, WINDOW)))
-    first = Window.partitionBy("lang").orderBy("hash", "pieces")
-    ranked = rows.select("lang", F.xxhash64("id").alias("hash"), short.alias("pieces"))
-    ranked = ranked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_ROWS)
-    sample = ranked.orderBy("rank", "lang").limit(SAMPLE_ROWS).collect()
+    # A language is ranked in slots, so that a common one is spread over many tasks.
+    first = Window.partitionBy("lang", "slot").orderBy("hash", "pieces")
+    hashed = F.xxhash64("id", "text")
+    ranked = rows.select("lang", hashed.alias("hash"), F.pmod(hashed, F.lit(SLOTS)).alias("slot"), short.alias("pieces"))
+    ranked = ranked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= -(-SAMPLE_ROWS // SLOTS))
+    sample = ranked.orderBy("rank", "slot", "lang", "hash").limit(SAMPLE_ROWS).collect()
     if not sample:
         return None
     languages = sorted({r.lang for r in sample})
