@@ -16,8 +16,9 @@ empty one. Input columns called like an output give way to it.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -94,45 +95,41 @@ class ChunkTable:
                 yield 0, "", ""
 
 
-def encode_pieces(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array of int) and ``decoded`` (string)."""
+def _id_lists(rows: list[tuple[int, str, str]]) -> pa.Array:
+    """Ids of the rows of a batch as lists."""
+    joined = ",".join(ids for _, ids, _ in rows if ids)
+    flat = np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32)
+    ends = np.cumsum([0, *(n for n, _, _ in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def encode_pieces(docs: DataFrame, model: str, text: str = "text", columns: Sequence[str] = ("ids", "decoded")) -> DataFrame:
+    """``docs`` with the columns asked for: ``n_tokens``, ``ids`` (array of int), ``decoded``
+    (string), ``ids_sha256`` and ``decoded_sha256``, the SHA-256 of the decimal ids joined by
+    commas and of the decoded text in UTF-8. What is not asked for does not leave the worker."""
     prepare(docs.sparkSession)
     proto = load(model)
-
-    @F.arrow_udf("ids array<int>, decoded string")
+    make = {
+        "n_tokens": ("long", lambda rows: pa.array([n for n, _, _ in rows], pa.int64())),
+        "ids": ("array<int>", _id_lists),
+        "decoded": ("string", lambda rows: pa.array([text for _, _, text in rows], pa.string())),
+        "ids_sha256": ("string", lambda rows: pa.array([_sha(ids) for _, ids, _ in rows], pa.string())),
+        "decoded_sha256": ("string", lambda rows: pa.array([_sha(text) for _, _, text in rows], pa.string())),
+    }
+    made = [make[name][1] for name in columns]
+
+    @F.arrow_udf(", ".join(f"{name} {make[name][0]}" for name in columns))
     def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = ChunkTable(proto)
         for batch in batches:
             rows = list(table.encode(batch.to_pylist()))
-            ids = [[int(i) for i in joined.split(",")] if joined else [] for _, joined, _ in rows]
-            yield pa.StructArray.from_arrays(
-                [pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, _, d in rows], pa.string())],
-                names=["ids", "decoded"],
-            )
+            yield pa.StructArray.from_arrays([build(rows) for build in made], names=list(columns))
 
-    rows = without(docs, ["ids", "decoded", "_tw_coded"])
+    rows = without(docs, [*columns, "_tw_coded"])
     return rows.withColumn("_tw_coded", coded(quoted(text))).select(*map(quoted, rows.columns), "_tw_coded.*")
 
 
-def piece_digests(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: what
-    :func:`encode_pieces` gives, digested in the worker so that ids need not travel."""
-    prepare(docs.sparkSession)
-    proto = load(model)
-
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digested(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = ChunkTable(proto)
-        for batch in batches:
-            rows = [(n, _sha(ids), _sha(decoded)) for n, ids, decoded in table.encode(batch.to_pylist())]
-            counts, ids, decoded = zip(*rows) if rows else ((), (), ())
-            yield pa.StructArray.from_arrays(
-                [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
-                names=["n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    rows = without(docs, ["n_tokens", "ids_sha256", "decoded_sha256", "_tw_coded"])
-    return rows.withColumn("_tw_coded", digested(quoted(text))).select(*map(quoted, rows.columns), "_tw_coded.*")
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def _sha(text: str) -> str:

@@ -75,8 +75,8 @@ def op4_token_counts(spark: SparkSession, folder: str, model: str | None = None)
 @query()
 def op5_sentencepiece_codec(spark: SparkSession, folder: str, model: str | None = None) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = piece_codec.piece_digests(docs, model or tokenizer("piece_bpe_32k.model"))
-    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    coded = piece_codec.encode_pieces(docs, model or tokenizer("piece_bpe_32k.model"), columns=piece_codec.DIGESTS)
+    return coded.select("doc_id", *piece_codec.DIGESTS)
 
 
 @query()

@@ -31,7 +31,7 @@ def test_columns_of_documents(spark, library):
     docs = clashing(frame(spark), ["ids", "_tw_coded"])
     for row in piece_codec.encode_pieces(docs, MODEL).collect():
         assert row.ids == library.encode(row.text or "") and row.decoded == library.decode(row.ids)
-    for row in piece_codec.piece_digests(docs, MODEL).collect():
+    for row in piece_codec.encode_pieces(docs, MODEL, columns=piece_codec.DIGESTS).collect():
         assert row.n_tokens == len(library.encode(row.text or ""))
         assert row.ids_sha256 == piece_codec._sha(",".join(map(str, library.encode(row.text or ""))))
     assert piece_codec.encode_pieces(frame(spark, [], SCHEMA), MODEL).collect() == []
