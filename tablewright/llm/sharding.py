@@ -43,7 +43,7 @@ def draw(rows: str, good: str, taken: str, uniform: str) -> str:
     """
     low, high = f"greatest(0L, {taken} - ({rows} - {good}))", f"least({taken}, {good})"
     mode = f"least({high}, greatest({low}, cast(floor(({taken} + 1D) * ({good} + 1D) / ({rows} + 2D)) AS bigint)))"
-    part = f"{good} / greatest({rows}, 1L)"
+    part = f"(cast({good} AS double) / greatest({rows}, 1L))"
     spread = f"sqrt({taken} * {part} * (1D - {part}) * (({rows} - {taken}) / greatest({rows} - 1D, 1D)))"
     steps = f"cast({REACH} * {spread} AS bigint) + 20L"
 
@@ -56,23 +56,23 @@ def draw(rows: str, good: str, taken: str, uniform: str) -> str:
 
     def total(ratio, sign: str) -> str:
         start = f"named_struct('k', {mode}, 'w', 1D, 's', 0D)"
-        move = f"a.w * {ratio('a.k')}"
-        return f"aggregate(sequence(1L, {steps}), {start}, (a, i) -> named_struct('k', a.k {sign} 1L, 'w', {move}, 's', a.s + {move}), a -> a.s)"
+        move = f"walk.w * {ratio('walk.k')}"
+        return f"aggregate(sequence(1L, {steps}), {start}, (walk, n_) -> named_struct('k', walk.k {sign} 1L, 'w', {move}, 's', walk.s + {move}), walk -> walk.s)"
 
     def find(ratio, sign: str, first: str, target: str) -> str:
         start = f"named_struct('k', {mode}, 'w', 1D, 's', {first})"
-        move = f"a.w * {ratio('a.k')}"
+        move = f"walk.w * {ratio('walk.k')}"
         return (
-            f"aggregate(sequence(1L, {steps}), {start}, (a, i) -> if(a.s > {target} OR a.w = 0D, a, "
-            f"named_struct('k', a.k {sign} 1L, 'w', {move}, 's', a.s + {move})), "
-            f"a -> greatest({low}, least({high}, a.k)))"
+            f"aggregate(sequence(1L, {steps}), {start}, (walk, n_) -> if(walk.s > {target} OR walk.w = 0D, walk, "
+            f"named_struct('k', walk.k {sign} 1L, 'w', {move}, 's', walk.s + {move})), "
+            f"walk -> greatest({low}, least({high}, walk.k)))"
         )
 
     above, below = total(up, "+"), total(down, "-")
     return (
-        f"element_at(transform(array(named_struct('above', {above}, 'below', {below})), z -> "
-        f"element_at(transform(array({uniform} * (1D + z.above + z.below)), t -> "
-        f"if(t < 1D + z.above, {find(up, '+', '1D', 't')}, {find(down, '-', '1D + z.above', 't')})), 1)), 1)"
+        f"element_at(transform(array(named_struct('above', {above}, 'below', {below})), sides -> "
+        f"element_at(transform(array({uniform} * (1D + sides.above + sides.below)), goal -> "
+        f"if(goal < 1D + sides.above, {find(up, '+', '1D', 'goal')}, {find(down, '-', '1D + sides.above', 'goal')})), 1)), 1)"
     )
 
 
