@@ -14,7 +14,7 @@ cell's pivot; an entry its distance to the routing vector. The nodes are stored
 A query first searches its own cell, which gives a bound on its k-th score, then those other cells
 whose pivot and radius cannot exclude a better entry. In a page, leaves whose stored parent
 distance already exceeds the bound are dropped without a computation; the others are visited in
-order of their least possible distance until that exceeds the bound; in a leaf the stored
+order of their least possible distance until that exceeds the bound, in waves; in a leaf the stored
 distance of an entry saves its computation in the same way. Comparisons leave room for rounding
 and for ties, scores are computed in exact integers. Queries and pages meet in blocks of bounded
 size, so neither a page nor the queries of a page are gathered without limit.
@@ -29,6 +29,7 @@ empty table gives an empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -147,34 +148,59 @@ def _build(space: Space, pivots: np.ndarray):
 
 # --- search --------------------------------------------------------------------------------
 
+@dataclass
+class Page:
+    """The leaves of one page: routing vectors, radii and parent distances, the number of
+    entries of each leaf, and the entries of all leaves one after the other."""
+
+    routing: np.ndarray
+    radius: np.ndarray
+    parent: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+    vectors: np.ndarray
+    distances: np.ndarray
+
+
+WAVE = 4  # leaves visited at first; each wave takes twice as many as the one before
+
+
 def search_page(
-    query: np.ndarray, own: int, bound: float | None, to_pivot: float, k: int, space: Space,
-    routing: np.ndarray, radius: np.ndarray, parent: np.ndarray, leaves: list[tuple[np.ndarray, np.ndarray, np.ndarray]],
+    page: Page, query: np.ndarray, own: int, bound: float | None, to_pivot: float, k: int, space: Space
 ) -> tuple[np.ndarray, np.ndarray, int]:
     """Best ``k`` scores and ids of one page, and the number of distances computed.
 
-    ``bound`` is a score that better entries must reach; ``leaves`` hold ids, vectors and distances.
+    ``bound`` is a score that better entries must reach. Leaves are visited in order of their
+    least possible distance, in waves between which the bound is drawn closer.
     """
     norm = float(query @ query)
     reach = np.inf if bound is None else float(space.from_scores(norm, bound)) + space.slack
-    near = np.flatnonzero(np.abs(to_pivot - parent) - radius <= reach)
-    to_routing = space.from_scores(norm, routing[near] @ query)
+    near = np.flatnonzero(np.abs(to_pivot - page.parent) - page.radius <= reach)
+    to_routing = np.full(len(page.radius), np.inf)
+    to_routing[near] = space.from_scores(norm, page.routing[near] @ query)
     computed = len(near)
-    least = to_routing - radius[near]
-    best, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-    for at in np.argsort(least, kind="stable"):
-        if least[at] > reach:
+    least = to_routing - page.radius
+    waiting = near[np.argsort(least[near], kind="stable")]
+    best, ids, width = np.empty(0, np.int64), np.empty(0, np.int64), WAVE
+    while len(waiting):
+        now, waiting = waiting[:width], waiting[width:]
+        now, width = now[least[now] <= reach], 2 * width
+        if not len(now):
             break
-        names, rows, distances = leaves[near[at]]
-        open_ = (np.abs(to_routing[at] - distances) <= reach) & (names != own)
-        if not open_.any():
-            continue
-        computed += int(open_.sum())
-        scores = space.scores(rows[open_], query).astype(np.int64)
-        best, ids = np.concatenate((best, scores)), np.concatenate((ids, names[open_]))
-        if len(best) >= k:
-            order = np.lexsort((ids, -best))[:k]
-            best, ids = best[order], ids[order]
+        open_ = np.zeros(len(least), bool)
+        open_[now] = True
+        at = np.flatnonzero(np.repeat(open_, page.sizes))
+        gap = np.abs(np.repeat(to_routing, page.sizes)[at] - page.distances[at])
+        at = at[(gap <= reach) & (page.ids[at] != own)]
+        computed += len(at)
+        scores = space.scores(page.vectors[at], query).astype(np.int64)
+        if len(scores) > k:
+            good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+            at, scores = at[good], scores[good]
+        best, ids = np.concatenate((best, scores)), np.concatenate((ids, page.ids[at]))
+        order = np.lexsort((ids, -best))[:k]
+        best, ids = best[order], ids[order]
+        if len(best) == k:
             reach = min(reach, float(space.from_scores(norm, float(best[-1]))) + space.slack)
     return best, ids, computed
 
@@ -189,16 +215,17 @@ def _search(space: Space, pivots: np.ndarray, k: int):
         out: list[list[np.ndarray]] = [[], [], [], []]
         if len(queries) and len(nodes):
             pivot = pivots[key[0].as_py()]
-            routing = _matrix(nodes["routing"].combine_chunks(), width)
-            radius, parent = nodes["radius"].to_numpy(), nodes["parent"].to_numpy()
-            leaves = [
-                (np.array(i, np.int64), np.frombuffer(v, "<i4").reshape(-1, width).astype(np.float64), np.array(d))
-                for i, v, d in zip(nodes["ids"].to_pylist(), nodes["vectors"].to_pylist(), nodes["distances"].to_pylist())
-            ]
+            entries = [np.frombuffer(v, "<i4") for v in nodes["vectors"].to_pylist()]
+            page = Page(
+                _matrix(nodes["routing"].combine_chunks(), width), nodes["radius"].to_numpy(), nodes["parent"].to_numpy(),
+                np.array([len(v) // width for v in entries]), nodes["ids"].combine_chunks().flatten().to_numpy(),
+                np.concatenate(entries).reshape(-1, width).astype(np.float64),
+                nodes["distances"].combine_chunks().flatten().to_numpy(),
+            )
             rows = _matrix(queries["v"].combine_chunks(), width)
             for row, q, own, bound in zip(rows, *(queries[n].to_pylist() for n in ("q", "id", "bound"))):
                 to_pivot = float(space.from_scores(float(row @ row), float(pivot @ row)))
-                best, ids, _ = search_page(row, own, bound, to_pivot, k, space, routing, radius, parent, leaves)
+                best, ids, _ = search_page(page, row, own, bound, to_pivot, k, space)
                 for part, values in zip(out, (np.full(len(ids), q), np.full(len(ids), own), ids, best)):
                     part.append(values)
         flat = [np.concatenate(part).astype(np.int64) if part else np.empty(0, np.int64) for part in out]

@@ -48,11 +48,15 @@ def test_bounds_save_computations():
     assert sorted(np.concatenate(leaves).tolist()) == list(range(1200)) and max(map(len, leaves)) <= search.LEAF
     pivot = rows[:1]
     routing = np.concatenate([rows[leaf[:1]] for leaf in leaves])
-    held = [(leaf, rows[leaf], space.between(rows[leaf], rows[leaf[:1]])[:, 0]) for leaf in leaves]
-    radius, parent = np.array([d.max() for _, _, d in held]), space.between(routing, pivot)[:, 0]
+    far = [space.between(rows[leaf], rows[leaf[:1]])[:, 0] for leaf in leaves]
+    every = np.concatenate(leaves)
+    page = search.Page(
+        routing, np.array([d.max() for d in far]), space.between(routing, pivot)[:, 0],
+        np.array([len(leaf) for leaf in leaves]), every, rows[every], np.concatenate(far),
+    )
     query = rows[5]
     to_pivot = float(space.from_scores(float(query @ query), float(pivot[0] @ query)))
-    scores, ids, computed = search.search_page(query, 5, None, to_pivot, 20, space, routing, radius, parent, held)
+    scores, ids, computed = search.search_page(page, query, 5, None, to_pivot, 20, space)
     wanted = sorted((-int(rows[i] @ query), i) for i in range(1200) if i != 5)[:20]
     assert list(zip((-scores).tolist(), ids.tolist())) == wanted
     assert computed < 700
