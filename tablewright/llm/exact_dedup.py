@@ -1,7 +1,7 @@
 """Exact dedup in two passes around a Bloom filter.
 
-The first pass reads only hashes. Each text sets ``BITS_PER_TEXT`` bits inside one 64-bit word
-of the filter; a bit that two rows set is kept as "repeated". A row whose bits are all repeated
+The first pass reads only hashes. Each text sets a few bits inside one 64-bit word of the
+filter; a bit that two rows set is kept as "repeated". A row whose bits are all repeated
 possibly has a copy; every other row has certainly none and passes straight through. Only the
 possibly repeated rows are shuffled, by the SHA-256 of the text, and settled exactly, so a false
 alarm of the filter costs a shuffled row and never changes a result.
@@ -17,47 +17,24 @@ empty table gives an empty one. Input columns called like an output give way to
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import prepare, quoted, without
 
-WORDS = 1 << 20
-BITS_PER_TEXT = 3
 SALTS = 64  # parts of a large group of copies
-_OWN = ["_tw_hash", "_tw_word", "_tw_mask", "_tw_bits", "_tw_repeated", "_tw_row"]
 
 
-def _filter_columns(text: Column, words: int) -> dict[str, Column]:
-    """The filter word of a text and its bits in that word."""
-    low = F.xxhash64(text)
-    other = F.xxhash64(low, F.lit(1))
-    bits = [F.expr(f"shiftleft(1L, cast(shiftright(_tw_other, {6 * n}) & 63 AS int))") for n in range(BITS_PER_TEXT)]
-    return {"_tw_word": F.pmod(low, F.lit(words)), "_tw_other": other, "_tw_bits": F.array(*bits)}
-
-
-def possibly_repeated(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
+def possibly_repeated(docs: DataFrame, text: str = "text", words: int = bloom.WORDS) -> DataFrame:
     """``docs`` with ``_tw_repeated``: false only if no other row has this text."""
     prepare(docs.sparkSession)
-    column = F.coalesce(quoted(text), F.lit(""))
-    made = _filter_columns(column, words)
-
-    def hashed(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_tw_word", made["_tw_word"]).withColumn("_tw_other", made["_tw_other"])
-        return rows.withColumn("_tw_bits", made["_tw_bits"]).drop("_tw_other")
-
-    bits = hashed(docs.select(quoted(text))).select("_tw_word", F.explode(F.array_distinct("_tw_bits")).alias("bit"))
-    counted = bits.groupBy("_tw_word", "bit").agg(F.count("*").alias("n")).where("n > 1")
-    filled = counted.groupBy("_tw_word").agg(F.bit_or("bit").alias("_tw_mask"))
-    own = F.aggregate("_tw_bits", F.lit(0).cast("long"), lambda held, bit: held.bitwiseOR(bit))
-    tested = hashed(without(docs, _OWN)).withColumn("_tw_bits", own)
-    # At most `words` rows of two longs.
-    tested = tested.join(F.broadcast(filled), "_tw_word", "left")
-    hit = F.coalesce(F.col("_tw_mask").bitwiseAND(F.col("_tw_bits")) == F.col("_tw_bits"), F.lit(False))
-    return tested.withColumn("_tw_repeated", hit).drop("_tw_word", "_tw_mask", "_tw_bits")
+    key = F.coalesce(quoted(text), F.lit(""))
+    held = bloom.filled(docs.select(quoted(text)), key, words, repeated=True)
+    return bloom.tested(without(docs, ["_tw_repeated"]), key, held, "_tw_repeated", words)
 
 
-def mark_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def mark_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = bloom.WORDS) -> DataFrame:
     """One row per document: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Rows that pass through and rows that were settled come from one checkpoint of these narrow
@@ -91,7 +68,7 @@ def mark_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words:
     return single.unionByName(settled).withColumnRenamed("_tw_id", id)
 
 
-def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = bloom.WORDS) -> DataFrame:
     """``docs`` with one row of each text. Rows without copies are not shuffled; of the others
     each map task keeps one row per text before the shuffle."""
     marked = possibly_repeated(docs, text, words)

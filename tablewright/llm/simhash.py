@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
 from .common import columns, prepare, quoted, without
 from .components import components
 
@@ -234,11 +235,24 @@ def near_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id (null ids last),
     of several texts under that id the one with the smallest hash. Of rows equal in id and text
-    one stays."""
-    rows = without(docs, ["_tw_id", "_tw_hash"]).withColumn("_tw_hash", F.xxhash64(quoted(text)))
+    one stays.
+
+    What has to go (or to become one row) is listed by id and hash of the text. A Bloom filter of
+    that list, of bounded size, lets most documents pass as they are; only the others are shuffled
+    to meet the list.
+    """
+    rows = without(docs, ["_tw_id", "_tw_hash", "_tw_listed", "_tw_stays"]).withColumn("_tw_hash", F.xxhash64(quoted(text)))
+    grouped = _grouped(rows, id, text, ("_tw_hash",))
     order = F.struct(F.col("_tw_id").isNull().alias("a"), "_tw_id", "_tw_hash")
-    best = _grouped(rows, id, text, ("_tw_hash",)).groupBy("group").agg(F.min(order).alias("best"))
-    best = best.select(F.col("best._tw_id").alias("_tw_id"), F.col("best._tw_hash").alias("_tw_best"))
-    same = [quoted(id).eqNullSafe(F.col("_tw_id")), F.col("_tw_hash") == F.col("_tw_best")]
-    kept = rows.join(best, same, "left_semi").dropDuplicates([id, "_tw_hash"])
-    return columns(kept, [c for c in rows.columns if c != "_tw_hash"])
+    best = grouped.groupBy("group").agg(F.min(order).alias("best"))
+    single = grouped.groupBy("group", "_tw_id", "_tw_hash").agg(F.count("*").alias("n")).join(best, "group")
+    stays = F.col("best._tw_id").eqNullSafe(F.col("_tw_id")) & (F.col("best._tw_hash") == F.col("_tw_hash"))
+    listed = single.select("_tw_id", F.col("_tw_hash").alias("_tw_same"), stays.alias("_tw_stays"), "n")
+    listed = listed.where("NOT _tw_stays OR n > 1").drop("n").checkpoint()
+    held = bloom.filled(listed, F.xxhash64("_tw_id", "_tw_same"))
+    marked = bloom.tested(rows, F.xxhash64(quoted(id), F.col("_tw_hash")), held, "_tw_listed")
+    same = [quoted(id).eqNullSafe(F.col("_tw_id")), F.col("_tw_hash") == F.col("_tw_same")]
+    met = marked.where("_tw_listed").join(listed, same, "left").where("coalesce(_tw_stays, true)")
+    names = [c for c in rows.columns if c != "_tw_hash"]
+    passed = columns(marked.where("NOT _tw_listed"), names)
+    return passed.unionByName(columns(met.dropDuplicates([id, "_tw_hash"]), names))

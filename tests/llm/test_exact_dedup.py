@@ -5,7 +5,7 @@ import pytest
 from helpers import SCHEMA, awkward, clashing, frame, plain
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup
+from tablewright.llm import bloom, exact_dedup
 
 
 def expected(rows):
@@ -23,12 +23,12 @@ def expected(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("words", [1, 2, exact_dedup.WORDS])
+@pytest.mark.parametrize("words", [1, 2, bloom.WORDS])
 def test_groups_do_not_depend_on_the_filter(spark, words):
     assert plain(exact_dedup.mark_copies(frame(spark), words=words)) == expected(awkward())
 
 
-@pytest.mark.parametrize("words", [1, exact_dedup.WORDS])
+@pytest.mark.parametrize("words", [1, bloom.WORDS])
 def test_drop_copies(spark, words):
     docs = clashing(frame(spark), ["kept", "_tw_row", "_tw_hash", "keep_id"])
     left = exact_dedup.drop_copies(docs, words=words)
@@ -47,3 +47,13 @@ def test_hot_group_and_empty(spark):
     assert plain(exact_dedup.mark_copies(frame(spark, rows))) == expected(rows)
     assert exact_dedup.mark_copies(frame(spark, [], SCHEMA)).collect() == []
     assert exact_dedup.drop_copies(frame(spark, [], SCHEMA)).collect() == []
+
+
+def test_filter_misses_no_key(spark):
+    rows = spark.range(2000)
+    for words in (4, 1 << 12):
+        held = bloom.filled(rows.where("id % 2 = 0"), F.col("id"), words)
+        found = bloom.tested(rows, F.col("id"), held, "hit", words)
+        assert found.where("id % 2 = 0 AND NOT hit").count() == 0
+        if words > 4:
+            assert found.where("id % 2 = 1 AND hit").count() < 50
