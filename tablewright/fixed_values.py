@@ -64,6 +64,8 @@ MENU_TABLE = "table"
 MENU_GROUP_ROW = "itemGroupRow"
 MENU_ITEM_ROWS = ("itemPrimaryRow", "itemAlternateRow")
 MENU_LINK = "cbo_nn_itemHover"
+# Start of the id of the link that opens an item's label.
+LABEL_LINK = "showNutrition_"
 
 # Classes of the parts of a label page.
 LABEL_PARTS = {

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(value: Column | str) -> Column:
@@ -39,17 +42,21 @@ def trim_ws(value: Column | str, flavour: str = "js") -> Column:
     return F.btrim(col(value), F.lit(BLANKS[flavour]))
 
 
+@F.arrow_udf(T.StringType())
+def _decomposed(values: pa.Array) -> pa.Array:
+    """Compatibility decomposition (NFKD)."""
+    return pc.utf8_normalize(values, form="NFKD")
+
+
 def normalize_key(value: Column | str) -> Column:
     """Lower-case, decompose (NFKD), turn runs outside ``[a-z0-9]`` into one space, trim.
 
-    Only rows with a non-ASCII character go through the decomposition, which Spark calls
-    inside the JVM; no Python worker is involved.
+    Only texts with a non-ASCII character travel to the Arrow function that decomposes them. It
+    is deterministic, so filters on other columns still reach the scan.
     """
     lowered = F.lower(col(value))
-    decomposed = F.reflect(
-        F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), lowered, F.lit(True)
-    )
-    plain = F.when(lowered.rlike(r"[^\x00-\x7F]"), decomposed).otherwise(lowered)
+    odd = lowered.rlike(r"[^\x00-\x7F]")
+    plain = F.coalesce(_decomposed(F.when(odd, lowered)), lowered)
     return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 

@@ -107,14 +107,32 @@ def parse_events(
     return valid_events(events) if dialect == "strict" else events
 
 
+# Events are numbered in ranges of this many seconds.
+RANGE = 600
+
+
+def _range(start: Column | str = "start", seconds: int = RANGE) -> Column:
+    return F.floor(F.unix_micros(start) / F.lit(seconds * 1_000_000))
+
+
 def sort_events(events: DataFrame) -> DataFrame:
     return events.orderBy("start", "ord")
 
 
+def event_positions(events: DataFrame) -> DataFrame:
+    """Events with their 1-based ``position`` in the order of ``sort_events``."""
+    return with_position(events, [], ["start", "ord"], "position", _range())
+
+
 def sort_events_unparseable_last(events: DataFrame) -> DataFrame:
     return events.orderBy(F.asc_nulls_last("start"), "ord")
 
 
+def event_positions_unparseable_last(events: DataFrame) -> DataFrame:
+    last = F.coalesce(_range(), F.lit(2**62))
+    return with_position(events, [], [F.asc_nulls_last("start"), "ord"], "position", last)
+
+
 def split_upcoming_past(events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(not yet ended at ``as_of``, ended before it)."""
     return events.where(F.col("end") >= as_of), events.where(F.col("end") < as_of)
@@ -124,6 +142,11 @@ def sort_past_desc(past: DataFrame) -> DataFrame:
     return past.orderBy(F.desc("start"), "ord")
 
 
+def past_positions(past: DataFrame) -> DataFrame:
+    """Past events with their ``position`` in the order of ``sort_past_desc``."""
+    return with_position(past, [], [F.desc("start"), "ord"], "position", -_range())
+
+
 def next3_events(upcoming: DataFrame, k: int = 3) -> DataFrame:
     return upcoming.orderBy("start", "ord").limit(k)
 
@@ -132,9 +155,10 @@ def with_day(events: DataFrame, zone: str = ZONE) -> DataFrame:
     return events.withColumn("date_key", local_date_key("start", zone))
 
 
-def events_by_day(events: DataFrame, zone: str = ZONE) -> DataFrame:
-    """Events with their local day and exact place in it; a day is never gathered into a list."""
-    return with_position(with_day(events, zone), ["date_key"], ["start", "ord"], "day_position")
+def events_by_day(events: DataFrame, zone: str = ZONE, seconds: int = RANGE) -> DataFrame:
+    """Events with their local day and exact place in it; a day is never gathered into a list.
+    Events are numbered in ranges of ``seconds``."""
+    return with_position(with_day(events, zone), ["date_key"], ["start", "ord"], "day_position", _range(seconds=seconds))
 
 
 def day_counts(events: DataFrame, zone: str = ZONE) -> DataFrame:
@@ -192,11 +216,13 @@ def initial_month(events: DataFrame, as_of: Column, zone: str = ZONE) -> DataFra
 def event_report_rows(fields: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Row set of the printed calendar, from lenient raw fields, in start order.
 
-    An empty link or description is null: those rows are not printed.
+    An empty link or description is null: those rows are not printed. ``start_raw`` is the start
+    as the calendar has it.
     """
     rows = fields.select(
         *keep,
         "ord",
+        "start_raw",
         parse_ics_ts("start_raw", "lenient").alias("start"),
         F.col("summary").alias("title"),
         F.concat(format_event_ts("start_raw"), F.lit(" to "), format_event_ts("end_raw")).alias("when"),

@@ -1,41 +1,22 @@
-"""Joins of a long table with a lookup whose size is not known beforehand."""
+"""Joins of a long table with a lookup."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..session import checkpoint_ready
-
-LOOKUP_ROWS = 100_000
-LOOKUP_BYTES = 64 * 1024 * 1024
 
 
 def join_lookup(
-    rows: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    null_safe: bool = False,
-    max_rows: int = LOOKUP_ROWS,
-    max_bytes: int = LOOKUP_BYTES,
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", null_safe: bool = False
 ) -> DataFrame:
-    """Join ``rows`` to ``lookup``, broadcasting the lookup only after measuring it.
+    """Join ``rows`` to ``lookup`` by equal keys; ``null_safe`` lets null keys meet.
 
-    At most ``max_rows + 1`` lookup rows are materialized and counted. A lookup within both
-    limits is broadcast from that copy, so the long side is not shuffled. A larger one is
-    joined as it is, by a shuffle in which Spark splits hot keys of the long side.
-    ``null_safe`` lets null keys meet.
+    The plan is the same whatever the sizes, and building it runs nothing: Spark broadcasts a
+    side it measures to be small at run time, else shuffles and splits hot keys of the long side.
     """
-    checkpoint_ready(rows.sparkSession)
-    side = lookup.withColumnsRenamed({key: f"_right_{key}" for key in on}) if null_safe else lookup
-    copy = side.limit(max_rows + 1).checkpoint()
-    measured = copy.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()
-    small = measured["n"] <= max_rows and (measured["size"] or 0) <= max_bytes
-    chosen = F.broadcast(copy) if small else side
     if not null_safe:
-        return rows.join(chosen, list(on), how)
-    same = [rows[key].eqNullSafe(chosen[f"_right_{key}"]) for key in on]
-    return rows.join(chosen, same, how).drop(*[f"_right_{key}" for key in on])
+        return rows.join(lookup, list(on), how)
+    side = lookup.withColumnsRenamed({key: f"_right_{key}" for key in on})
+    same = [rows[key].eqNullSafe(side[f"_right_{key}"]) for key in on]
+    return rows.join(side, same, how).drop(*[f"_right_{key}" for key in on])

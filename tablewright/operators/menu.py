@@ -9,13 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import FLAG_COLOURS, FLAG_WORD, HOURS_MISSING, NO_ITEMS, UNCATEGORIZED
 from ..functions.hours import fix_hours_separators
 from ..functions.text import col, normalize_key, trim_ws
-from ..session import checkpoint_ready
 from .joins import join_lookup
 from .ordering import carry_forward, dedup_first_seen, last_wins
 
@@ -103,28 +102,25 @@ def crosswalk_names(rows: DataFrame, crosswalk: DataFrame, name: str, out: str)
 
 
 def hours_by_name(raw: DataFrame, crosswalk: DataFrame, order: str = "pos") -> DataFrame:
-    """``restaurant, hours`` of hours rows (``name, raw_hours``); the last row of a name wins."""
+    """``restaurant, hours, pos`` of hours rows (``name, raw_hours``); the last row of a name wins."""
     named = crosswalk_names(raw, crosswalk, "name", "restaurant")
     fixed = named.withColumn("hours", fix_hours_separators("raw_hours"))
-    return last_wins(fixed, ["restaurant"], F.col(order), ["hours"])
+    return last_wins(fixed.withColumn("pos", F.col(order)), ["restaurant"], F.col(order), ["hours", "pos"])
 
 
-def attach_hours(
-    rows: DataFrame, hours: DataFrame, normalize: bool = False, missing: str = HOURS_MISSING, measure: bool = True
-) -> DataFrame:
+def attach_hours(rows: DataFrame, hours: DataFrame, normalize: bool = False, missing: str = HOURS_MISSING) -> DataFrame:
     """Left join on the exact name, or on its normalized key; hours default to ``missing``.
 
-    Of names that share a normalized key the greatest hours text is taken.
-
-    ``hours`` has one row per name, so the row count of ``rows`` is kept. Without ``measure``
-    the join is left to Spark, for ``rows`` that are few themselves.
+    ``hours`` has one row per name, so the row count of ``rows`` is kept. Of names that share a
+    normalized key the last one by ``pos`` wins (where ``hours`` has no ``pos``, the greatest name).
     """
     key = normalize_key if normalize else F.col
-    side = hours.select(key("restaurant").alias("_name"), F.col("hours").alias("_hours"))
+    last = F.col("pos") if "pos" in hours.columns else F.col("restaurant")
+    side = hours.select(key("restaurant").alias("_name"), F.col("hours").alias("_hours"), last.alias("_last"))
     if normalize:
-        side = side.groupBy("_name").agg(F.max("_hours").alias("_hours"))
+        side = last_wins(side, ["_name"], F.col("_last"), ["_hours"])
     named = rows.drop("hours").withColumn("_name", key("restaurant"))
-    joined = join_lookup(named, side, ["_name"]) if measure else named.join(side, ["_name"], "left")
+    joined = join_lookup(named, side.drop("_last"), ["_name"])
     return joined.withColumn("hours", F.coalesce("_hours", F.lit(missing))).drop("_name", "_hours")
 
 
@@ -135,21 +131,24 @@ def nest_menu(items: DataFrame, keys: Sequence[str] = ("restaurant",), order: st
 
     ``order`` is unique in a restaurant. A row holds the meals of one block of ordinals, so it
     never has more than ``block`` of them; a larger restaurant goes on in the row of the next
-    ``part``. Reading the parts back in order gives every meal once.
+    ``part``. Each row carries the places it has in the whole: ``place`` of the restaurant and of
+    each category is its first ordinal over all parts, that of a meal its own; ``first_part``
+    marks the part a restaurant begins in. So what is read back does not depend on ``block``.
     """
     part = F.expr(f"`{order}` div {block}").alias("part")
-    fields = [F.col(order).alias("ord"), F.col("meal").alias("name"), "is_halal"]
+    fields = [F.col("meal").alias("name"), "is_halal", F.col(order).cast("long").alias("place")]
     fields += ["nutrition"] if "nutrition" in items.columns else []
-    # Maps cannot be compared, so meals are ordered by their ordinal alone.
-    by_ord = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
-    meals = items.groupBy(*keys, part, "category").agg(
-        F.min(order).alias("_first"), F.collect_list(F.struct(*fields)).alias("_meals")
-    )
-    plain = F.transform(F.array_sort("_meals", by_ord), lambda m: m.dropFields("ord"))
-    category = F.struct(F.col("_first").alias("ord"), F.col("category").alias("name"), plain.alias("meals"))
-    nested = meals.groupBy(*keys, "part").agg(F.min("_first").alias("first_ord"), F.collect_list(category).alias("_c"))
-    ordered = F.transform(F.array_sort("_c", by_ord), lambda c: c.dropFields("ord"))
-    return nested.select(*keys, "part", "first_ord", ordered.alias("categories"))
+    # Maps cannot be compared, so meals are ordered by their place alone.
+    by_place = lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0)
+    meals = items.groupBy(*keys, "category", part).agg(F.collect_list(F.struct(*fields)).alias("_meals"))
+    first = items.groupBy(*keys, "category").agg(F.min(order).cast("long").alias("_first"))
+    placed = join_lookup(meals, first, [*keys, "category"], null_safe=True)
+    category = F.struct(F.col("category").alias("name"), F.col("_first").alias("place"), F.array_sort("_meals", by_place).alias("meals"))
+    nested = placed.groupBy(*keys, "part").agg(F.collect_list(category).alias("_c"))
+    whole = first.groupBy(*keys).agg(F.min("_first").alias("place"))
+    nested = join_lookup(nested, whole, keys, null_safe=True)
+    begins = (F.expr(f"place div {block}") == F.col("part")).alias("first_part")
+    return nested.select(*keys, "part", begins, "place", F.array_sort("_c", by_place).alias("categories"))
 
 
 def menu_report_lines(
@@ -163,12 +162,9 @@ def menu_report_lines(
     """
     scope = list(snapshot)
     per_category = items.groupBy(*scope, "restaurant", "category").agg(F.min(order).alias("category_ord"))
-    restaurant = Window.partitionBy(*scope, "restaurant")
-    checkpoint_ready(items.sparkSession)
-    # One row per category name; written once, since four parts of the report read it.
-    names = per_category.withColumn("restaurant_ord", F.min("category_ord").over(restaurant)).checkpoint()
-    first = names.where("category_ord = restaurant_ord").drop("category_ord")
-    titled = first if hours is None else attach_hours(first, hours, measure=False)
+    first = per_category.groupBy(*scope, "restaurant").agg(F.min("category_ord").alias("restaurant_ord"))
+    names = join_lookup(per_category, first, [*scope, "restaurant"])
+    titled = first if hours is None else attach_hours(first, hours)
     title = F.col("restaurant") if hours is None else F.concat_ws(" - ", "restaurant", "hours")
 
     def lines(part: DataFrame, line: Column, category_ord: Column, line_ord: Column) -> DataFrame:

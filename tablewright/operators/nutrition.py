@@ -17,6 +17,14 @@ def halal_with_nutrition(items: DataFrame) -> DataFrame:
     return items.where("is_halal AND nutrition IS NOT NULL")
 
 
+def attach_labels(items: DataFrame, labels: DataFrame, on: Sequence[str] = ("link_id",)) -> DataFrame:
+    """Items with the ``nutrition`` of the label their link opens, null without one.
+
+    ``labels`` has one row per link, so the row count of ``items`` is kept.
+    """
+    return join_lookup(items, labels.select(*on, "nutrition"), on)
+
+
 def compact_nutrition(items: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The facts shown for an item, with empty maps for missing ones, and both lookup keys."""
     facts = items.schema["nutrition"].dataType["nutrition_facts"].dataType
@@ -52,16 +60,21 @@ def lookup_count(items: DataFrame) -> DataFrame:
 
 
 def nutrition_key(items: DataFrame, by_restaurant: DataFrame, by_item: DataFrame) -> DataFrame:
-    """Add ``nutrition_key``: restaurant and item, else item alone, else null.
+    """Add ``nutrition_key``: restaurant and item, else item alone, else null."""
+    return _looked_up(items, by_restaurant, by_item, info=False)
 
-    Both lookups have unique keys, so the row count is kept.
-    """
+
+def _looked_up(items: DataFrame, by_restaurant: DataFrame, by_item: DataFrame, info: bool) -> DataFrame:
+    """Both lookups have unique keys, so the row count is kept. Facts come along in the same two
+    joins. Lookups that were written with ``write_nutrition_lookup`` have a size Spark knows."""
+    value = F.col("info") if info else F.lit(True)
     keyed = items.withColumns({"_rest": normalize_key("restaurant"), "_item": normalize_key("meal")})
-    own = by_restaurant.select(F.col("rest_key").alias("_rest"), F.col("item_key").alias("_item"), F.lit(True).alias("_own"))
-    shared = by_item.select(F.col("item_key").alias("_item"), F.lit(True).alias("_shared"))
+    own = by_restaurant.select(F.col("rest_key").alias("_rest"), F.col("item_key").alias("_item"), value.alias("_own"))
+    shared = by_item.select(F.col("item_key").alias("_item"), value.alias("_shared"))
     joined = join_lookup(join_lookup(keyed, own, ["_rest", "_item"]), shared, ["_item"])
-    key = F.when(F.col("_own"), lookup_key("_item", "_rest")).when(F.col("_shared"), lookup_key("_item"))
-    return joined.select(*items.columns, key.alias("nutrition_key"))
+    has_own, has_shared = F.col("_own").isNotNull(), F.col("_shared").isNotNull()
+    key = F.when(has_own, lookup_key("_item", "_rest")).when(has_shared, lookup_key("_item")).alias("nutrition_key")
+    return joined.select(*items.columns, key, *([F.coalesce("_own", "_shared").alias("info")] if info else []))
 
 
 def distinct_keys(items: DataFrame) -> DataFrame:
@@ -78,9 +91,9 @@ def nutrition_by_key(keys: DataFrame, by_restaurant: DataFrame, by_item: DataFra
     return split.join(table, ["rest_key", "item_key"]).select("nutrition_key", "info")
 
 
-def item_info(items: DataFrame, info_by_key: DataFrame) -> DataFrame:
-    """Menu items with the facts of their key, null without one."""
-    return join_lookup(items, info_by_key, ["nutrition_key"])
+def item_info(items: DataFrame, by_restaurant: DataFrame, by_item: DataFrame) -> DataFrame:
+    """Menu items with the facts of their key (own before shared), null without one."""
+    return _looked_up(items, by_restaurant, by_item, info=True)
 
 
 def secondary_not_in_main(secondary: DataFrame, main: DataFrame, keys: Sequence[str]) -> DataFrame:

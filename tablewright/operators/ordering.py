@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_ready
 from .joins import join_lookup
 
 
@@ -32,8 +31,10 @@ def dedup_first_seen(rows: DataFrame, keys: Sequence[str], order: str) -> DataFr
 
 
 def top_k(rows: DataFrame, value: str, order: str, k: int) -> DataFrame:
-    """The k largest; equal values stay in input order."""
-    return rows.orderBy(F.desc(value), F.asc(order)).limit(k)
+    """The k largest with their ``rank``; equal values stay in input order."""
+    best = rows.orderBy(F.desc(value), F.asc(order)).limit(k)
+    # A window over k rows.
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), F.asc(order))))
 
 
 def first_k_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, name: str) -> DataFrame:
@@ -69,7 +70,8 @@ def carry_forward(
     ends = base.groupBy(*keys).agg(*[F.max(m).alias(m) for m in marks])
     carried = ends.select(*keys, *[F.last(m, ignorenulls=True).over(before).alias(f"{m}_in") for m in marks])
 
-    joined = local.join(carried, keys, "left")
+    # Streams without a key are streams too.
+    joined = join_lookup(local, carried, keys, null_safe=True)
     out = joined.withColumns({m: F.coalesce(m, f"{m}_in") for m in marks})
     values, outer = {}, []
     for mark, (name, _, _) in zip(marks, headers):
@@ -82,20 +84,19 @@ def carry_forward(
     return out.select(*rows.columns, *[v.alias(n) for n, v in values.items()])
 
 
-def with_position(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def with_position(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, bucket: Column
+) -> DataFrame:
     """Exact 1-based position of each row in its key, without gathering a key in one task.
 
-    Rows are range-partitioned and sorted by key and order, so a hot key spans many partitions,
-    and numbered inside each. What the earlier partitions hold of a key is one small row per
-    key and partition. The numbered rows are checkpointed: both uses must see the same ranges.
+    ``bucket`` cuts the order into ranges: it never falls as the order rises (nulls first). Rows
+    are numbered inside their bucket, and what the earlier buckets hold of a key is one small row
+    per key and bucket. Nothing is stored, and building the plan runs nothing.
     """
-    checkpoint_ready(rows.sparkSession)
-    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    cut = ranged.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-    # The id is the partition number above 33 bits of row number.
-    cut = cut.withColumns({"_slice": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND(2**33 - 1)})
-    starts = cut.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
-    placed = join_lookup(cut, starts.select(*keys, "_slice", shift), [*keys, "_slice"], "inner", null_safe=True)
-    return placed.select(*rows.columns, (F.col("_row") + F.col("_shift")).alias(name))
+    cut = rows.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    starts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = join_lookup(cut.withColumn("_in", F.row_number().over(inside)), starts, [*keys, "_bucket"], "inner", null_safe=True)
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_in")).alias(name))

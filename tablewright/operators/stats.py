@@ -43,38 +43,50 @@ def restaurant_index(
     )
     named = totals.withColumn("safe_name", slugify("restaurant"))
     named = named.withColumn("filename", F.concat("safe_name", F.lit(".json")))
-    return named if hours is None else attach_hours(named, hours, measure=False)
+    return named if hours is None else attach_hours(named, hours)
 
 
 def restaurant_index_documents(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Index straight from nested documents: empty categories and restaurants count as listed.
 
-    Counts are taken inside each restaurant's own value, without unnesting meals. A name listed
-    again keeps its first place and its last values.
+    Counts are taken inside each restaurant's own value, without unnesting meals. A restaurant
+    that goes on in further parts is one listing: its parts are added, and a category counts where
+    it begins. A name listed again keeps its first place and its last values.
     """
-    listed = documents.select(*keep, F.posexplode("restaurants").alias("ord", "_r"))
+    listed = documents.select(*keep, F.posexplode("restaurants").alias("_pos", "_r"))
     categories = F.coalesce("_r.categories", F.array())
     meals = lambda c: F.coalesce(c["meals"], F.array())
     flagged = lambda c: F.filter(meals(c), lambda m: F.coalesce(m["is_halal"], F.lit(False)))
     total = lambda size: F.aggregate(categories, F.lit(0).cast("long"), lambda n, c: n + F.size(size(c)))
+    begun = lambda c: c["place"].isNull() | F.get(c["meals"], F.lit(0))["place"].eqNullSafe(c["place"])
+    begins = F.filter(categories, begun) if _has_places(documents) else categories
     counted = listed.select(
         *keep,
-        "ord",
+        (F.coalesce("_r.place", "_pos") if _has_places(documents) else F.col("_pos")).cast("long").alias("ord"),
         F.coalesce("_r.name", F.lit(NAME_MISSING)).alias("restaurant"),
         F.coalesce("_r.hours", F.lit(HOURS_MISSING)).alias("hours"),
         total(meals).alias("total_items"),
         total(flagged).alias("halal_items"),
-        F.size(categories).cast("long").alias("categories_count"),
+        F.size(begins).cast("long").alias("categories_count"),
     )
+    sums = [F.sum(n).alias(n) for n in ("total_items", "halal_items", "categories_count")]
+    listings = counted.groupBy(*keep, "restaurant", "ord").agg(F.max("hours").alias("hours"), *sums)
     values = F.struct("hours", "total_items", "halal_items", "categories_count")
-    index = counted.groupBy(*keep, "restaurant").agg(F.min("ord").alias("ord"), F.max_by(values, "ord").alias("_v"))
+    index = listings.groupBy(*keep, "restaurant").agg(F.min("ord").alias("ord"), F.max_by(values, "ord").alias("_v"))
     named = index.select(*keep, "restaurant", "ord", "_v.*").withColumn("safe_name", slugify("restaurant"))
     return named.withColumn("filename", F.concat("safe_name", F.lit(".json")))
 
 
+def _has_places(documents: DataFrame) -> bool:
+    return "place" in documents.schema["restaurants"].dataType.elementType.names
+
+
 def listed_restaurants(documents: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Restaurants as listed, repeated names included."""
-    return documents.groupBy(*keep).agg(F.sum(F.size("restaurants")).alias("total_restaurants"))
+    """Restaurants as listed, repeated names included; further parts are not listed again."""
+    shown = F.col("restaurants")
+    if _has_places(documents):
+        shown = F.filter(shown, lambda r: F.coalesce(r["first_part"], F.lit(True)))
+    return documents.groupBy(*keep).agg(F.sum(F.size(shown)).alias("total_restaurants"))
 
 
 def index_totals(index: DataFrame) -> DataFrame:
@@ -94,7 +106,7 @@ def summary_stats(index: DataFrame) -> DataFrame:
 
 
 def _ranking(index: DataFrame, value: str, k: int) -> DataFrame:
-    return top_k(index, value, "ord", k).select("restaurant", F.col(value).alias("value"))
+    return top_k(index, value, "ord", k).select("rank", "restaurant", F.col(value).alias("value"))
 
 
 def top10_items(index: DataFrame, k: int = 10) -> DataFrame:

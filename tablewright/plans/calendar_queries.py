@@ -16,24 +16,29 @@ NOW = f"TIMESTAMP '{AS_OF}'"
 # --- events ---------------------------------------------------------------------------------
 
 
-def _shown(events):
-    return events.select("ord", "title", iso("start").alias("start"), iso("end").alias("end"))
+def _shown(events, *more):
+    return events.select("ord", "title", iso("start").alias("start"), iso("end").alias("end"), *more)
 
 
 EVENT_SQL = f"""ord, title, {sql_iso('start')} AS start, {sql_iso('"end"')} AS "end" """
 
 
-@query(f'WITH {CALENDAR} SELECT {EVENT_SQL} FROM calendar ORDER BY calendar.start, ord')
+def _placed(order: str) -> str:
+    return f"CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS position"
+
+
+@query(f"WITH {CALENDAR} SELECT {EVENT_SQL}, {_placed('calendar.start, ord')} FROM calendar")
 def sort_events(t: Tables):
-    return _shown(C.sort_events(calendar(t)))
+    return _shown(C.sort_events(C.event_positions(calendar(t))), "position")
 
 
-@query(f"""WITH {CALENDAR} SELECT ord, title, CASE WHEN ord % 10 <> 0 THEN {sql_iso('start')} END AS start FROM calendar
-ORDER BY CASE WHEN ord % 10 <> 0 THEN calendar.start END NULLS LAST, ord""")
+@query(f"""WITH {CALENDAR} SELECT ord, title, CASE WHEN ord % 10 <> 0 THEN {sql_iso('start')} END AS start,
+       {_placed('CASE WHEN ord % 10 <> 0 THEN calendar.start END NULLS LAST, ord')} FROM calendar""")
 def sort_events_unparseable_last(t: Tables):
     raw = F.when(F.col("ord") % 10 != 0, ics.ics_utc("start")).otherwise("soon")
     events = calendar(t).select("ord", "title", ics.parse_ics_ts(raw, "lenient").alias("start"))
-    return C.sort_events_unparseable_last(events).select("ord", "title", iso("start").alias("start"))
+    ordered = C.sort_events_unparseable_last(C.event_positions_unparseable_last(events))
+    return ordered.select("ord", "title", iso("start").alias("start"), "position")
 
 
 @query(f'WITH {CALENDAR} SELECT {EVENT_SQL}, "end" >= {NOW} AS is_upcoming FROM calendar')
@@ -50,9 +55,10 @@ def event_counts(t: Tables):
     return calendar(t).agg(F.count_if(end >= as_of()).alias("upcoming"), F.count_if(end < as_of()).alias("past"))
 
 
-@query(f'WITH {CALENDAR} SELECT {EVENT_SQL} FROM calendar WHERE "end" < {NOW} ORDER BY calendar.start DESC, ord')
+@query(f"""WITH {CALENDAR} SELECT {EVENT_SQL}, {_placed('calendar.start DESC, ord')} FROM calendar WHERE "end" < {NOW}""")
 def sort_past_desc(t: Tables):
-    return _shown(C.sort_past_desc(C.split_upcoming_past(calendar(t), as_of())[1]))
+    past = C.split_upcoming_past(calendar(t), as_of())[1]
+    return _shown(C.sort_past_desc(C.past_positions(past)), "position")
 
 
 @query(f'WITH {CALENDAR} SELECT {EVENT_SQL} FROM calendar WHERE "end" >= {NOW} ORDER BY calendar.start, ord LIMIT 3')
@@ -264,9 +270,8 @@ FROM source""")
 def event_report_rows(t: Tables):
     fields = C.raw_fields(C.event_blocks(_ics_texts(t), ["calendar_id"], dialect="lenient"), ["calendar_id"], "lenient")
     rows = C.event_report_rows(fields, ["calendar_id"])
-    raw = fields.select("calendar_id", "ord", F.col("start_raw").alias("start_text"))
-    return rows.join(raw, ["calendar_id", "ord"]).select(
-        "calendar_id", "ord", "title", "start_text", F.col("where").alias("location"), "when", "rsvp", "description"
+    return rows.select(
+        "calendar_id", "ord", "title", F.col("start_raw").alias("start_text"), F.col("where").alias("location"), "when", "rsvp", "description"
     )
 
 

@@ -86,7 +86,8 @@ def summary_stats(t: Tables):
 
 
 def _ranked(value: str) -> str:
-    return f"WITH {INDEX} SELECT restaurant, {value} AS value FROM idx ORDER BY {value} DESC, ord LIMIT 10"
+    return f"""WITH {INDEX} SELECT restaurant, {value} AS value, CAST(row_number() OVER (ORDER BY {value} DESC, ord) AS INTEGER) AS rank
+FROM idx ORDER BY {value} DESC, ord LIMIT 10"""
 
 
 @query(_ranked("total_items"))
@@ -114,7 +115,8 @@ def menu_totals(t: Tables):
     return stats.menu_totals(stats.menu_counts(menu(t)))
 
 
-@query(f"""WITH {MENU} SELECT restaurant, count(*) AS item_count, min(item_ord) AS ord FROM menu
+@query(f"""WITH {MENU} SELECT restaurant, count(*) AS item_count, min(item_ord) AS ord,
+       CAST(row_number() OVER (ORDER BY count(*) DESC, min(item_ord)) AS INTEGER) AS rank FROM menu
 GROUP BY restaurant ORDER BY item_count DESC, ord LIMIT 4""")
 def top4_restaurants(t: Tables):
     return stats.top4_restaurants(stats.menu_counts(menu(t)))
@@ -134,7 +136,7 @@ def last_wins(t: Tables):
     return keep_last(hours_raw(t), ["name"], F.col("pos"), ["raw_hours", "pos"])
 
 
-@query(f"WITH {HOURS} SELECT name AS restaurant, hours FROM hours_last")
+@query(f"WITH {HOURS} SELECT name AS restaurant, hours, pos FROM hours_last")
 def hours_by_name(t: Tables):
     return _hours(t)
 
@@ -158,8 +160,8 @@ def latest_snapshot(t: Tables):
 @query(LATEST)
 def latest_snapshot_stream(t: Tables):
     folder = t.scratch()
-    write_latest(_latest(t.stream("orders")), f"{folder}/rows", f"{folder}/state").awaitTermination()
-    return read_latest(t.spark, f"{folder}/rows", ["o_custkey"])
+    write_latest(_latest(t.stream("orders")), f"{folder}/rows", f"{folder}/state", ["o_custkey"]).awaitTermination()
+    return read_latest(t.spark, f"{folder}/rows")
 
 
 @query("""SELECT p_name, p_brand, p_partkey FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_name)""")
@@ -266,6 +268,9 @@ SELECT restaurant, item_ord, coalesce(h.hours, '{HOURS_MISSING}') AS hours
 FROM menu LEFT JOIN hours_last h ON h.name = menu.restaurant""")
 def attach_hours_normalized(t: Tables):
     shouted = _hours(t).withColumn("restaurant", F.concat(F.upper("restaurant"), F.lit(" !")))
+    # Names that share the key: an earlier row with a greater text loses to the last one.
+    earlier = shouted.withColumns({"restaurant": F.concat("restaurant", F.lit("!")), "hours": F.lit("~ earlier"), "pos": F.lit(-1).cast("long")})
+    shouted = shouted.unionByName(earlier)
     return M.attach_hours(menu(t).select("restaurant", "item_ord"), shouted, normalize=True)
 
 
@@ -395,11 +400,8 @@ def nutrition_by_key(t: Tables):
 @query(f"""WITH {LOOKUP}
 SELECT k.item_ord, k.meal, k.nutrition_key, i.calories FROM keyed k LEFT JOIN info i USING (nutrition_key)""")
 def item_info(t: Tables):
-    lookup = _lookup(t)
-    items = N.nutrition_key(_plain(t), *lookup)
-    info = N.nutrition_by_key(N.distinct_keys(items), *lookup)
     shown = F.col("info.calories").alias("calories")
-    return N.item_info(items, info).select("item_ord", "meal", "nutrition_key", shown)
+    return N.item_info(_plain(t), *_lookup(t)).select("item_ord", "meal", "nutrition_key", shown)
 
 
 @query("""SELECT p_partkey, p_brand, p_name FROM part p WHERE p_size % 3 = 0 AND NOT EXISTS (
@@ -435,7 +437,17 @@ def carry_forward(t: Tables):
     role, text = F.col("role"), F.md5("text")
     headers = [("heading", role == "user", text), ("subheading", role == "assistant", text)]
     turns = t.conversations.select("conv_id", "turn", "role", "text")
-    return carry(turns, ["conv_id"], "turn", headers).select("conv_id", "turn", "heading", "subheading")
+    # Blocks of two turns: headers are carried across their borders.
+    return carry(turns, ["conv_id"], "turn", headers, block=2).select("conv_id", "turn", "heading", "subheading")
+
+
+# One stream of all events, whose key is null: a long stream in many blocks.
+@query("""SELECT event_id, last_value(CASE WHEN event_id % 97 = 0 THEN event_type END IGNORE NULLS) OVER (ORDER BY event_id) AS heading,
+       last_value(CASE WHEN event_id % 97 = 0 THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id) AS heading_pos FROM events""")
+def carry_forward_null_stream(t: Tables):
+    rows = t.events.select("event_id", "event_type", F.lit(None).cast("string").alias("stream"))
+    headers = [("heading", F.col("event_id") % 97 == 0, F.col("event_type"))]
+    return carry(rows, ["stream"], "event_id", headers, block=50).select("event_id", "heading", "heading_pos")
 
 
 PAGE = 200
@@ -474,26 +486,21 @@ def merge_menus(t: Tables):
 # --- nesting, reports, round trips ----------------------------------------------------------
 
 
-@query(f"""WITH {MENU}, placed AS (
-  SELECT *, item_ord // 10000 AS part, min(item_ord) OVER (PARTITION BY restaurant, item_ord // 10000, category) AS cat_first FROM menu)
-SELECT restaurant, part, dense_rank() OVER (PARTITION BY restaurant, part ORDER BY cat_first) - 1 AS category_ord, category,
-       row_number() OVER (PARTITION BY restaurant, part, category ORDER BY item_ord) - 1 AS item_ord, meal, is_halal
-FROM placed""")
+# Small blocks, so that most restaurants go on in further parts.
+BLOCK = 64
+
+
+@query(f"""WITH {MENU}
+SELECT restaurant, min(item_ord) OVER (PARTITION BY restaurant) AS restaurant_ord, category,
+       min(item_ord) OVER (PARTITION BY restaurant, category) AS category_ord, meal, is_halal, item_ord FROM menu""")
 def nest_menu(t: Tables):
-    nested = M.nest_menu(menu(t))
-    categories = nested.select("restaurant", "part", F.posexplode("categories").alias("category_ord", "_c"))
-    meals = categories.select(
-        "restaurant", "part", "category_ord", F.col("_c.name").alias("category"), F.posexplode("_c.meals").alias("item_ord", "_m")
-    )
-    return meals.select(
-        "restaurant",
-        "part",
-        F.col("category_ord").cast("long"),
-        "category",
-        F.col("item_ord").cast("long"),
-        F.col("_m.name").alias("meal"),
-        F.col("_m.is_halal").alias("is_halal"),
+    nested = M.nest_menu(menu(t), block=BLOCK)
+    categories = nested.select("restaurant", F.col("place").alias("restaurant_ord"), F.explode("categories").alias("_c"))
+    meals = categories.select("restaurant", "restaurant_ord", "_c.*").select(
+        "restaurant", "restaurant_ord", F.col("name").alias("category"), F.col("place").alias("category_ord"), F.explode("meals").alias("_m")
     )
+    place = F.col("_m.place").alias("item_ord")
+    return meals.select("restaurant", "restaurant_ord", "category", "category_ord", F.col("_m.name").alias("meal"), "_m.is_halal", place)
 
 
 def _with_hours(t: Tables):
@@ -523,7 +530,8 @@ def _snapshot_texts(t: Tables):
 
 
 @query(f"""WITH {ROUND_TRIP}
-SELECT snapshot_id, restaurant, hours, category, meal, r AS restaurant_ord, c AS category_ord, i AS item_ord FROM placed""")
+SELECT snapshot_id, restaurant, hours, category, meal, r AS restaurant_ord, c AS category_ord,
+       r * {2**42} + c * {2**21} + i AS item_ord FROM placed""")
 def menu_text_roundtrip(t: Tables):
     rows = parse_menu_text(_snapshot_texts(t))
     ords = [F.col(c).cast("long").alias(c) for c in ("restaurant_ord", "category_ord", "item_ord")]
@@ -548,35 +556,44 @@ def menu_text_restaurants(t: Tables):
 
 
 def _documents(t: Tables):
-    """One nested document per snapshot, whose size SNAPSHOT_ITEMS bounds."""
-    nested = M.nest_menu(_with_hours(t), ["snapshot_id", "restaurant", "hours"])
-    document = F.struct("first_ord", F.col("restaurant").alias("name"), "hours", "categories")
+    """One nested document per snapshot, whose size SNAPSHOT_ITEMS bounds; restaurants in parts."""
+    nested = M.nest_menu(_with_hours(t), ["snapshot_id", "restaurant", "hours"], block=BLOCK)
+    document = F.struct("place", "part", "first_part", F.col("restaurant").alias("name"), "hours", "categories")
     return nested.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(document)).alias("restaurants"))
 
 
+def _plain_documents(t: Tables):
+    """The same in whole restaurants and without places."""
+    nested = M.nest_menu(_with_hours(t), ["snapshot_id", "restaurant", "hours"], block=2**40)
+    plain = lambda c: F.struct(c["name"], F.transform(c["meals"], lambda m: m.dropFields("place")).alias("meals"))
+    document = F.struct("place", F.col("restaurant").alias("name"), "hours", F.transform("categories", plain).alias("categories"))
+    listed = nested.groupBy("snapshot_id").agg(F.array_sort(F.collect_list(document)).alias("restaurants"))
+    return listed.withColumn("restaurants", F.transform("restaurants", lambda r: r.dropFields("place")))
+
+
 @query(f"""WITH {ROUND_TRIP}
-SELECT snapshot_id, restaurant, hours, category, meal, is_halal, r - 1 AS restaurant_ord, c - 1 AS category_ord, i - 1 AS item_ord FROM placed""")
+SELECT snapshot_id, restaurant, hours, category, meal, is_halal, r - 1 AS restaurant_ord, c - 1 AS category_ord,
+       (r - 1) * {2**42} + (c - 1) * {2**21} + i - 1 AS item_ord FROM placed""")
 def menu_json_roundtrip(t: Tables):
-    text = _documents(t).select("snapshot_id", F.to_json(F.struct("restaurants")).alias("value"))
+    text = _plain_documents(t).select("snapshot_id", F.to_json(F.struct("restaurants")).alias("value"))
     read = text.select("snapshot_id", F.from_json("value", DOCUMENT).alias("_d")).select("snapshot_id", "_d.restaurants")
-    flat = flatten_documents(read, ["snapshot_id"]).drop("nutrition")
-    ords = {c: F.col(c).cast("long") for c in ("restaurant_ord", "category_ord", "item_ord")}
-    return flat.withColumns(ords)
+    return flatten_documents(read, ["snapshot_id"]).drop("nutrition")
 
 
 @query(f"""WITH {ROUND_TRIP}
-SELECT snapshot_id, restaurant, hours, max(r) - 1 AS ord, count(*) AS total_items, count(*) FILTER (WHERE is_halal) AS halal_items,
+SELECT snapshot_id, restaurant, hours, min(rest_first) AS ord, count(*) AS total_items, count(*) FILTER (WHERE is_halal) AS halal_items,
        max(c) + CASE WHEN length(restaurant) % 2 = 0 THEN 1 ELSE 0 END AS categories_count
 FROM placed GROUP BY snapshot_id, restaurant, hours""")
 def restaurant_index_documents(t: Tables):
     # Restaurants with a name of even length also list a category without meals.
     def more(r):
-        empty = F.struct(F.lit("Empty").alias("name"), F.slice(r["categories"][0]["meals"], 1, 0).alias("meals"))
-        added = F.when(F.length(r["name"]) % 2 == 0, F.concat(r["categories"], F.array(empty)))
+        place = F.lit(None).cast("long").alias("place")
+        empty = F.struct(F.lit("Empty").alias("name"), place, F.slice(r["categories"][0]["meals"], 1, 0).alias("meals"))
+        added = F.when(r["first_part"] & (F.length(r["name"]) % 2 == 0), F.concat(r["categories"], F.array(empty)))
         return r.withField("categories", F.coalesce(added, r["categories"]))
 
     documents = _documents(t).withColumn("restaurants", F.transform("restaurants", more))
-    index = stats.restaurant_index_documents(documents, ["snapshot_id"]).withColumn("ord", F.col("ord").cast("long"))
+    index = stats.restaurant_index_documents(documents, ["snapshot_id"])
     return index.drop("safe_name", "filename")
 
 
@@ -616,7 +633,7 @@ SELECT doc_id, pos, CASE WHEN trim(line, ' ' || chr(9)) = '' THEN 'blank' WHEN l
   WHEN regexp_full_match(line, '  [^ \t].*:') THEN 'category' WHEN trim(line, ' ' || chr(9)) LIKE '- %' THEN 'item' ELSE 'other' END AS kind
 FROM lines""")
 def classify_menu_lines(t: Tables):
-    rows = t.spread("documents", "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     pos = F.col("n").cast("long")
     kind = (F.col("doc_id") + pos) % 4
     line = (

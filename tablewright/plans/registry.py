@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_ready, configure, spread
+from ..session import configure, shared_folder
 
 
 class Tables:
@@ -28,12 +28,8 @@ class Tables:
         return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque[t]")
 
     def scratch(self) -> str:
-        """A fresh folder in the shared checkpoint location."""
-        return f"{checkpoint_ready(self.spark)}/{uuid.uuid4()}"
-
-    def spread(self, name: str, key: str) -> DataFrame:
-        """A table for costly work on each row."""
-        return spread(getattr(self, name), key)
+        """A fresh folder in the shared location."""
+        return f"{shared_folder(self.spark)}/{uuid.uuid4()}"
 
 
 @dataclass(frozen=True)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixed_values import LABEL_LINK
 from ..functions import hours as H
 from ..functions import ics, labels, text, times
 from ..operators import menu as M
+from ..operators import nutrition as N
 from ..sources import html
 from .inputs import HOURS, hours_raw
 from .menu_queries import CARRIED, PAGE
@@ -31,39 +33,39 @@ def _digest(value):
 
 @query(f"SELECT doc_id, md5({_sql_normalized('text')}) AS key_md5, length({_sql_normalized('text')}) AS key_length FROM documents")
 def normalize_key(t: Tables):
-    key = t.spread("documents", "doc_id").select("doc_id", text.normalize_key("text").alias("key"))
+    key = t.documents.select("doc_id", text.normalize_key("text").alias("key"))
     return key.select("doc_id", _digest("key").alias("key_md5"), F.length("key").cast("long").alias("key_length"))
 
 
 @query(r"""SELECT doc_id, md5(slug) AS slug_md5 FROM (
   SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\s-]', '', 'g'), '[\s-]+', '_', 'g'), '_')) AS slug FROM documents)""")
 def slugify(t: Tables):
-    return t.spread("documents", "doc_id").select("doc_id", _digest(text.slugify("text")).alias("slug_md5"))
+    return t.documents.select("doc_id", _digest(text.slugify("text")).alias("slug_md5"))
 
 
 @query("SELECT doc_id, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS js_md5, md5(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS python_md5 FROM documents")
 def trim_ws(t: Tables):
     padded = F.concat(F.lit(" 　 \t"), "text", F.lit(" \n  "))
-    return t.spread("documents", "doc_id").select(
+    return t.documents.select(
         "doc_id", _digest(text.trim_ws(padded)).alias("js_md5"), _digest(text.trim_ws(padded, "python")).alias("python_md5")
     )
 
 
 @query("SELECT doc_id, split_part(trim(text, ' ' || chr(9) || chr(10) || chr(13)), chr(10), 1) AS first FROM documents")
 def first_line(t: Tables):
-    return t.spread("documents", "doc_id").select("doc_id", text.first_line(F.concat(F.lit(" \n"), "text")).alias("first"))
+    return t.documents.select("doc_id", text.first_line(F.concat(F.lit(" \n"), "text")).alias("first"))
 
 
 @query("SELECT doc_id, contains(lower(text), 'the ') AS hit FROM documents")
 def contains_ci(t: Tables):
     # The query is trimmed, so a blank is kept by asking for the word inside other text.
-    return t.spread("documents", "doc_id").select("doc_id", text.contains_ci(F.replace("text", F.lit(" "), F.lit("_")), " THE_ ").alias("hit"))
+    return t.documents.select("doc_id", text.contains_ci(F.replace("text", F.lit(" "), F.lit("_")), " THE_ ").alias("hit"))
 
 
 @query("SELECT doc_id, md5(replace(replace(text, chr(10) || ' ', ''), chr(10) || chr(9), '')) AS text_md5 FROM documents")
 def ics_unfold(t: Tables):
     folded = F.regexp_replace("text", r"([^\n]{60})", "$1\r\n ")
-    return t.spread("documents", "doc_id").select("doc_id", _digest(ics.ics_unfold(folded)).alias("text_md5"))
+    return t.documents.select("doc_id", _digest(ics.ics_unfold(folded)).alias("text_md5"))
 
 
 @query(r"""SELECT doc_id, length(text) + length(text) - length(replace(replace(replace(text, ',', ''), ';', ''), '\', '')) AS escaped_length,
@@ -71,7 +73,7 @@ def ics_unfold(t: Tables):
 def ics_escape_roundtrip(t: Tables):
     escaped = ics.ics_escape("text")
     coded = F.replace("text", F.lit(" "), F.lit(r"\N"))
-    return t.spread("documents", "doc_id").select(
+    return t.documents.select(
         "doc_id",
         F.length(escaped).cast("long").alias("escaped_length"),
         _digest(ics.ics_unescape(escaped)).alias("text_md5"),
@@ -96,12 +98,12 @@ def _sql_cleaned(rule: str) -> str:
 
 @query(f"SELECT doc_id, {_sql_cleaned(_STRICT)} AS text_md5 FROM documents")
 def clean_description(t: Tables):
-    return t.spread("documents", "doc_id").select("doc_id", _digest(ics.clean_description(_dirty())).alias("text_md5"))
+    return t.documents.select("doc_id", _digest(ics.clean_description(_dirty())).alias("text_md5"))
 
 
 @query(f"SELECT doc_id, {_sql_cleaned(_LENIENT)} AS text_md5 FROM documents")
 def clean_description_lenient(t: Tables):
-    return t.spread("documents", "doc_id").select("doc_id", _digest(ics.clean_description(_dirty(), "lenient")).alias("text_md5"))
+    return t.documents.select("doc_id", _digest(ics.clean_description(_dirty(), "lenient")).alias("text_md5"))
 
 
 @query(r"SELECT page_id, coalesce(nullif(regexp_extract(html || CASE WHEN page_id % 3 = 0 THEN ' https://groups.example.org/rsvp?id=' || page_id ELSE '' END, 'https?://[a-zA-Z0-9_.-]+/rsvp\?id=[0-9]+', 0), ''), url) AS rsvp FROM pages")
@@ -237,7 +239,7 @@ def _menu_pages(t: Tables):
     image = F.when(_size() % 3 == 0, '<img alt="vegan"><img src="x.png" alt=" HALAL ">').otherwise("<img>")
     item = F.concat(
         F.when(key % 2 == 0, '<tr class="cbo_nn_itemPrimaryRow">').otherwise('<tr class="row cbo_nn_itemAlternateRow">'),
-        F.format_string('<td><a class="link cbo_nn_itemHover" id="i%d">\n  <span>%s</span><br>more &amp; more', "p_partkey", "p_name"),
+        F.format_string('<td><a class="link cbo_nn_itemHover" id="%s%d">\n  <span>%s</span><br>more &amp; more', F.when(key % 6 != 5, LABEL_LINK).otherwise("i"), "p_partkey", "p_name"),
         image,
         F.lit("</a></td></tr>"),
     )
@@ -250,8 +252,7 @@ def _menu_pages(t: Tables):
 SELECT page_id, k % 2 = 0 AS is_primary, p_name AS meal, coalesce(above, 'Uncategorized') AS category, (SELECT p_size % 3 = 0 FROM part WHERE p_partkey = k) AS is_halal
 FROM carried WHERE above IS NOT NULL OR page_id % 2 = 0""")
 def menu_rows_from_html(t: Tables):
-    rows = html.menu_rows_from_html(_menu_pages(t))
-    items = M.items_from_menu_rows(rows, auto_loaded=F.col("page_id") % 2 == 0)
+    items = html.menu_items_from_html(_menu_pages(t), auto_loaded=F.col("page_id") % 2 == 0)
     return items.select(
         "page_id",
         F.contains("row_class", F.lit("itemPrimaryRow")).alias("is_primary"),
@@ -299,7 +300,7 @@ def _label_pages(t: Tables):
         F.lit("</td></tr></table>"),
         F.when(_size() % 7 != 0, div("cbo_nn_LabelIngredients", F.concat(F.lit("of "), "p_name"))).otherwise(""),
     )
-    return t.spread("part", "p_partkey").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    return t.part.select(F.col("p_partkey").alias("page_id"), page.alias("html"))
 
 
 @query(f"""SELECT p_partkey AS page_id, 'fact' AS section, {_FACT}, CASE WHEN p_size % 6 <> 2 THEN {_DAILY} END AS daily_value_percent FROM part WHERE p_size % 6 <> 5
@@ -331,6 +332,23 @@ def label_from_html(t: Tables):
     )
 
 
+@query(f"""WITH {CARRIED}
+SELECT c.k, 'hall ' || page_id AS rest_key, lower(c.p_name) AS item_key, c.p_name AS item, coalesce(above, 'Uncategorized') AS category,
+       p_size || ' oz' AS serving_size, CAST(p_size AS VARCHAR) AS calories, CASE WHEN p_size % 7 <> 0 THEN 'of ' || c.p_name END AS ingredients,
+       CAST(CASE WHEN p_size % 6 = 5 THEN 1 ELSE 2 END AS INTEGER) AS n_facts
+FROM carried c JOIN part ON p_partkey = k WHERE (above IS NOT NULL OR page_id % 2 = 0) AND k % 6 <> 5""")
+def items_with_labels(t: Tables):
+    pages = _menu_pages(t).withColumn("restaurant", F.concat(F.lit("Hall "), "page_id"))
+    items = html.menu_items_from_html(pages, keep=["restaurant"], auto_loaded=F.col("page_id") % 2 == 0)
+    labels_read = html.label_from_html(
+        _label_pages(t).withColumn("link_id", F.concat(F.lit(LABEL_LINK), F.col("page_id").cast("string"))), key="link_id"
+    )
+    with_facts = N.attach_labels(items.withColumnRenamed("text", "meal"), labels_read).where("nutrition IS NOT NULL")
+    key = F.replace("link_id", F.lit(LABEL_LINK)).cast("long").alias("k")
+    shown = ["rest_key", "item_key", "item", "category", "serving_size", "calories", "ingredients"]
+    return N.compact_nutrition(with_facts, ["link_id"]).select(key, *shown, F.size("facts").alias("n_facts"))
+
+
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%d') AS day_text, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Safar ' || day(o_orderdate) || ', 1448 AH' END AS hijri FROM orders""")
 def clean_time_and_hijri(t: Tables):
     raw = F.concat(F.date_format("o_orderdate", "dd"), F.lit(" (EDT)"))

@@ -20,16 +20,16 @@ def write_menu_json(
     order: str = "item_ord",
     block: int = 10_000,
 ) -> None:
-    """Nested documents ``timestamp, part, restaurants`` in first-seen order, one per line.
+    """Nested documents ``timestamp, restaurants`` in first-seen order, one per line.
 
-    A line holds one restaurant, or one block of it, so no line grows with the data. Read them
-    back with ``read_menu_json(..., multi_line=False)``.
+    A line holds one restaurant, or one block of it with its places in the whole, so no line grows
+    with the data. Read them back with ``read_menu_json(..., multi_line=False)``.
     """
     nested = nest_menu(items, keys, order, block)
     hours = F.coalesce("hours", F.lit(HOURS_MISSING)) if "hours" in keys else F.lit(HOURS_MISSING)
-    restaurant = F.struct(F.col("restaurant").alias("name"), hours.alias("hours"), "categories")
-    documents = nested.select("first_ord", timestamp.alias("timestamp"), "part", F.array(restaurant).alias("restaurants"))
-    documents.orderBy("first_ord").drop("first_ord").write.mode("overwrite").json(path)
+    restaurant = F.struct(F.col("restaurant").alias("name"), hours.alias("hours"), "categories", "part", "first_part", "place")
+    documents = nested.select("place", "part", timestamp.alias("timestamp"), F.array(restaurant).alias("restaurants"))
+    documents.orderBy("place", "part").drop("place", "part").write.mode("overwrite").json(path)
 
 
 def write_restaurant_parts(items: DataFrame, index: DataFrame, path: str, created_at: Column, block: int = 10_000) -> None:
@@ -41,7 +41,7 @@ def write_restaurant_parts(items: DataFrame, index: DataFrame, path: str, create
     kept = index.join(last, ["safe_name", "ord"], "left_semi")
     totals = kept.select("restaurant", "safe_name", "hours", "total_items", "halal_items")
     documents = nest_menu(items, block=block).join(totals, ["restaurant"])
-    documents = documents.withColumnRenamed("restaurant", "name").withColumn("created_at", created_at).drop("first_ord")
+    documents = documents.withColumnRenamed("restaurant", "name").withColumn("created_at", created_at)
     # Spread by folder and part: a folder with many parts is written by many tasks.
     spread = documents.repartition("safe_name", "part")
     spread.write.mode("overwrite").partitionBy("safe_name").json(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -107,11 +107,11 @@ def _role(name: str) -> Callable[[dict], bool]:
 def _hours(page: _Tags):
     for row in filter(_role("row"), page.elements):
         head, cell = page.under(row, _role("rowheader")), page.under(row, _role("cell"))
-        yield "row", page.joined(head), page.joined(cell), []
+        yield "row", page.joined(head), page.joined(cell), [], None, None
 
 
 def _menu(page: _Tags):
-    hover = _classed(V.MENU_LINK)
+    hover, above = _classed(V.MENU_LINK), None
     for row in page.elements:
         if row["tag"] != "tr" or not page.inside(row, _classed(V.MENU_TABLE)):
             continue
@@ -119,18 +119,22 @@ def _menu(page: _Tags):
         links = page.under(row, lambda e: e["tag"] == "a" and hover(e))
         images = page.under(links[0], lambda e: e["tag"] == "img") if links else []
         alts = [e["attrs"].get("alt") for e in images]
-        yield row["attrs"].get("class", ""), page.shown(button), page.shown(links), alts
+        labels = [e["attrs"]["id"] for e in links if e["attrs"].get("id", "").startswith(V.LABEL_LINK)]
+        kind = row["attrs"].get("class", "")
+        if V.MENU_GROUP_ROW in kind:
+            above = page.shown(button)
+        yield kind, page.shown(button), page.shown(links), alts, above, labels[0] if labels else None
 
 
 def _label(page: _Tags):
     for part, name in V.LABEL_PARTS.items():
         found = page.by_class.get(name)
         if found:
-            yield part, page.shown(found), None, []
+            yield part, page.shown(found), None, [], None, None
     boxes = page.by_class.get(V.LABEL_CALORIES[0], [])
     calories = [size for box in boxes for size in page.under(box, _classed(V.LABEL_CALORIES[1]))]
     if calories:
-        yield "calories", page.shown(calories), None, []
+        yield "calories", page.shown(calories), None, [], None, None
     bordered = page.by_class.get(V.LABEL_ROW, [])
     plain = page.by_class.get(V.LABEL_PLAIN_ROW, [])
     tables = page.by_class.get(V.LABEL_SECONDARY, [])
@@ -138,31 +142,33 @@ def _label(page: _Tags):
     left, right = map(_classed, V.LABEL_SIDES)
     for section, rows in (("fact", bordered), ("secondary", sorted(inner, key=lambda row: row["at"]))):
         for row in rows:
-            yield section, page.shown(page.under(row, left)), page.shown(page.under(row, right)), []
+            yield section, page.shown(page.under(row, left)), page.shown(page.under(row, right)), [], None, None
 
 
 _READERS = {"hours": _hours, "menu": _menu, "label": _label}
-_ROW = pa.struct([("kind", pa.string()), ("first", pa.string()), ("second", pa.string()), ("alts", pa.list_(pa.string()))])
+_FIELDS = {"kind": "string", "first": "string", "second": "string", "alts": "array<string>", "above": "string", "link": "string"}
+_ROW = pa.struct([(n, pa.string() if t == "string" else pa.list_(pa.string())) for n, t in _FIELDS.items()])
 
 
 def _tag_rows(html: Column | str, page: str) -> Column:
     reader = _READERS[page]
 
-    @F.arrow_udf("array<struct<kind string, first string, second string, alts array<string>>>")
+    @F.arrow_udf(f"array<struct<{', '.join(f'{n} {t}' for n, t in _FIELDS.items())}>>")
     def rows(pages: pa.Array) -> pa.Array:
         def one(text: pa.Scalar) -> list[dict]:
-            return [dict(zip(("kind", "first", "second", "alts"), row)) for row in reader(_Tags(text.as_py() or ""))]
+            return [dict(zip(_FIELDS, row)) for row in reader(_Tags(text.as_py() or ""))]
 
         return pa.array([one(text) for text in pages], pa.list_(_ROW))
 
     return rows(col(html))
 
 
-def hours_from_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """``key, pos, name, raw_hours, hours`` of hours pages; the first row is a heading."""
-    rows = pages.select(key, F.posexplode(_tag_rows(html, "hours")).alias("pos", "_r"))
+def hours_from_html(pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
+    """``key, keep, pos, name, raw_hours, hours`` of hours pages; the first row is a heading."""
+    rows = pages.select(key, *keep, F.posexplode(_tag_rows(html, "hours")).alias("pos", "_r"))
     named = rows.where("pos > 0 AND _r.first IS NOT NULL AND _r.second IS NOT NULL").select(
         key,
+        *keep,
         "pos",
         trim_ws("_r.first", "python").alias("name"),
         trim_ws("_r.second", "python").alias("raw_hours"),
@@ -170,13 +176,14 @@ def hours_from_html(pages: DataFrame, key: str = "page_id", html: str = "html")
     return named.withColumn("hours", fix_hours_separators("raw_hours"))
 
 
-def menu_rows_from_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def menu_rows_from_html(pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
     """Category and item rows of menu pages in page order; other rows are left out.
 
-    ``key, pos, row_class, is_header, text, img_alts``. The text of an item is its first line;
-    a category row without its button has null text.
+    ``key, keep, pos, row_class, is_header, text, img_alts, link_id, above``. The text of an item is
+    its first line; a category row without its button has null text. ``above`` is the text of the
+    category row above, found in the same pass over the page; ``link_id`` names the item's label.
     """
-    rows = pages.select(key, F.posexplode(_tag_rows(html, "menu")).alias("pos", "_r"))
+    rows = pages.select(key, *keep, F.posexplode(_tag_rows(html, "menu")).alias("pos", "_r"))
     kind = F.col("_r.kind")
     header = F.contains(kind, F.lit(V.MENU_GROUP_ROW))
     primary, alternate = (F.contains(kind, F.lit(name)) for name in V.MENU_ITEM_ROWS)
@@ -184,15 +191,35 @@ def menu_rows_from_html(pages: DataFrame, key: str = "page_id", html: str = "htm
     text = F.when(header, trim_ws("_r.first", "python")).otherwise(first_line("_r.second"))
     picked = rows.where(header | item).select(
         key,
+        *keep,
         "pos",
         kind.alias("row_class"),
         header.alias("is_header"),
         text.alias("text"),
         F.col("_r.alts").alias("img_alts"),
+        F.col("_r.link").alias("link_id"),
+        trim_ws("_r.above", "python").alias("above"),
     )
     return picked.where("is_header OR (text IS NOT NULL AND text <> '')")
 
 
+def menu_items_from_html(
+    pages: DataFrame,
+    key: str = "page_id",
+    html: str = "html",
+    keep: Sequence[str] = (),
+    auto_loaded: Column | None = None,
+) -> DataFrame:
+    """Item rows of menu pages with their ``category``: one pass over each page, no shuffle.
+
+    The rules are those of ``items_from_menu_rows``, for pages that are rows of their own.
+    """
+    rows = menu_rows_from_html(pages, key, html, keep).where("NOT is_header")
+    fallback = F.when(F.lit(False) if auto_loaded is None else auto_loaded, F.lit(V.UNCATEGORIZED))
+    named = rows.withColumn("category", F.coalesce(F.nullif("above", F.lit("")), fallback)).drop("above", "is_header")
+    return named.where(F.col("category").isNotNull())
+
+
 def label_rows_from_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """``key, section, pos, left_text, right_text`` of label pages."""
     rows = pages.select(key, F.posexplode(_tag_rows(html, "label")).alias("pos", "_r"))
@@ -235,9 +262,9 @@ def _fact_map(rows: Column) -> Column:
     return F.map_from_arrays(names, last)
 
 
-def label_from_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+def label_from_html(pages: DataFrame, key: str = "page_id", html: str = "html", keep: Sequence[str] = ()) -> DataFrame:
     """One nutrition struct per label page, read inside the page's own row."""
-    rows = pages.select(key, _tag_rows(html, "label").alias("_rows"))
+    rows = pages.select(key, *keep, _tag_rows(html, "label").alias("_rows"))
 
     def text_of(part: str) -> Column:
         return trim_ws(F.get(F.filter("_rows", lambda r: r["kind"] == part), 0)["first"], "python")
@@ -264,6 +291,7 @@ def label_from_html(pages: DataFrame, key: str = "page_id", html: str = "html")
 
     parts = rows.select(
         key,
+        *keep,
         text_of("name").alias("item_name"),
         text_of("serving").alias("_serving"),
         text_of("calories").alias("calories"),
@@ -278,6 +306,7 @@ def label_from_html(pages: DataFrame, key: str = "page_id", html: str = "html")
     )
     return parts.select(
         key,
+        *keep,
         F.struct(
             "item_name",
             F.when(F.col("_serving").isNotNull(), serving).alias("serving_info"),
@@ -294,10 +323,6 @@ def label_from_html(pages: DataFrame, key: str = "page_id", html: str = "html")
 
 def links_from_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """List links of any page, ``key, pos, href, text``; plain enough for a built-in pattern."""
-    pattern = F.lit(r'<li><a href="([^"]*)">([^<]*)</a></li>')
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(col(html), pattern, F.lit(1)).alias("href"),
-        F.regexp_extract_all(col(html), pattern, F.lit(2)).alias("text"),
-    )
-    rows = pages.select(key, F.posexplode(pairs).alias("pos", "_l"))
-    return rows.select(key, "pos", F.col("_l.href").alias("href"), F.col("_l.text").alias("text"))
+    whole, parts = r'<li><a href="[^"]*">[^<]*</a></li>', r'^<li><a href="([^"]*)">([^<]*)</a></li>$'
+    rows = pages.select(key, F.posexplode(F.regexp_extract_all(col(html), F.lit(whole), F.lit(0))).alias("pos", "_l"))
+    return rows.select(key, "pos", F.regexp_extract("_l", parts, 1).alias("href"), F.regexp_extract("_l", parts, 2).alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,16 +47,25 @@ MEAL = T.StructType(
         T.StructField("name", T.StringType()),
         T.StructField("is_halal", T.BooleanType()),
         T.StructField("nutrition", NUTRITION),
+        T.StructField("place", T.LongType()),
     ]
 )
 CATEGORY = T.StructType(
-    [T.StructField("name", T.StringType()), T.StructField("meals", T.ArrayType(MEAL))]
+    [
+        T.StructField("name", T.StringType()),
+        T.StructField("meals", T.ArrayType(MEAL)),
+        T.StructField("place", T.LongType()),
+    ]
 )
 RESTAURANT = T.StructType(
     [
         T.StructField("name", T.StringType()),
         T.StructField("hours", T.StringType()),
         T.StructField("categories", T.ArrayType(CATEGORY)),
+        # Of a restaurant that was written in several parts; null in other documents.
+        T.StructField("part", T.IntegerType()),
+        T.StructField("first_part", T.BooleanType()),
+        T.StructField("place", T.LongType()),
     ]
 )
 DOCUMENT = T.StructType(
@@ -81,6 +90,12 @@ INDEX = T.StructType(
 )
 
 
+def snapshot_order(restaurant: Column | str, category: Column | str, item: Column | str) -> Column:
+    """One ordinal that grows over a whole snapshot, of positions below 2**21 each."""
+    outer = F.shiftleft(col(restaurant).cast("long"), 42) + F.shiftleft(col(category).cast("long"), 21)
+    return outer + col(item)
+
+
 def read_snapshot_texts(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """One row per file: ``snapshot_id``, ``snapshot_ts``, ``value``."""
     reader = spark.readStream if stream else spark.read
@@ -123,7 +138,10 @@ def section_categories() -> Column:
 
 
 def parse_menu_text(snapshots: DataFrame, text: Column | str = "value") -> DataFrame:
-    """Flat menu rows of text snapshots: each item with the restaurant and category above it."""
+    """Flat menu rows of text snapshots: each item with the restaurant and category above it.
+
+    ``restaurant_ord`` and ``category_ord`` are positions; ``item_ord`` grows over the snapshot.
+    """
     kept = [c for c in snapshots.columns if c != text]
     sections = menu_sections(snapshots, text)
     head = [*kept, "restaurant_ord", "restaurant", "hours"]
@@ -132,10 +150,11 @@ def parse_menu_text(snapshots: DataFrame, text: Column | str = "value") -> DataF
         *head,
         "category_ord",
         category_name(F.substring_index("_block", "\n", 1)).alias("category"),
-        F.posexplode(F.split("_block", "\n")).alias("item_ord", "_line"),
+        F.posexplode(F.split("_block", "\n")).alias("_pos", "_line"),
     )
+    order = snapshot_order("restaurant_ord", "category_ord", "_pos").alias("item_ord")
     return lines.where(classify_menu_line("_line") == "item").select(
-        *head, "category_ord", "category", "item_ord", item_name("_line").alias("meal")
+        *head, "category_ord", "category", order, item_name("_line").alias("meal")
     )
 
 
@@ -154,29 +173,34 @@ def read_menu_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_menu_text(read_snapshot_texts(spark, path))
 
 
-def flatten_restaurants(restaurants: DataFrame, keep: list[str]) -> DataFrame:
-    """Flat rows of ``name, hours, categories``; missing arrays are empty, missing names filled."""
+def flatten_restaurants(restaurants: DataFrame, keep: list[str], position: str = "restaurant_ord") -> DataFrame:
+    """Flat rows of ``name, hours, categories, place``; missing arrays are empty, missing names filled.
+
+    ``item_ord`` grows over the whole snapshot. Documents that carry places give these as ordinals,
+    so the parts of a restaurant come together again; in others ordinals follow from positions.
+    """
     categories = restaurants.select(
         *keep,
+        F.col(position).alias("_r"),
+        F.coalesce("place", position).cast("long").alias("restaurant_ord"),
         F.coalesce("name", F.lit(NAME_MISSING)).alias("restaurant"),
         F.coalesce("hours", F.lit(HOURS_MISSING)).alias("hours"),
-        F.posexplode("categories").alias("category_ord", "_c"),
+        F.posexplode("categories").alias("_p", "_c"),
     )
+    head = [*keep, "restaurant_ord", "restaurant", "hours"]
     meals = categories.select(
-        *keep,
-        "restaurant",
-        "hours",
-        "category_ord",
+        *head,
+        "_r",
+        "_p",
+        F.coalesce("_c.place", "_p").cast("long").alias("category_ord"),
         F.col("_c.name").alias("category"),
-        F.posexplode("_c.meals").alias("item_ord", "_m"),
+        F.posexplode("_c.meals").alias("_i", "_m"),
     )
     return meals.select(
-        *keep,
-        "restaurant",
-        "hours",
+        *head,
         "category_ord",
         "category",
-        "item_ord",
+        F.coalesce("_m.place", snapshot_order("_r", "_p", "_i")).alias("item_ord"),
         F.col("_m.name").alias("meal"),
         F.coalesce("_m.is_halal", F.lit(False)).alias("is_halal"),
         F.col("_m.nutrition").alias("nutrition"),
@@ -184,8 +208,8 @@ def flatten_restaurants(restaurants: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def flatten_documents(documents: DataFrame, keep: list[str]) -> DataFrame:
-    listed = documents.select(*keep, F.posexplode("restaurants").alias("restaurant_ord", "_r"))
-    return flatten_restaurants(listed.select(*keep, "restaurant_ord", "_r.*"), [*keep, "restaurant_ord"])
+    listed = documents.select(*keep, F.posexplode("restaurants").alias("_at", "_r"))
+    return flatten_restaurants(listed.select(*keep, "_at", "_r.*"), keep, "_at")
 
 
 def read_menu_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -202,12 +226,17 @@ def read_menu_json(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return flatten_documents(read_menu_documents(spark, path, multi_line), ["snapshot_id"])
 
 
-def read_restaurant_jsons(spark: SparkSession, directory: str) -> DataFrame:
-    """Flat rows of a folder of per-restaurant files; the index and statistics are skipped."""
-    raw = spark.read.schema(RESTAURANT).option("multiLine", True).option("pathGlobFilter", "*.json").json(directory)
+def read_restaurant_jsons(spark: SparkSession, directory: str, multi_line: bool = True) -> DataFrame:
+    """Flat rows of a folder of per-restaurant files in order of file name; the index and the
+    statistics are skipped. What ``write_restaurant_parts`` wrote has a document per line."""
+    raw = spark.read.schema(RESTAURANT).option("multiLine", multi_line).option("pathGlobFilter", "*.json").json(directory)
     named = raw.select("*", F.col("_metadata.file_name").alias("file_name"))
     wanted = named.where(~F.col("file_name").isin("index.json", "summary_stats.json"))
-    return flatten_restaurants(wanted, ["file_name"])
+    # One row per file, from the listing alone.
+    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
+    names = listing.load(directory).select(F.element_at(F.split("path", "/"), -1).alias("file_name")).distinct()
+    places = names.select("file_name", (F.row_number().over(Window.orderBy("file_name")) - 1).alias("_at"))
+    return flatten_restaurants(wanted.join(places, "file_name"), ["file_name"], "_at")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

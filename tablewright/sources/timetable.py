@@ -14,7 +14,7 @@ data ARRAY<STRUCT<
 """
 
 
-def read_timetable_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row per day of each response, with ``timings`` and ``date`` as stored."""
-    raw = spark.read.schema(RESPONSE).option("multiLine", True).json(path)
+def read_timetable_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One row per day of each response (a file, or a line), with ``timings`` and ``date`` as stored."""
+    raw = spark.read.schema(RESPONSE).option("multiLine", multi_line).json(path)
     return raw.select(F.col("_metadata.file_path").alias("snapshot_id"), F.inline("data"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..fixed_values import NAME_MISSING
 from ..operators.calendar import parse_events
 from ..operators.ordering import last_wins
 from ..sources.menus import DOCUMENT, flatten_documents, parse_menu_restaurants, parse_menu_text, read_snapshot_texts
@@ -54,22 +55,77 @@ def stream_latest_menus(spark: SparkSession, path: str) -> DataFrame:
     return latest_snapshot(rows, ["restaurant"], payload)
 
 
-def write_latest(latest: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keep the changed keys of each micro-batch in a folder of its own under ``path``.
+def stream_latest_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Newest document of each restaurant, its categories nested, over all JSON files seen so far.
 
-    A batch that is run again after a failure overwrites its own folder, so no key is written
-    twice; nothing older is read or rewritten.
+    A restaurant that is listed without a meal keeps its last good document."""
+    raw = spark.readStream.schema(DOCUMENT).option("multiLine", True).json(path)
+    listed = raw.select(
+        F.col("_metadata.file_path").alias("snapshot_id"),
+        F.col("_metadata.file_modification_time").alias("snapshot_ts"),
+        F.posexplode("restaurants").alias("restaurant_ord", "_r"),
+    )
+    rows = listed.select(
+        "snapshot_id", "snapshot_ts", "restaurant_ord", F.coalesce("_r.name", F.lit(NAME_MISSING)).alias("restaurant"), "_r.hours", "_r.categories"
+    )
+    good = rows.where(F.exists("categories", lambda c: F.size(c["meals"]) > 0))
+    order = F.struct("snapshot_ts", "snapshot_id", "restaurant_ord")
+    return latest_snapshot(good, ["restaurant"], ["snapshot_id", "snapshot_ts", "hours", "categories"], order)
+
+
+def stream_latest_events(spark: SparkSession, path: str) -> DataFrame:
+    """Newest state of each event (by its id) over all calendar files seen so far."""
+    events = stream_calendars(spark, path)
+    payload = [c for c in events.columns if c != "id"]
+    return latest_snapshot(events, ["id"], payload, F.struct("snapshot_ts", "snapshot_id", "ord"))
+
+
+def write_latest(
+    latest: DataFrame, path: str, checkpoint: str, keys: Sequence[str], trigger: dict | None = None
+) -> StreamingQuery:
+    """Keep the newest row of every key in a current table under ``path``.
+
+    Each micro-batch writes a new version: the rows of the version before whose keys did not
+    change, and the changed ones. A version counts when its write is complete, so readers see the
+    old one until then, and a batch that is run again after a failure replaces its own version.
+    Versions before the last two are removed.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        older = [v for v in _versions(spark, path) if v < batch_id]
+        rows = batch
+        if older:
+            current = spark.read.schema(batch.schema).parquet(_version(path, older[-1]))
+            rows = current.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
+        rows.write.mode("overwrite").parquet(_version(path, batch_id))
+        for version in older[:-1]:
+            _files(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(_version(path, version)), True)
 
     writer = latest.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """The newest state of every key over the batches written so far."""
-    rows = spark.read.parquet(path)
-    payload = [c for c in rows.columns if c not in (*keys, "batch")]
-    return last_wins(rows, keys, F.col("batch"), payload)
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The current table: the last complete version, and nothing older."""
+    return spark.read.parquet(_version(path, _versions(spark, path)[-1]))
+
+
+def _version(path: str, number: int) -> str:
+    return f"{path}/version-{number}"
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete versions, rising."""
+    files, where = _files(spark, path)
+    if not files.exists(where):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    names = [status.getPath().getName() for status in files.listStatus(where)]
+    numbers = [int(n.removeprefix("version-")) for n in names if n.startswith("version-")]
+    return sorted(n for n in numbers if files.exists(done(f"{_version(path, n)}/_SUCCESS")))

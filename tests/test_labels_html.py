@@ -55,7 +55,7 @@ def test_hours_page(spark):
     ]
     crosswalk = spark.createDataFrame([("A & B", "A + B"), ("Old", "A + B")], "source_name string, target_name string")
     named = M.hours_by_name(html.hours_from_html(pages), crosswalk)
-    assert {tuple(r) for r in named.collect()} == {("North Grill", "7 am - 9 am, 11 am - 2 pm"), ("A + B", "Noon - 3 pm")}
+    assert {tuple(r) for r in named.select("restaurant", "hours").collect()} == {("North Grill", "7 am - 9 am, 11 am - 2 pm"), ("A + B", "Noon - 3 pm")}
 
 
 def menu_page(rows):

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -109,9 +110,7 @@ DOCUMENT = {
 
 def items(spark, folder):
     (folder / "menus.json").write_text(json.dumps(DOCUMENT, ensure_ascii=False))
-    rows = menus.read_menu_json(spark, str(folder / "menus.json"))
-    order = F.col("restaurant_ord") * 10000 + F.col("category_ord") * 100 + F.col("item_ord")
-    return rows.withColumn("item_ord", order.cast("long"))
+    return menus.read_menu_json(spark, str(folder / "menus.json"))
 
 
 def test_menu_json(spark, tmp_path):
@@ -171,7 +170,7 @@ def test_nutrition_lookup(spark, tmp_path):
     more = spark.createDataFrame([("noslash",), ("*/none",), ("*/soup",)], "nutrition_key string")
     found = N.nutrition_by_key(more, own, shared).collect()
     assert [(r["nutrition_key"], r["info"]["item"]) for r in found] == [("*/soup", "Soup")]
-    shown = {r["meal"]: r["info"] for r in N.item_info(keyed, N.nutrition_by_key(N.distinct_keys(keyed), own, shared)).collect()}
+    shown = {r["meal"]: r["info"] for r in N.item_info(probe, own, shared).collect()}
     assert shown["Soup"]["item"] == "Soup two" and shown["Tea"] is None
     W.write_nutrition_lookup(own, shared, str(tmp_path / "lookup"))
     again, _ = lookups.read_nutrition_lookup(spark, str(tmp_path / "lookup"))
@@ -286,3 +285,50 @@ def test_filters(spark):
     merged = spark.createDataFrame([("r", "c", "m", 5), ("r", "d", "m", 6), ("r", "c", "m", 9)], "restaurant string, category string, meal string, item_ord long")
     assert {(r["category"], r["item_ord"], r["category_ord"]) for r in M.merge_menus(merged).collect()} == {("c", 5, 5), ("d", 6, 6), ("c", 9, 5)}
     assert M.distinct_meals(merged).count() == 2
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 10_000])
+def test_written_documents_do_not_depend_on_the_block(spark, tmp_path, block):
+    rows = spark.range(40).select(
+        F.concat(F.lit("R"), (F.col("id") % 3).cast("string")).alias("restaurant"),
+        F.concat(F.lit("C"), (F.col("id") % 4).cast("string")).alias("category"),
+        F.concat(F.lit("m"), F.col("id").cast("string")).alias("meal"),
+        (F.col("id") % 2 == 0).alias("is_halal"),
+        F.col("id").alias("item_ord"),
+    )
+    path = str(tmp_path / "documents")
+    W.write_menu_json(rows.withColumn("hours", F.lit("h")), path, F.lit("now"), block=block)
+    back = menus.read_menu_json(spark, path, multi_line=False)
+    assert {tuple(r) for r in back.select(*rows.columns).collect()} == {tuple(r) for r in rows.collect()}
+    index = stats.restaurant_index_documents(menus.read_menu_documents(spark, path, multi_line=False))
+    wanted = stats.restaurant_index(rows, order="item_ord")
+    columns = ["restaurant", "ord", "total_items", "halal_items", "categories_count"]
+    assert {tuple(r) for r in index.select(columns).collect()} == {tuple(r) for r in wanted.select(columns).collect()}
+    listed = stats.listed_restaurants(menus.read_menu_documents(spark, path, multi_line=False)).first()
+    assert listed["total_restaurants"] == 3
+
+
+def test_report_of_a_read_document_has_each_title_once(spark, tmp_path):
+    category = lambda name, *meals: {"name": name, "meals": [{"name": m} for m in meals]}
+    document = {"restaurants": [{"name": n, "categories": [category("X", "a", "b"), category("Y", "c")]} for n in ("One", "Two")]}
+    (tmp_path / "d.json").write_text(json.dumps(document))
+    lines = M.menu_report_lines(menus.read_menu_json(spark, str(tmp_path / "d.json")))
+    got = [r["line"] for r in lines.orderBy(*M.LINE_ORDER).collect()]
+    one = ["  X:", "    - a", "    - b", "  Y:", "    - c", ""]
+    assert got == ["One", *one, "Two", *one]
+
+
+def test_restaurant_files_come_in_order_of_their_names(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"name": name.upper(), "categories": [{"name": "C", "meals": [{"name": name}]}]}))
+    (tmp_path / "index.json").write_text("{}")
+    rows = menus.read_restaurant_jsons(spark, str(tmp_path)).orderBy("item_ord").collect()
+    assert [r["restaurant"] for r in rows] == ["A", "B"]
+
+
+def test_last_name_of_a_normalized_key_wins(spark):
+    hours = spark.createDataFrame([("Cafe", "9 am", 1), ("CAFE!", "8 am", 2)], "restaurant string, hours string, pos int")
+    rows = spark.createDataFrame([("café",)], "restaurant string")
+    assert M.attach_hours(rows, hours.withColumn("restaurant", F.regexp_replace("restaurant", "Cafe", "Café")), normalize=True).count() == 1
+    plain = spark.createDataFrame([("cafe",)], "restaurant string")
+    assert M.attach_hours(plain, hours, normalize=True).first()["hours"] == "8 am"

@@ -42,7 +42,7 @@ def test_with_position_on_a_hot_key(spark):
         (F.col("id") * 7919 % 50).alias("v"),
         "id",
     )
-    placed = O.with_position(rows, ["k"], ["v", "id"], "place").collect()
+    placed = O.with_position(rows, ["k"], ["v", "id"], "place", F.floor(F.col("v") / 3)).collect()
     groups = {}
     for r in placed:
         groups.setdefault(r["k"], []).append((r["v"], r["id"], r["place"]))
@@ -70,15 +70,32 @@ def test_first_k_limits_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_rows": 3}, {"max_bytes": 10}])
-def test_join_lookup_gives_the_same_rows_on_both_ways(spark, limits):
+def test_join_lookup(spark):
     rows = spark.range(200).select((F.col("id") % 10).alias("k"), "id")
     lookup = spark.range(5).select(F.col("id").alias("k"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
-    joined = joins.join_lookup(rows, lookup, ["k"], **limits)
-    got = {(r["id"], r["v"]) for r in joined.collect()}
+    got = {(r["id"], r["v"]) for r in joins.join_lookup(rows, lookup, ["k"]).collect()}
     assert got == {(n, f"v{n % 10}" if n % 10 < 5 else None) for n in range(200)}
-    hinted = "broadcast" in joined._jdf.queryExecution().logical().toString().lower()
-    assert hinted == (not limits)
+    odd = spark.createDataFrame([(None, 1), ("a", 2)], "k string, n int")
+    names = spark.createDataFrame([(None, "x")], "k string, w string")
+    assert {tuple(r) for r in joins.join_lookup(odd, names, ["k"], null_safe=True).collect()} == {(None, 1, "x"), ("a", 2, None)}
+
+
+@pytest.mark.parametrize("block", [1, 2, 100])
+def test_a_stream_without_a_key_is_carried_over_blocks(spark, block):
+    rows = spark.createDataFrame([(None, n, n == 0) for n in range(4)], "k string, pos int, head boolean")
+    got = O.carry_forward(rows, ["k"], "pos", [("h", F.col("head"), F.lit("x"))], block).collect()
+    assert [r["h"] for r in got] == ["x"] * 4
+
+
+def test_building_a_plan_runs_nothing(spark):
+    rows = spark.range(50).select((F.col("id") % 5).cast("string").alias("k"), "id")
+    tracker, group = spark.sparkContext.statusTracker(), "plan-only"
+    spark.sparkContext.setJobGroup(group, group)
+    O.with_position(rows, ["k"], ["id"], "place", F.col("id"))
+    O.carry_forward(rows, ["k"], "id", [("h", F.col("id") == 0, F.col("k"))])
+    joins.join_lookup(rows, rows.withColumnRenamed("id", "n"), ["k"])
+    assert not tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_hot_keys_of_a_large_lookup_join_are_split(spark):
@@ -94,7 +111,7 @@ def test_hot_keys_of_a_large_lookup_join_are_split(spark):
             spark.conf.set(k, v)
         rows = spark.range(0, 200_000, 1, 8).select(F.when(F.col("id") % 3 > 0, F.lit(1)).otherwise(F.col("id") % 1000).alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
         lookup = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-        joined = joins.join_lookup(rows, lookup, ["k"], max_rows=10)
+        joined = joins.join_lookup(rows, lookup, ["k"])
         assert joined.where("w = k * 2").count() == 200_000
         joined.write.format("noop").mode("overwrite").save()
         plan = joined._jdf.queryExecution().executedPlan()
