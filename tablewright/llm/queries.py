@@ -119,7 +119,34 @@ def op9_curriculum_mix(spark: SparkSession, folder: str) -> DataFrame:
 PROBE = "</s>[INST] ok [/INST]"
 
 
-@query()
+def _chat_sql(template: chat_format.Template = chat_format.LLAMA) -> str:
+    """The digests from the turns themselves: marks and backslashes are counted, not written."""
+    first, rests = chat_format._rests(template)
+    marks = " ".join(f"WHEN '{n}' THEN {len(r.before) + len(r.after)}" for n, r in template.roles.items())
+    other = len((template.unknown.before + template.unknown.after).replace("{role}", ""))
+    name = "length(role) + len(regexp_extract_all(role, '[\\\\\\[\\]]'))"
+    moves = ", ".join(f"('{a}', '{b}')" for a, after in template.order.items() for b in after if b != chat_format.END)
+    ends = ", ".join(f"'{a}'" for a, after in template.order.items() if chat_format.END in after)
+    learned = "role IN (" + ", ".join(f"'{n}'" for n, r in template.roles.items() if r.learned) + ")"
+    order = "ORDER BY turn, role, text"
+    return f"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}')
+), p AS (
+    SELECT *, coalesce(lag(role) OVER w, '{chat_format.START}') AS state, lead(role) OVER w IS NULL AS last,
+           length(text) + len(regexp_extract_all(text, '[{first}]\\\\*(?:{rests})')) + CASE role {marks} ELSE {other} + {name} END AS size
+    FROM t WINDOW w AS (PARTITION BY conv_id {order})
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER ({learned}), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {order}) FILTER ({learned}), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars,
+       bool_and((state, role) IN ({moves}) AND (NOT last OR role IN ({ends}))) AS in_order
+FROM p GROUP BY conv_id"""
+
+
+@query(_chat_sql())
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     roles = F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("turn"), F.lit(r).alias("role")) for n, r in enumerate(("user", "assistant"))]))
