@@ -98,7 +98,7 @@ def test_clashing_columns_and_empty(spark):
     from pyspark.sql import functions as F
 
     docs = frame(spark, [(1, "some text", "en", "a", 9), (2, "some text", "en", "a", 9)], SCHEMA)
-    docs = docs.select("*", *[F.lit(1).alias(n) for n in ("keep_id", "target", "ids_", "_tw_x", "print", "root", "lang_guess")])
+    docs = docs.select("*", *[F.lit(1).alias(n) for n in ("keep_id", "target", "ids_", "_tw_x", "print", "root", "lang_pred", "score")])
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert set(stage(spark, docs, "").columns) == set(docs.columns)
         assert stage(spark, docs.limit(0), "").collect() == []
