@@ -124,9 +124,10 @@ class Plan:
     ) -> None:
         self.weights, self.budget, self.epochs, self.schedules, self.named = weights, budget, epochs, schedules, named or {}
 
-    def with_goals(self, rows: DataFrame) -> DataFrame:
-        """Laid-out rows with ``source_size``, ``target`` and ``rates`` of their source."""
-        sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    def with_goals(self, rows: DataFrame, sources: DataFrame) -> DataFrame:
+        """``rows`` with ``source_size``, ``target`` and ``rates`` of their source, of the goals of
+        ``sources`` (laid-out rows)."""
+        sizes = sources.groupBy("source").agg(F.sum("size").alias("source_size"))
         goals = source_targets(sizes, self.weights, self.budget, self.epochs)
         turned = F.array(*[F.array(F.lit(float(a)), F.lit(float(b))) for a, b in self.schedules])
         rates = F.element_at(turned, (F.col("place") % len(self.schedules) + 1).cast("int"))
@@ -152,7 +153,8 @@ def training_mix(
     size, source_size, target, taken, positions``; ``positions`` has the time of each epoch in
     which the document is taken."""
     plan = plan or Plan()
-    made = plan.with_goals(_laid_out(docs, id, text, source)).withColumn("positions", plan.positions(F.col("before")))
+    placed = _laid_out(docs, id, text, source)
+    made = plan.with_goals(placed, placed).withColumn("positions", plan.positions(F.col("before")))
     out = made.select(
         F.col("_id").alias(id), *(["source"] if id != "source" else []), "size", "source_size", "target",
         (F.size("positions") * F.col("size")).cast("long").alias("taken"), "positions",
@@ -172,10 +174,7 @@ def mixed_documents(
     plan = plan or Plan()
     placed = _laid_out(docs, id, text, source)
     groups = placed.groupBy("source", "_order", "_other").agg(F.first("size").alias("size"), F.min("before").alias("before"), F.count("*").alias("n"))
-    # Sizes of sources come from all rows, as in training_mix.
-    goals = plan.with_goals(placed.select("source", "size")).select("source", "source_size", "target", "rates").distinct()
-    goals = goals.withColumnRenamed("source", "_source")
-    groups = groups.join(goals, groups["source"].eqNullSafe(goals["_source"]))
+    groups = plan.with_goals(groups, placed)
     some = F.size(plan.positions(F.col("before"))) > 0
     chosen = groups.where(some | (F.col("n") > 1)).select(
         F.xxhash64("source").alias("_tw_source"), F.col("_order").alias("_tw_order"), F.col("_other").alias("_tw_other"),
