@@ -300,7 +300,8 @@ def _label_pages(t: Tables):
         F.lit("</td></tr></table>"),
         F.when(_size() % 7 != 0, div("cbo_nn_LabelIngredients", F.concat(F.lit("of "), "p_name"))).otherwise(""),
     )
-    return t.part.select(F.col("p_partkey").alias("page_id"), page.alias("html"))
+    # Reading a page costs far more than moving the row it is made from.
+    return t.part.repartition("p_partkey").select(F.col("p_partkey").alias("page_id"), page.alias("html"))
 
 
 @query(f"""SELECT p_partkey AS page_id, 'fact' AS section, {_FACT}, CASE WHEN p_size % 6 <> 2 THEN {_DAILY} END AS daily_value_percent FROM part WHERE p_size % 6 <> 5
