@@ -4,7 +4,9 @@ For each kind a regular expression proposes spans, leftmost and without overlap;
 (part range, Luhn, mod-97, digit count) drops those that fail; words close to a span raise its
 score. The base kinds (email, ip, card, phone) stay whatever their score. The further kinds are
 kept by evidence: an account number (``iban``) must pass mod-97; a ``ssn`` has only weak form
-rules and needs a context word nearby.
+rules and needs a context word nearby. Spaces may stand in an account number, so its end cannot be
+seen from its form: the pattern proposes its first four characters and looks ahead, and every end
+of a word behind them is tried with mod-97, that of the country's length first, then the longest.
 
 Patterns are written so that matching takes time in proportion to the text: runs are possessive,
 and a run is entered at its first character or where the last match ended, which finds the same
@@ -36,7 +38,8 @@ class Kind:
 
     ``valid``: SQL condition on the matched text ``x``. ``needs``: pattern that a text with a match must contain, cheap to search. ``words``: context
     words (lower case). ``score``: of a confirmed span; ``with_word``: with a context word nearby.
-    Spans below ``least`` are dropped.
+    Spans below ``least`` are dropped. ``extent``: SQL for the length of the span from ``x``, null if
+    there is none; ``x`` then is the match with what group 1 of the pattern saw ahead of it.
     """
 
     name: str
@@ -47,6 +50,7 @@ class Kind:
     score: float
     with_word: float
     least: float = 0.0
+    extent: str | None = None
 
 
 def _digits(span: str) -> str:
@@ -63,6 +67,26 @@ _MOD97 = (
     "if(c = '', r, if(c BETWEEN '0' AND '9', r * 10 + (ascii(c) - 48), r * 100 + (ascii(c) - 55)) % 97)) = 1"
 )
 
+# Lengths of account numbers by country (IBAN registry).
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_COUNTRY_LENGTH = "CASE " + " ".join(
+    "WHEN substring(x, 1, 2) IN (" + ", ".join(f"'{c}'" for c in names.split()) + f") THEN {n}" for n, names in _IBAN_LENGTHS.items()
+) + " END"
+# Ends of words in `x` behind which mod-97 holds, longest first; `y` is the number without spaces.
+_IBAN_ENDS = (
+    "filter(sequence(length(x), 15, -1), e -> substring(x, e, 1) RLIKE '[A-Z0-9]' AND NOT substring(x, e + 1, 1) RLIKE '[A-Za-z0-9]' "
+    f"AND exists(array(replace(substring(x, 1, e), ' ', '')), y -> if(length(y) BETWEEN 15 AND 34, {_MOD97}, false)))"
+)
+_IBAN_EXTENT = (
+    f"element_at(transform(array({_IBAN_ENDS}), ends -> coalesce("
+    f"get(filter(ends, e -> length(replace(substring(x, 1, e), ' ', '')) = {_COUNTRY_LENGTH}), 0), get(ends, 0))), 1)"
+)
+
 LOCAL = "[A-Za-z0-9._%+-]"
 BASE = (
     Kind(
@@ -86,9 +110,8 @@ BASE = (
 )
 ADDED = (
     Kind(
-        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}",
-        f"exists(array(replace(x, ' ', '')), y -> if(length(x) BETWEEN 15 AND 34, {_MOD97}, false))",
-        ("iban", "account", "bank", "konto", "compte", "cuenta"), 0.9, 1.0, 0.5,
+        "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:[\x20]?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", "[A-Z]{2}[0-9]{2}",
+        "true", ("iban", "account", "bank", "konto", "compte", "cuenta"), 0.9, 1.0, 0.5, _IBAN_EXTENT,
     ),
     Kind(
         "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]",
@@ -117,6 +140,20 @@ def _sums_before(array: str, block: int = 256) -> str:
     return _let("blocks", blocks, _let("starts", starts, sums))
 
 
+def _extended(spans: str, ahead: str, extent: str) -> str:
+    """SQL for the spans that have an extent, from the left, without those that begin inside an earlier one."""
+    seen = f"zip_with({spans}, {ahead}, (s, a) -> named_struct('x', concat(s.x, a), 'start', s.start, 'end', s.end))"
+    ended = (
+        f"filter(transform({seen}, s -> named_struct('x', s.x, 'start', s.start, 'end', "
+        f"s.start + element_at(transform(array(s.x), x -> {extent}), 1))), s -> s.end IS NOT NULL)"
+    )
+    inside = (
+        "aggregate(ended, named_struct('last', 0, 'starts', cast(array() AS array<int>)), (r, s) -> if(s.start < r.last, "
+        "named_struct('last', r.last, 'starts', array_append(r.starts, s.start)), named_struct('last', s.end, 'starts', r.starts)), r -> r.starts)"
+    )
+    return _let("ended", ended, _let("inside", inside, "filter(ended, s -> NOT array_contains(inside, s.start))"))
+
+
 def spans_of(kind: Kind, text: str) -> Column:
     """Confirmed spans of a kind in the string column ``text``: array of kind, start, end, score.
 
@@ -129,6 +166,8 @@ def spans_of(kind: Kind, text: str) -> Column:
         "zip_with(found, sequence(1, size(found)), (m, n) -> "
         "named_struct('x', m, 'start', sums[2 * n - 1], 'end', sums[2 * n - 1] + length(m)))"
     )
+    if kind.extent:
+        spans = _extended(spans, f"regexp_extract_all({text}, {pattern}, 1)", kind.extent)
     valid = f"filter({spans}, s -> exists(array(s.x), x -> {kind.valid}))"
     near = (
         f"lower(concat(substring({text}, greatest(s.start - {CONTEXT}, 0) + 1, s.start - greatest(s.start - {CONTEXT}, 0)), "

@@ -74,6 +74,29 @@ def test_checked_and_scored(spark):
     assert sorted(r.email[0].score for r in personal_data.find(near).collect()) == [0.9, 1.0]
 
 
+def test_account_numbers_before_other_words(spark):
+    spaced, plain, other = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    cases = [
+        (f"{plain} Please pay", [(0, 22)]),
+        (f"{spaced} BIC COBADEFF", [(0, 27)]),
+        (f"{spaced} BIC COBADEFFXXX AND MORE CAPITALS 12345", [(0, 27)]),
+        (f"{spaced} 2024", [(0, 27)]),
+        (f"pay {spaced} 2024-05-01 I said", [(4, 31)]),
+        (f"{spaced} {other} {plain} OK", [(0, 27), (28, 55), (56, 78)]),
+        (f"{plain} {plain}\n{plain} A", [(0, 22), (23, 45), (46, 68)]),
+        (f"NO9386011117947 X, MT84MALT011000012345MTLCAST001S Y", [(0, 15), (19, 50)]),
+        (f"é\U0001f600 {spaced} É", [(3, 30)]),
+        (f"{plain}Please", []),
+        (f"{plain}7 Please", []),
+        (f"X{plain} Please", []),
+        ("DE89 3704 0044 0532 0130 01 BIC COBADEFF", []),
+    ]
+    docs = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "doc_id int, text string")
+    rows = {r.doc_id: r for r in personal_data.find(docs).collect()}
+    for n, (text, wanted) in enumerate(cases):
+        assert [(s.start, s.end) for s in rows[n].iban] == wanted, text
+
+
 def test_awkward_rows(spark):
     docs = clashing(frame(spark), ["email", "_tw_text", "spans"])
     found = personal_data.find(docs)
