@@ -68,24 +68,28 @@ def _add(hashes: list[int], bits: np.ndarray) -> None:
         bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles of a text, repeats counted."""
-    bits, total = np.zeros(64, dtype=np.int64), 0
-    digest, held = xxhash.xxh64_intdigest, []
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> Iterator[list[int]]:
+    """Hashes of the word shingles of a text, repeats included, a bounded number at a time."""
+    digest, held, some = xxhash.xxh64_intdigest, [], False
     for words in _words((text or "").encode().lower()):
         words = held + words
         if len(words) >= width:
             ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
             starts = np.concatenate(([0], ends[:-width]))
             line = b" ".join(words)
-            hashes = [digest(line[a:b], seed) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist())]
-            _add(hashes, bits)
-            total += len(hashes)
+            some = True
+            yield [digest(line[a:b], seed) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist())]
         held = words[len(words) - width + 1 :] if len(words) >= width else words
-    if not total:
-        if not held:
-            return 0
-        return digest(b" ".join(held), seed)
+    if held and not some:
+        yield [digest(b" ".join(held), seed)]
+
+
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """SimHash of the word shingles of a text, repeats counted."""
+    bits, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        _add(hashes, bits)
+        total += len(hashes)
     return int(np.packbits(2 * bits > total, bitorder="little").view("<u8")[0])
 
 
@@ -242,7 +246,11 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     to meet the list.
     """
     rows = without(docs, ["_tw_id", "_tw_hash", "_tw_listed", "_tw_stays"]).withColumn("_tw_hash", F.xxhash64(quoted(text)))
-    grouped = _grouped(rows, id, text, ("_tw_hash",))
+    return keep_one(rows, _grouped(rows, id, text, ("_tw_hash",)), id)
+
+
+def keep_one(rows: DataFrame, grouped: DataFrame, id: str) -> DataFrame:
+    """``rows`` without ``_tw_hash``, one of each ``group``; see ``drop_near_copies``."""
     order = F.struct(F.col("_tw_id").isNull().alias("a"), "_tw_id", "_tw_hash")
     best = grouped.groupBy("group").agg(F.min(order).alias("best"))
     single = grouped.groupBy("group", "_tw_id", "_tw_hash").agg(F.count("*").alias("n")).join(best, "group")
