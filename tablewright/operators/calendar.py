@@ -107,8 +107,10 @@ def parse_events(
     return valid_events(events) if dialect == "strict" else events
 
 
-# Events are numbered in ranges of this many seconds.
+# Events are numbered in ranges of this many seconds, those of one start (or of none) in ranges of
+# this many ordinals where that is asked for.
 RANGE = 600
+ORDINALS = 4096
 
 
 def _range(start: Column | str = "start", seconds: int = RANGE) -> Column:
@@ -129,8 +131,12 @@ def sort_events_unparseable_last(events: DataFrame) -> DataFrame:
 
 
 def event_positions_unparseable_last(events: DataFrame) -> DataFrame:
-    last = F.coalesce(_range(), F.lit(2**62))
-    return with_position(events, [], [F.asc_nulls_last("start"), "ord"], "position", last)
+    return with_position(events, [], [F.asc_nulls_last("start"), "ord"], "position", *unparseable_last_levels())
+
+
+def unparseable_last_levels() -> tuple[Column, list[Column]]:
+    """Ranges of time, those without a start last; in them each start, and of a start ranges of ``ord``."""
+    return F.coalesce(_range(), F.lit(2**62)), [F.col("start"), F.floor(F.col("ord") / F.lit(ORDINALS))]
 
 
 def split_upcoming_past(events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:

@@ -85,18 +85,30 @@ def carry_forward(
 
 
 def with_position(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, bucket: Column
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, bucket: Column, finer: Sequence[Column] = ()
 ) -> DataFrame:
     """Exact 1-based position of each row in its key, without gathering a key in one task.
 
     ``bucket`` cuts the order into ranges: it never falls as the order rises (nulls first). Rows
     are numbered inside their bucket, and what the earlier buckets hold of a key is one small row
-    per key and bucket. Nothing is stored, and building the plan runs nothing.
+    per key and bucket. ``finer`` cuts each bucket further, level by level: inside what is equal in
+    the levels before it, a level never falls as the order rises; its rows are counted there only.
+    Nothing is stored, and building the plan runs nothing.
     """
-    cut = rows.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    starts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    placed = join_lookup(cut.withColumn("_in", F.row_number().over(inside)), starts, [*keys, "_bucket"], "inner", null_safe=True)
+    levels = ["_bucket", *[f"_bucket{n}" for n in range(1, len(finer) + 1)]]
+    cut = rows.withColumns(dict(zip(levels, (bucket, *finer))))
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order)
+    counts, starts = cut.groupBy(*keys, *levels).agg(F.count("*").alias("_n")), None
+    for depth in range(len(levels), 0, -1):
+        within = [*keys, *levels[: depth - 1]]
+        earlier = Window.partitionBy(*within).orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        own = [*within, levels[depth - 1]]
+        before = counts.select(*own, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before" if starts is None else "_more"))
+        if starts is not None:
+            starts = join_lookup(starts, before, own, "inner", null_safe=True)
+            starts = starts.withColumn("_before", F.col("_before") + F.col("_more")).drop("_more")
+        else:
+            starts = before
+        counts = counts.groupBy(*within).agg(F.sum("_n").alias("_n"))
+    placed = join_lookup(cut.withColumn("_in", F.row_number().over(inside)), starts, [*keys, *levels], "inner", null_safe=True)
     return placed.select(*rows.columns, (F.col("_before") + F.col("_in")).alias(name))

@@ -51,6 +51,22 @@ def test_with_position_on_a_hot_key(spark):
         assert [p for _, _, p in sorted(group)] == list(range(1, len(group) + 1))
 
 
+def test_event_positions_of_hot_and_unreadable_starts(spark, monkeypatch):
+    from tablewright.operators import calendar as C
+
+    monkeypatch.setattr(C, "ORDINALS", 50)
+    start = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit(7200)).otherwise(F.col("id") * 7919 % 5000)
+    events = spark.range(1500).select(F.timestamp_seconds(start).alias("start"), F.col("id").alias("ord"))
+    bucket, finer = C.unparseable_last_levels()
+    sizes = events.groupBy(bucket.alias("a"), *[c.alias(f"b{n}") for n, c in enumerate(finer)]).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 50  # what one window of the numbering holds
+    plan = C.event_positions_unparseable_last(events)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_bucket2" in next(line for line in plan.splitlines() if "row_number()" in line)
+    placed = C.event_positions_unparseable_last(events).collect()
+    placed.sort(key=lambda r: (r.start is None, r.start.timestamp() if r.start else 0, r.ord))
+    assert [r.position for r in placed] == list(range(1, 1501))
+
+
 def test_keyed_dedup(spark):
     rows = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("b", 2, "z"), ("a", 9, "w")], "k string, o int, v string")
     assert {tuple(r) for r in O.first_wins(rows, ["k"], F.col("o"), ["v"]).collect()} == {("a", "y"), ("b", "z")}
