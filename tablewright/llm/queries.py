@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat_format, exact_dedup, language_id, metric_search, mixing, personal_data, piece_codec, sharding, simhash, token_counts
+from . import (
+    chat_format,
+    exact_dedup,
+    language_id,
+    metric_search,
+    mixing,
+    personal_data,
+    phrases,
+    piece_codec,
+    sharding,
+    simhash,
+    token_counts,
+)
 from .common import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +166,45 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     every = turns.unionByName(probe.select("conv_id", "r.turn", "r.role", "text"))
     made = chat_format.digests(chat_format.formatted(chat_format.segments(every)))
     return made.withColumnRenamed("conversation", "conv_id")
+
+
+@query("""
+WITH d AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+    FROM documents
+), p AS (
+    SELECT doc, lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d
+), w AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p
+), o AS (
+    SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase
+    FROM w, (VALUES (1), (2), (3)) sizes(k) WHERE len(w) >= k
+), f AS (
+    SELECT lang, k, phrase, count(*) AS f FROM o GROUP BY ALL
+), n AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+    SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+), cut AS (
+    SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:], ' ') AS y
+    FROM c, (VALUES (1), (2)) cuts(cut) WHERE cut < k
+), s AS (
+    SELECT cut.*, x.f AS l, y.f AS r,
+           CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.x JOIN f y ON y.lang = cut.lang AND y.phrase = cut.y
+), low AS (
+    SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), around AS (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3
+), longer AS (
+    SELECT lang, phrase, max(a) AS f FROM around GROUP BY ALL
+), ranked AS (
+    SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, low.phrase) AS rank, low.phrase, a, l, r, n, score
+    FROM low JOIN n USING (lang) LEFT JOIN longer ON longer.lang = low.lang AND longer.phrase = low.phrase
+    WHERE longer.f IS NULL OR 100 * longer.f < 50 * a
+)
+SELECT * FROM ranked WHERE rank <= 2000
+""")
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
