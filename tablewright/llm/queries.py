@@ -12,6 +12,7 @@ from . import (
     chat_format,
     exact_dedup,
     language_id,
+    lexical,
     metric_search,
     mixing,
     personal_data,
@@ -168,6 +169,41 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumnRenamed("conversation", "conv_id")
 
 
+@query("""
+WITH d AS (
+    SELECT row_number() OVER () AS doc, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents
+), b AS (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM benchmark
+), total AS (
+    SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0
+), o AS (
+    SELECT doc, term, count(*) AS tf FROM (SELECT doc, unnest(w) AS term FROM d) GROUP BY ALL
+), df AS (
+    SELECT term, count(*) AS df FROM o GROUP BY term
+), q AS (
+    SELECT item_id, term, count(*) AS qtf FROM b GROUP BY ALL
+), s AS (
+    SELECT q.item_id, d.doc, any_value(d.doc_id) AS doc_id,
+           CAST(sum(qtf * CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT)
+                    * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(d.w) * docs) // terms)))) AS BIGINT) AS score
+    FROM q JOIN df USING (term) JOIN o USING (term) JOIN d USING (doc), total
+    GROUP BY q.item_id, d.doc
+), r AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 20
+""")
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    index = lexical.Index(table(spark, folder, "documents"))
+    return lexical.search(index, table(spark, folder, "benchmark"))
+
+
 @query("""
 WITH d AS (
     SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
