@@ -15,6 +15,7 @@ from . import (
     lexical,
     metric_search,
     mixing,
+    perplexity,
     personal_data,
     phrases,
     piece_codec,
@@ -244,3 +245,8 @@ SELECT * FROM ranked WHERE rank <= 2000
 """)
 def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query()
+def op13_ngram_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.quality(table(spark, folder, "documents"))
