@@ -22,7 +22,7 @@ from ..functions.ics import (
 )
 from ..functions.text import col
 from ..functions.times import date_key_of, local_date_key, month_cells
-from .ordering import first_k_per_key, with_position
+from .ordering import first_k_per_key, range_positions
 
 
 def event_blocks(calendars: DataFrame, keep: Sequence[str], text: str = "value", dialect: str = "strict") -> DataFrame:
@@ -107,23 +107,13 @@ def parse_events(
     return valid_events(events) if dialect == "strict" else events
 
 
-# Events are numbered in ranges of this many seconds, those of one start (or of none) in ranges of
-# this many ordinals where that is asked for.
-RANGE = 600
-ORDINALS = 4096
-
-
-def _range(start: Column | str = "start", seconds: int = RANGE) -> Column:
-    return F.floor(F.unix_micros(start) / F.lit(seconds * 1_000_000))
-
-
 def sort_events(events: DataFrame) -> DataFrame:
     return events.orderBy("start", "ord")
 
 
 def event_positions(events: DataFrame) -> DataFrame:
     """Events with their 1-based ``position`` in the order of ``sort_events``."""
-    return with_position(events, [], ["start", "ord"], "position", _range())
+    return range_positions(events, [], ["start", "ord"], "position")
 
 
 def sort_events_unparseable_last(events: DataFrame) -> DataFrame:
@@ -131,12 +121,7 @@ def sort_events_unparseable_last(events: DataFrame) -> DataFrame:
 
 
 def event_positions_unparseable_last(events: DataFrame) -> DataFrame:
-    return with_position(events, [], [F.asc_nulls_last("start"), "ord"], "position", *unparseable_last_levels())
-
-
-def unparseable_last_levels() -> tuple[Column, list[Column]]:
-    """Ranges of time, those without a start last; in them each start, and of a start ranges of ``ord``."""
-    return F.coalesce(_range(), F.lit(2**62)), [F.col("start"), F.floor(F.col("ord") / F.lit(ORDINALS))]
+    return range_positions(events, [], [F.asc_nulls_last("start"), "ord"], "position")
 
 
 def split_upcoming_past(events: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +135,7 @@ def sort_past_desc(past: DataFrame) -> DataFrame:
 
 def past_positions(past: DataFrame) -> DataFrame:
     """Past events with their ``position`` in the order of ``sort_past_desc``."""
-    return with_position(past, [], [F.desc("start"), "ord"], "position", -_range())
+    return range_positions(past, [], [F.desc("start"), "ord"], "position")
 
 
 def next3_events(upcoming: DataFrame, k: int = 3) -> DataFrame:
@@ -161,10 +146,9 @@ def with_day(events: DataFrame, zone: str = ZONE) -> DataFrame:
     return events.withColumn("date_key", local_date_key("start", zone))
 
 
-def events_by_day(events: DataFrame, zone: str = ZONE, seconds: int = RANGE) -> DataFrame:
-    """Events with their local day and exact place in it; a day is never gathered into a list.
-    Events are numbered in ranges of ``seconds``."""
-    return with_position(with_day(events, zone), ["date_key"], ["start", "ord"], "day_position", _range(seconds=seconds))
+def events_by_day(events: DataFrame, zone: str = ZONE) -> DataFrame:
+    """Events with their local day and exact place in it; a day is never gathered into a list or one task."""
+    return range_positions(with_day(events, zone), ["date_key"], ["start", "ord"], "day_position")
 
 
 def day_counts(events: DataFrame, zone: str = ZONE) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_ready
 from .joins import join_lookup
 
 
@@ -48,20 +49,23 @@ def carry_forward(
     stream: Sequence[str],
     pos: str,
     headers: Sequence[tuple[str, Column, Column]],
-    block: int = 100_000,
+    block: int | str = 100_000,
 ) -> DataFrame:
     """Give every row the latest header values at or before it in its stream.
 
     ``headers`` lists (output name, is-header test, value) from outer to inner; an inner value
     ends where a new outer header starts. ``pos`` is unique in a stream. A stream is worked in
     blocks of positions: inside a block by a window, between blocks through one summary row
-    per block, so a very long stream is spread over many tasks.
+    per block, so a very long stream is spread over many tasks. ``block`` is the length of a block, or
+    the name of a column that says where in the stream a row's block starts; ``pos`` then only has
+    to grow inside a block.
     """
     keys = [*stream, "_block"]
     marks = [f"_mark_{name}" for name, _, _ in headers]
-    base = rows.withColumn("_block", F.expr(f"`{pos}` div {block}"))
+    base = rows.withColumn("_block", F.col(block) if isinstance(block, str) else F.expr(f"`{pos}` div {block}"))
+    spot = F.struct("_block", pos) if isinstance(block, str) else F.col(pos)
     for mark, (_, test, value) in zip(marks, headers):
-        base = base.withColumn(mark, F.when(test, F.struct(F.col(pos).alias("at"), value.alias("value"))))
+        base = base.withColumn(mark, F.when(test, F.struct(spot.alias("at"), value.alias("value"))))
 
     so_far = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumns({m: F.last(m, ignorenulls=True).over(so_far) for m in marks})
@@ -84,6 +88,22 @@ def carry_forward(
     return out.select(*rows.columns, *[v.alias(n) for n, v in values.items()])
 
 
+def running_counts(rows: DataFrame, stream: Sequence[str], block: str, pos: str, **tests: Column) -> DataFrame:
+    """``rows`` with, for each test, how many rows of the stream hold it up to and including this one.
+
+    Blocks as in ``carry_forward``: counted inside a block by a window, and one row per block says what
+    came before it.
+    """
+    counted = rows.withColumns({f"_is_{name}": F.coalesce(test, F.lit(False)).cast("long") for name, test in tests.items()})
+    inside = Window.partitionBy(*stream, block).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    local = counted.withColumns({name: F.sum(f"_is_{name}").over(inside) for name in tests})
+    earlier = Window.partitionBy(*stream).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counted.groupBy(*stream, block).agg(*[F.sum(f"_is_{name}").alias(f"_sum_{name}") for name in tests])
+    before = sums.select(*stream, block, *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_before_{name}") for name in tests])
+    joined = join_lookup(local, before, [*stream, block], "inner", null_safe=True)
+    return joined.select(*rows.columns, *[(F.col(name) + F.col(f"_before_{name}")).alias(name) for name in tests])
+
+
 def with_position(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, bucket: Column, finer: Sequence[Column] = ()
 ) -> DataFrame:
@@ -112,3 +132,34 @@ def with_position(
         counts = counts.groupBy(*within).agg(F.sum("_n").alias("_n"))
     placed = join_lookup(cut.withColumn("_in", F.row_number().over(inside)), starts, [*keys, *levels], "inner", null_safe=True)
     return placed.select(*rows.columns, (F.col("_before") + F.col("_in")).alias(name))
+
+
+def range_positions(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """Exact 1-based position of each row in its key, in ranges that the data give.
+
+    Rows are dealt into ranges of ``keys`` and ``order`` of about equal size, as many as there are shuffle
+    partitions, sorted there, and stored, so that every later step meets the same ranges. A row's place
+    in its range comes with the sort. What a range holds of a key is one small row (a key has at most one
+    for each range), and sums over these say how many rows of the key come earlier. A value that
+    half of all rows share is cut by the parts of the order behind it, so no task holds more than its
+    range; only rows equal in all of ``keys`` and ``order`` stay together, in any order.
+
+    Columns of ``rows`` called ``_tw_range`` or ``_tw_place`` would clash and may not be there.
+    """
+    checkpoint_ready(rows.sparkSession)
+    spread = [*keys, *order]
+    dealt = rows.repartitionByRange(*spread).sortWithinPartitions(*spread)
+    # A running id is the partition in its upper bits and the row's place there in the lower 33.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    stored = dealt.withColumns({"_tw_range": F.spark_partition_id(), "_tw_place": place}).checkpoint()
+    held = stored.groupBy(*keys, "_tw_range").agg(F.count("*").alias("_n"), F.min("_tw_place").alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_tw_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select(*keys, "_tw_range", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = join_lookup(stored, starts, [*keys, "_tw_range"], "inner", null_safe=True)
+    return placed.select(*rows.columns, (F.col("_before") + F.col("_tw_place") - F.col("_first") + 1).alias(name))
+
+
+def largest_range(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> int:
+    """Rows of the largest range that ``range_positions`` makes: what its largest task holds."""
+    sizes = rows.repartitionByRange(*keys, *order).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]

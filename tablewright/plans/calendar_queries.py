@@ -249,11 +249,14 @@ ICS = f"""source AS (
 _ESCAPED = r"replace(replace(name, ';', '\;'), ',', '\,')"
 
 
-@query(rf"""WITH {ICS}
+ICS_EVENTS = rf"""WITH {ICS}
 SELECT calendar_id, CAST(ord AS INTEGER) AS ord, CASE WHEN k % 4 <> 0 THEN 'u-' || k ELSE start_raw || '-' || {_ESCAPED} END AS id, name AS title,
   'Bring ' || props || chr(10) || 'Doors' || chr(10) || chr(10) || 'open' || chr(10) || chr(10) || 'late' || link AS description,
   'Hall, room 4' AS location, rsvp_url, {sql_iso('start')} AS start, {sql_iso('coalesce(stop, start)')} AS "end"
-FROM source WHERE k % 11 <> 0 AND start IS NOT NULL""")
+FROM source WHERE k % 11 <> 0 AND start IS NOT NULL"""
+
+
+@query(ICS_EVENTS)
 def ics_roundtrip(t: Tables):
     events = C.parse_events(_ics_texts(t), ["calendar_id"])
     columns = ["calendar_id", "ord", "id", "title", "description", "location", "rsvp_url"]

@@ -12,11 +12,12 @@ from ..operators import stats
 from ..operators import timetable as T
 from ..sinks import writers
 from ..sources.calendars import read_ics
+from ..sources.lines import read_calendar_blocks, read_menu_lines
 from ..sources.lookups import read_nutrition_lookup
 from ..sources.menus import read_index, read_menu_documents, read_menu_json, read_menu_text, read_restaurant_jsons
 from ..sources.timetable import read_timetable_json
 from ..streaming.snapshots import stream_menu_snapshots
-from .calendar_queries import FEED
+from .calendar_queries import FEED, ICS_EVENTS, _ics_texts
 from .inputs import HOURS, MENU, TIMETABLE, as_of, iso, menu, nutrition, timetable
 from .menu_queries import BLOCK, INDEX, INFO_SQL, LOOKUP, ROUND_TRIP, _hours, _info, _snapshot_texts
 from .registry import Tables, query
@@ -142,6 +143,25 @@ def read_menu_text_written(t: Tables):
     return _text_rows(read_menu_text(t.spark, f"{_text_files(t)}/*/*.txt"))
 
 
+@query(f"SELECT * EXCLUDE (item_ord) FROM ({TEXT_ROWS})")
+def read_menu_lines_written(t: Tables):
+    """Line by line, so that a text need not fit in a row; the ordinal is the line's number."""
+    return _text_rows(read_menu_lines(t.spark, f"{_text_files(t)}/*/*.txt")).drop("item_ord")
+
+
+@query(ICS_EVENTS)
+def read_calendar_lines_written(t: Tables):
+    """Calendar files read line by line, their blocks read as events."""
+    path = f"{t.scratch()}/calendars"
+    _ics_texts(t).repartition("calendar_id").write.partitionBy("calendar_id").text(path)
+    number = F.regexp_extract("snapshot_id", "calendar_id=([0-9]+)", 1).cast("long").alias("calendar_id")
+    blocks = read_calendar_blocks(t.spark, f"{path}/*/*.txt").select(number, "ord", "block")
+    keep = ["calendar_id"]
+    events = C.valid_events(C.event_projection(C.raw_fields(blocks, keep), keep))
+    columns = ["calendar_id", "ord", "id", "title", "description", "location", "rsvp_url"]
+    return events.select(*columns, iso("start").alias("start"), iso("end").alias("end"))
+
+
 @query(TEXT_ROWS)
 def stream_menu_snapshots_written(t: Tables):
     files, folder = _text_files(t), t.scratch()

@@ -17,6 +17,7 @@ from ..operators.ordering import first_wins as keep_first
 from ..operators.ordering import last_wins as keep_last
 from ..sources.lookups import crosswalk_dim
 from ..sources.menus import DOCUMENT, flatten_documents, parse_menu_restaurants, parse_menu_text
+from ..streaming.index import KeptIndex, keep_index
 from ..streaming.snapshots import latest_snapshot as newest
 from ..streaming.snapshots import read_latest, write_latest
 from .inputs import (
@@ -122,6 +123,49 @@ def top4_restaurants(t: Tables):
     return stats.top4_restaurants(stats.menu_counts(menu(t)))
 
 
+# --- index kept up to date while snapshots arrive ---------------------------------------------
+
+NEWEST = f"""{MENU_SNAPSHOTS},
+newest AS (SELECT restaurant, max(snapshot_id) AS snapshot_id FROM snapshots GROUP BY restaurant),
+sections AS (SELECT snapshots.* FROM snapshots JOIN newest USING (restaurant, snapshot_id)),
+idx AS (
+  SELECT restaurant, count(*) AS total_items, count(*) FILTER (WHERE is_halal) AS halal_items,
+         count(DISTINCT category) AS categories_count, min(item_ord) AS ord
+  FROM sections GROUP BY restaurant)"""
+
+
+def _kept(t: Tables) -> KeptIndex:
+    """The menu as snapshots that arrive in up to three batches, each snapshot whole in one file."""
+    folder = t.scratch()
+    rows = menu_snapshots(t).withColumns({"snapshot_ts": F.col("snapshot_id"), "snapshot_id": F.col("snapshot_id").cast("string")})
+    rows.repartitionByRange(3, "snapshot_ts").write.parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    keep_index(stream, f"{folder}/kept", f"{folder}/state", buckets=8).awaitTermination()
+    return KeptIndex(t.spark, f"{folder}/kept")
+
+
+@query(f"""WITH {NEWEST} SELECT restaurant, replace(lower(restaurant), '#', '') AS safe_name, replace(lower(restaurant), '#', '') || '.json' AS filename,
+       total_items, halal_items, categories_count, ord FROM idx""")
+def restaurant_index_kept(t: Tables):
+    return _kept(t).restaurant_index()
+
+
+@query(f"""WITH {NEWEST}
+SELECT count(*) AS total_restaurants, CAST(sum(total_items) AS BIGINT) AS total_items,
+       CAST(sum(halal_items) AS BIGINT) AS total_halal_items,
+       count(*) FILTER (WHERE halal_items > 0) AS restaurants_with_halal,
+       round_even(CAST(sum(total_items) AS DOUBLE) / count(*), 1) AS average_items_per_restaurant
+FROM idx""")
+def summary_stats_kept(t: Tables):
+    return _kept(t).summary_stats()
+
+
+@query(f"""WITH {NEWEST} SELECT category, count(*) AS total_items, count(*) FILTER (WHERE is_halal) AS halal_items,
+       count(DISTINCT restaurant) AS restaurants FROM sections GROUP BY category""")
+def category_totals_kept(t: Tables):
+    return _kept(t).category_totals()
+
+
 # --- keyed dedup ----------------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from ..fixed_values import NAME_MISSING
 from ..operators.calendar import parse_events
 from ..operators.ordering import last_wins
 from ..sources.menus import DOCUMENT, flatten_documents, parse_menu_restaurants, parse_menu_text, read_snapshot_texts
+from .current import BUCKETS, CurrentTable
 
 
 def stream_menu_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -81,26 +82,17 @@ def stream_latest_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_latest(
-    latest: DataFrame, path: str, checkpoint: str, keys: Sequence[str], trigger: dict | None = None
+    latest: DataFrame, path: str, checkpoint: str, keys: Sequence[str], trigger: dict | None = None, buckets: int = BUCKETS
 ) -> StreamingQuery:
     """Keep the newest row of every key in a current table under ``path``.
 
-    Each micro-batch writes a new version: the rows of the version before whose keys did not
-    change, and the changed ones. A version counts when its write is complete, so readers see the
-    old one until then, and a batch that is run again after a failure replaces its own version.
-    Versions before the last two are removed.
+    A micro-batch adds its changed rows to the buckets of their keys and nothing else (see
+    ``CurrentTable``); readers see it once it is complete, and a batch that is run again after a
+    failure replaces its own rows.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        older = [v for v in _versions(spark, path) if v < batch_id]
-        rows = batch
-        if older:
-            current = spark.read.schema(batch.schema).parquet(_version(path, older[-1]))
-            rows = current.join(batch.select(*keys), list(keys), "left_anti").unionByName(batch)
-        rows.write.mode("overwrite").parquet(_version(path, batch_id))
-        for version in older[:-1]:
-            _files(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(_version(path, version)), True)
+        CurrentTable(batch.sparkSession, path, keys, buckets=buckets).merge(batch_id, batch)
 
     writer = latest.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -108,24 +100,4 @@ def write_latest(
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The current table: the last complete version, and nothing older."""
-    return spark.read.parquet(_version(path, _versions(spark, path)[-1]))
-
-
-def _version(path: str, number: int) -> str:
-    return f"{path}/version-{number}"
-
-
-def _files(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the complete versions, rising."""
-    files, where = _files(spark, path)
-    if not files.exists(where):
-        return []
-    done = spark._jvm.org.apache.hadoop.fs.Path
-    names = [status.getPath().getName() for status in files.listStatus(where)]
-    numbers = [int(n.removeprefix("version-")) for n in names if n.startswith("version-")]
-    return sorted(n for n in numbers if files.exists(done(f"{_version(path, n)}/_SUCCESS")))
+    return CurrentTable(spark, path).read()

@@ -51,20 +51,58 @@ def test_with_position_on_a_hot_key(spark):
         assert [p for _, _, p in sorted(group)] == list(range(1, len(group) + 1))
 
 
-def test_event_positions_of_hot_and_unreadable_starts(spark, monkeypatch):
+@pytest.fixture()
+def many_partitions(spark):
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def hot_events(spark):
+    """Half of all events have one start, a sixth has none; the parts lie in any order."""
+    start = F.when(F.col("id") % 2 == 0, F.lit(7200)).when(F.col("id") % 3 == 0, None).otherwise(F.col("id") * 7919 % 500_000)
+    rows = spark.range(0, 24_000, 1, 7).select(F.timestamp_seconds(start).alias("start"), (F.col("id") * 7 % 24_000).alias("ord"))
+    return rows.withColumn("end", F.col("start"))
+
+
+@pytest.mark.parametrize("way", ["sort_events", "unparseable_last", "past_desc"])
+def test_a_hot_start_is_numbered_by_many_tasks(spark, many_partitions, way):
+    from tablewright.operators import calendar as C
+
+    events = hot_events(spark)
+    clock = lambda r: r.start.timestamp() if r.start else -1
+    made, order, key = {
+        "sort_events": (C.event_positions, ["start", "ord"], lambda r: (clock(r), r.ord)),
+        "unparseable_last": (C.event_positions_unparseable_last, [F.asc_nulls_last("start"), "ord"], lambda r: (r.start is None, clock(r), r.ord)),
+        "past_desc": (C.past_positions, [F.desc("start"), "ord"], lambda r: (-clock(r), r.ord)),
+    }[way]
+    assert O.largest_range(events, [], order) < 2 * 24_000 / 16
+    placed = sorted(made(events).collect(), key=key)
+    assert [r.position for r in placed] == list(range(1, 24_001))
+
+
+def test_days_and_their_hot_starts(spark, many_partitions):
     from tablewright.operators import calendar as C
 
-    monkeypatch.setattr(C, "ORDINALS", 50)
-    start = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, F.lit(7200)).otherwise(F.col("id") * 7919 % 5000)
-    events = spark.range(1500).select(F.timestamp_seconds(start).alias("start"), F.col("id").alias("ord"))
-    bucket, finer = C.unparseable_last_levels()
-    sizes = events.groupBy(bucket.alias("a"), *[c.alias(f"b{n}") for n, c in enumerate(finer)]).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 50  # what one window of the numbering holds
-    plan = C.event_positions_unparseable_last(events)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_bucket2" in next(line for line in plan.splitlines() if "row_number()" in line)
-    placed = C.event_positions_unparseable_last(events).collect()
-    placed.sort(key=lambda r: (r.start is None, r.start.timestamp() if r.start else 0, r.ord))
-    assert [r.position for r in placed] == list(range(1, 1501))
+    events = hot_events(spark)
+    assert O.largest_range(C.with_day(events), ["date_key"], ["start", "ord"]) < 2 * 24_000 / 16
+    days = {}
+    for r in C.events_by_day(events).collect():
+        days.setdefault(r.date_key, []).append((r.start.timestamp() if r.start else -1, r.ord, r.day_position))
+    assert sum(map(len, days.values())) == 24_000 and None in days and len(days) > 5
+    for rows in days.values():
+        assert [p for _, _, p in sorted(rows)] == list(range(1, len(rows) + 1))
+
+
+def test_range_positions_of_nothing_and_of_equal_rows(spark):
+    none = spark.range(0).select(F.col("id").alias("k"), "id")
+    assert O.range_positions(none, ["k"], ["id"], "place").collect() == []
+    same = spark.range(100).select(F.lit(None).cast("string").alias("k"), F.lit(1).alias("v"), F.lit("x").alias("position"))
+    assert sorted(r.place for r in O.range_positions(same, ["k"], ["v"], "place").collect()) == list(range(1, 101))
 
 
 def test_keyed_dedup(spark):
