@@ -64,3 +64,48 @@ def is_open(ranges: Column | str, minute: Column | str) -> Column:
     return F.exists(
         col(ranges), lambda r: (minute >= r["start_min"]) & (minute < r["end_min"])
     )
+
+
+# --- minutes of the day as bits -------------------------------------------------------------
+
+WORDS = 23  # of 64 minutes each, for 1440 minutes
+
+
+def _mask(word: Column, start: Column, end: Column) -> Column:
+    """Bits of the minutes from ``start`` up to ``end`` that lie in a word."""
+    edge = lambda minute: F.greatest(F.lit(0), F.least(F.lit(64), minute - word * 64))
+    # Ones below a bit; a shift by 64 would be a shift by 0.
+    ones = F.lit(-1).cast("long")
+    below = lambda n: F.when(n >= 64, ones).otherwise(F.bitwise_not(F.call_function("shiftleft", ones, n.cast("int"))))
+    return below(edge(end)).bitwiseAND(F.bitwise_not(below(edge(start))))
+
+
+def _words() -> Column:
+    return F.sequence(F.lit(0), F.lit(WORDS - 1))
+
+
+def minute_bits(ranges: Column | str) -> Column:
+    """The minutes of the day inside any of the ranges, as an array of longs; null for null ranges."""
+    zero = F.lit(0).cast("long")
+    word = lambda w: F.aggregate(col(ranges), zero, lambda bits, r: bits.bitwiseOR(_mask(w, r["start_min"], r["end_min"])))
+    return F.when(col(ranges).isNotNull(), F.transform(_words(), word))
+
+
+def is_open_bits(bits: Column | str, minute: Column | str) -> Column:
+    """As ``is_open``, by shift and mask."""
+    minute = col(minute)
+    word = F.get(col(bits), F.floor(minute / 64).cast("int"))
+    return F.call_function("shiftright", word, (minute % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
+def is_open_for(bits: Column | str, minute: Column | str, n: Column | int) -> Column:
+    """Whether all of the next ``n`` minutes are open. Nothing is open beyond the end of the day."""
+    start = col(minute)
+    end = start + (F.lit(n) if isinstance(n, int) else n)
+    wanted = F.forall(F.transform(_words(), lambda w: F.struct(_mask(w, start, end).alias("m"), F.get(col(bits), w).alias("b"))), lambda x: x["m"].bitwiseAND(x["b"]) == x["m"])
+    return F.when(col(bits).isNotNull() & start.isNotNull(), wanted & (end <= 1440))
+
+
+def open_minutes(bits: Column | str) -> Column:
+    """Open minutes of the day; ranges that overlap count once."""
+    return F.aggregate(col(bits), F.lit(0), lambda n, b: n + F.bit_count(b))

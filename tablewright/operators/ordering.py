@@ -159,6 +159,38 @@ def range_positions(rows: DataFrame, keys: Sequence[str], order: Sequence[Column
     return placed.select(*rows.columns, (F.col("_before") + F.col("_tw_place") - F.col("_first") + 1).alias(name))
 
 
+def first_after(rows: DataFrame, entries: DataFrame, keys: Sequence[str], at: str, entry_at: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with the smallest ``value`` of the entries of their key that are later than ``at``, else null.
+
+    An as-of join for any number of entries in a key. Rows and entries are dealt into ranges of key and
+    time that the data give (see ``range_positions``); inside a range a window runs back from its end, and
+    one small row for each key and range says what the ranges behind it hold. So neither a key nor a time is
+    gathered in one task, and no pairs are made. A row without a time or a key has no later entry.
+    """
+    checkpoint_ready(rows.sparkSession)
+    own, clock = [f"_k{n}" for n in range(len(keys))], F.col("_at")
+    named = [F.col(k).alias(o) for k, o in zip(keys, own)]
+    blank = F.lit(None)
+    packed = rows.select(*named, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*rows.columns).alias("_row"))
+    listed = entries.select(*named, F.col(entry_at).alias("_at"), F.lit(0).alias("_kind"), value.alias("_value"))
+    listed = listed.where(clock.isNotNull())
+    both = packed.withColumn("_value", blank.cast(listed.schema["_value"].dataType)).unionByName(
+        listed.withColumn("_row", blank.cast(packed.schema["_row"].dataType)), allowMissingColumns=False
+    )
+    # At one time entries come before rows, so what is behind a row is later.
+    dealt = both.repartitionByRange(*own, "_at", "_kind").withColumn("_range", F.spark_partition_id()).checkpoint()
+    behind = Window.partitionBy(*own, "_range").orderBy(F.desc("_at"), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.withColumn("_local", F.min("_value").over(behind)).where("_kind = 1")
+    least = dealt.where("_kind = 0").groupBy(*own, "_range").agg(F.min("_value").alias("_least"))
+    spans = dealt.select(*own, "_range").distinct().join(least, [*own, "_range"], "left")
+    later = Window.partitionBy(*own).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select(*own, "_range", F.min("_least").over(later).alias("_carried"))
+    joined = join_lookup(local, carried, [*own, "_range"])
+    known = [F.col(k).isNotNull() for k in (*own, "_at")]
+    found = F.when(F.array_position(F.array(*known), F.lit(False)) == 0, F.least("_local", "_carried"))
+    return joined.select("_row.*", found.alias(name))
+
+
 def largest_range(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> int:
     """Rows of the largest range that ``range_positions`` makes: what its largest task holds."""
     sizes = rows.repartitionByRange(*keys, *order).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))

@@ -13,6 +13,7 @@ from ..functions.ics import ics_escape, ics_utc, slot_uid
 from ..functions.text import col
 from ..functions.times import clean_time, hijri_label, local_date_key, next_month, slot_to_utc, to_12h, valid_hhmm
 from .joins import join_lookup
+from .ordering import first_after
 
 
 def timetable_day(days: DataFrame, keep: Sequence[str] = (), slots: Sequence[str] = SLOTS, sunrise: str = SUNRISE) -> DataFrame:
@@ -91,6 +92,18 @@ def next_slot(instants: DataFrame, instant: str, slots: DataFrame, zone: str = Z
     return joined.withColumns({"next_index": index, "next_name": found["slot"]}).drop("_day", "_slots")
 
 
+def next_entry(instants: DataFrame, instant: str, entries: DataFrame, keys: Sequence[str], order: Column, zone: str = ZONE, minutes: int = SLOT_MINUTES) -> DataFrame:
+    """Add ``next``: the first entry (by ``order``, an orderable struct) of the instant's local day that is not over,
+    where a day may have any number of entries.
+
+    ``entries`` have ``utc_ts``; one is over ``minutes`` after its start. ``keys`` are further columns
+    that both sides share (a place, a room); null if the day has no such entry.
+    """
+    over = entries.withColumns({"_over": F.col("utc_ts") + F.make_dt_interval(mins=F.lit(minutes)), "_day": local_date_key("utc_ts", zone)})
+    asked = instants.withColumn("_day", local_date_key(instant, zone))
+    return first_after(asked, over, [*keys, "_day"], instant, "_over", order, "next").drop("_day")
+
+
 @dataclass(frozen=True)
 class Feed:
     """Texts of a published calendar."""

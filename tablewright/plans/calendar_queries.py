@@ -349,6 +349,16 @@ def next_slot(t: Tables):
     return found.select("event_id", "next_index", "next_name")
 
 
+@query(f"""SELECT event_id, min(event_id) OVER (PARTITION BY event_type, CAST({sql_local('ts')} AS DATE)
+  ORDER BY ts RANGE BETWEEN INTERVAL 299999999 MICROSECOND PRECEDING AND UNBOUNDED FOLLOWING) AS next_id FROM events""")
+def next_entry(t: Tables):
+    """Of all events of a type and day that are not over, the one with the smallest number."""
+    events = t.events.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    entries = events.withColumnRenamed("ts", "utc_ts")
+    found = T.next_entry(events, "ts", entries, ["event_type"], F.struct("event_id"))
+    return found.select("event_id", F.col("next.event_id").alias("next_id"))
+
+
 FEED = T.Feed(
     domain="times.example.org",
     product="-//Example//Times//EN",

@@ -332,6 +332,20 @@ def open_at(t: Tables):
     return S.open_at_join(visits, _hours(t), "name", "ts").select("event_id", "is_open")
 
 
+@query(f"""WITH {HOURS}
+SELECT event_id, CASE WHEN o.name IS NULL THEN NULL ELSE EXISTS (
+    SELECT 1 FROM hour_ranges r WHERE r.pos = o.pos AND r.start_min <= m AND m < r.end_min) END AS is_open,
+  CASE WHEN o.name IS NULL THEN NULL ELSE EXISTS (
+    SELECT 1 FROM hour_ranges r WHERE r.pos = o.pos AND r.start_min <= m AND m + 45 <= r.end_min) END AS is_open_for
+FROM (SELECT event_id, 'Brand#' || (user_id % 40) AS name, hour({sql_local('ts')}) * 60 + minute({sql_local('ts')}) AS m FROM events) e
+LEFT JOIN (SELECT * FROM hours_last WHERE shape NOT IN ('none', 'bad')) o USING (name)""")
+def open_for(t: Tables):
+    visits = t.events.select(
+        "event_id", F.concat(F.lit("Brand#"), (F.col("user_id") % 40).cast("string")).alias("name"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    return S.open_for_join(visits, _hours(t), "name", "ts", 45).select("event_id", "is_open", "is_open_for")
+
+
 @query(f"""WITH {HOURS}
 SELECT name AS restaurant, o.hours FROM hours_last o
 WHERE EXISTS (SELECT 1 FROM hour_ranges r WHERE r.pos = o.pos AND r.start_min <= 420 AND 420 < r.end_min)""")
@@ -350,6 +364,15 @@ def search_menu(t: Tables):
     return S.search_menu(menu(t), "  RiNg ").select("restaurant", "category", "meal", "item_ord")
 
 
+@query(f"""WITH {MENU}, asked AS (SELECT n_nationkey AS query_id, lower(substr(n_name, 1, CAST(1 + n_nationkey % 5 AS INTEGER))) AS q FROM nation)
+SELECT query_id, restaurant, category, meal, item_ord FROM asked JOIN menu
+ON contains(lower(meal), q) OR contains(lower(category), q) OR contains(lower(restaurant), q)""")
+def search_many(t: Tables):
+    """The first one to five letters of each nation, searched at once."""
+    asked = t.nation.select(F.col("n_nationkey").alias("query_id"), F.expr("substr(n_name, 1, cast(1 + n_nationkey % 5 AS int))").alias("query"))
+    return S.search_many(menu(t), asked).select("query_id", "restaurant", "category", "meal", "item_ord")
+
+
 @query(f"""WITH {MENU} SELECT restaurant, count(*) AS item_count FROM menu
 WHERE contains(lower(meal), 'ld') OR contains(lower(category), 'ld') OR contains(lower(restaurant), 'ld') GROUP BY restaurant""")
 def recount_after_filter(t: Tables):
