@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from .common import prepare, quoted
 
 LEAST, INSIDE, TOP, LONGEST = 10, 50, 2000, 3
 PART_BYTES = 8 * 1024 * 1024  # bytes of text for each part of the fingerprints
+BLOCK = 4 * 1024 * 1024  # bytes of text in a block
 NO_LANG = "und"
 
 # Ends of pieces become the byte FF, which no UTF-8 text holds.
@@ -48,11 +50,10 @@ _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """Word numbers of the texts in a row, -1 where a piece ends, and the distinct words."""
-    known: dict[bytes, int] = {_END: -1}
     line = _END.join(texts).translate(_FOLD).replace(_END, b" " + _END + b" ")
-    found = [known.setdefault(word, len(known) - 1) for word in line.split()]
-    del known[_END]
-    return np.array(found, np.int64), list(known)
+    found = pa.array([_END, *line.split()], pa.binary()).dictionary_encode()
+    # The end of a piece is number 0.
+    return found.indices.to_numpy()[1:].astype(np.int64) - 1, found.dictionary.to_pylist()[1:]
 
 
 class Grams:
@@ -81,8 +82,10 @@ class Grams:
                 self.prints[n] = (sums[first[real] + n] - sums[first[real]]) * backs[first[real]] + np.uint64(n)
             code = np.where(code >= 0, number - int((~real).sum()), -1)
 
-    def phrase(self, n: int, place: int) -> bytes:
-        return b" ".join([self.words[w] for w in self.ids[place : place + n]])
+    def phrases(self, n: int, places: np.ndarray) -> pa.Array:
+        """The n-grams at some places, written out."""
+        words = pa.array(self.words, pa.binary())
+        return pc.binary_join_element_wise(*[words.take(pa.array(self.ids[places + k])) for k in range(n)], b" ")
 
 
 def spots(prints: np.ndarray, parts: int, bits: int) -> np.ndarray:
@@ -105,12 +108,15 @@ def _sender(parts: int, least: int, bits: int, longest: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
-                found = [Grams(texts, lang, longest) for lang, texts in _by_lang(data.as_py())]
-                if not found:
+                spot, count = [], []
+                for lang, texts in _by_lang(data.as_py()):
+                    grams = Grams(texts, lang, longest)
+                    spot += [spots(p, parts, bits) for p in grams.prints.values()]
+                    count += grams.counts.values()
+                    del grams
+                if not spot:
                     continue
-                spot = np.concatenate([spots(g.prints[n], parts, bits) for g in found for n in g.prints])
-                count = np.concatenate([g.counts[n] for g in found for n in g.counts])
-                del found
+                spot, count = np.concatenate(spot), np.concatenate(count)
                 spot, at = np.unique(spot, return_inverse=True)
                 # More than the least frequency need not be known.
                 count = np.minimum(np.bincount(at, count, len(spot)), least).astype(number)
@@ -146,36 +152,41 @@ def _part_totals(least: int):
     return frequent
 
 
+def _held(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each of ``wanted`` is among the sorted ``values``."""
+    if not len(values):
+        return np.zeros(len(wanted), bool)
+    return values[np.minimum(np.searchsorted(values, wanted), len(values) - 1)] == wanted
+
+
 PHRASE = "lang string, n int, phrase string, count long"
 
 
 def _materialiser(parts: int, bits: int, longest: int):
     def written(block: pa.Table, found: pa.Table) -> pa.Table:
-        names = ("lang", "n", "phrase", "count")
-        columns: dict[str, list] = {name: [] for name in names}
         wanted = [np.frombuffer(v.as_py(), np.uint32).astype(np.uint64) | np.uint64(p.as_py() << 32) for p, v in zip(found.column("part"), found.column("values"))]
         wanted = np.sort(np.concatenate([np.empty(0, np.uint64), *wanted]))
+        made = [(NO_LANG, 0, pa.array([b""][:0], pa.binary()), np.empty(0, np.int64))]
         for data in block.column("data"):
             for lang, texts in _by_lang(data.as_py()):
                 grams = Grams(texts, lang, longest)
-                rows = [(0, b"", grams.total)]
+                made.append((lang, 0, pa.array([b""], pa.binary()), np.array([grams.total])))
                 for n, prints in grams.prints.items():
-                    hit = np.flatnonzero(np.isin(spots(prints, parts, bits), wanted))
-                    places, counts = grams.first[n][hit].tolist(), grams.counts[n][hit].tolist()
-                    rows += [(n, grams.phrase(n, place), count) for place, count in zip(places, counts)]
-                for name, column in zip(names[1:], zip(*rows)):
-                    columns[name] += column
-                columns["lang"] += [lang] * len(rows)
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.int64())
-        made = pa.table([pa.array(columns[n], k) for n, k in zip(names, kinds)], names=names)
-        return made.set_column(2, "phrase", made.column("phrase").cast(pa.string()))
+                    hit = np.flatnonzero(_held(wanted, spots(prints, parts, bits)))
+                    if len(hit):
+                        made.append((lang, n, grams.phrases(n, grams.first[n][hit]), grams.counts[n][hit]))
+        tables = []
+        for lang, n, texts, counts in made:
+            same = [pa.repeat(pa.scalar(v, k), len(texts)) for v, k in ((lang, pa.string()), (n, pa.int32()))]
+            tables.append(pa.table([*same, texts.cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "n", "phrase", "count"]))
+        return pa.concat_tables(tables)
 
     return written
 
 
 def frequent_phrases(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, bits: int = 32,
-    part_bytes: int = PART_BYTES, block_bytes: int = blocks.BYTES,
+    part_bytes: int = PART_BYTES, block_bytes: int = BLOCK,
 ) -> DataFrame:
     """``lang, n, phrase, count`` of all phrases of up to ``longest`` words that occur ``least`` times in
     their language. Rows with ``n`` 0 and an empty phrase hold a language's words in all."""
@@ -232,6 +243,7 @@ def collocations(
         longer = reduce(DataFrame.unionByName, around).groupBy("lang", "phrase").agg(F.max("_f").alias("_f"))
         candidates = candidates.join(longer, ["lang", "phrase"], "left").where(F.expr(f"_f IS NULL OR _f * 100 < a * {inside}"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = candidates.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # Spark cuts each task to `top` rows of a language before they meet.
+    best = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     sums = known.where("n = 0").select("lang", F.col("count").alias("n"))
-    return best.join(sums, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(sums, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
