@@ -44,7 +44,8 @@ from .common import prepare, quoted
 BEST = 20
 BITS, HASHES = 12, 4
 ENTRIES = 1 << 14  # terms of the items in a chunk, with repeats in different items
-DOCS, CELLS = 1024, 1 << 26  # documents of an index row, and bits of one
+DOCS, CELLS = 1024, 1 << 24  # documents of an index row, and bits of one
+BLOCK = 4 * 1024 * 1024  # bytes of text in a block
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LEVELS = np.array([1, 2, *[(1 << n) + 1 for n in range(1, 40)]], np.int64)  # least frequency of each level
 
@@ -71,17 +72,18 @@ INDEX = "block long, width int, docs array<int>, ids array<long>, lengths array<
 
 
 def _index_rows(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = {}
-    found, lengths = [], []
-    for text in rows.column("text"):
-        own = [known.setdefault(t, len(known)) for t in terms(text.as_py())]
-        lengths.append(len(own))
-        found += own
-    if not found:
-        return
-    lengths = np.array(lengths, np.int64)
-    code = np.repeat(np.arange(len(lengths)), lengths) << 32 | np.array(found, np.int64)
+    # Terms of all texts in a row, numbered; the byte FF, in no UTF-8 text, ends a text.
+    line = b" \xff ".join([(t.as_py() or b"").translate(_FOLD) for t in rows.column("text")])
+    found = pa.array([b"\xff", *line.split()], pa.binary()).dictionary_encode()
+    del line
+    known, number = found.dictionary.to_pylist()[1:], found.indices.to_numpy()[1:].astype(np.int64) - 1
     del found
+    if not known:
+        return
+    doc = np.cumsum(number < 0)
+    lengths = np.bincount(doc[number >= 0], minlength=rows.num_rows).astype(np.int64)
+    code = (doc << 32 | number)[number >= 0]
+    del doc, number
     code, tf = np.unique(code, return_counts=True)
     doc, term = code >> 32, code & 0xFFFFFFFF
     hashes = np.array([xxhash.xxh64_intdigest(t) for t in known], np.uint64)[term]
@@ -99,19 +101,18 @@ def _index_rows(block: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
             place = np.full(len(lengths), -1)
             place[part] = np.arange(len(part))
             mine = np.flatnonzero(place[doc] >= 0)
-            each = np.repeat(mine, high[mine])
-            level = np.arange(len(each)) - np.repeat(np.cumsum(high[mine]) - high[mine], high[mine])
             bits = np.zeros((w, len(part)), bool)
-            bits[positions(hashes[each], level, w), place[doc[each]][:, None]] = True
+            for level in range(int(high[mine].max())):
+                there = mine[high[mine] > level]
+                bits[positions(hashes[there], level, w), place[doc[there]][:, None]] = True
             slices = np.packbits(bits, axis=1, bitorder="little").tobytes()
             made.append((block, w, part.tolist(), [None if i is None else int(i) for i in ids[part]], lengths[part].tolist(), top[part].tolist(), slices))
     for row in made:
         kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*row, None, None), kinds)], names=_names(INDEX))
     df = np.bincount(term, minlength=len(known))
-    names = list(known)
-    for start in range(0, len(names), 50_000):
-        some = names[start : start + 50_000]
+    for start in range(0, len(known), 50_000):
+        some = known[start : start + 50_000]
         empty = [pa.nulls(len(some), k) for k in (pa.int32(), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3, pa.binary())]
         text = pa.array(some, pa.binary()).cast(pa.string())
         yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), *empty, text, pa.array(df[start : start + 50_000])], names=_names(INDEX))
@@ -124,7 +125,7 @@ def _names(schema: str) -> list[str]:
 class Index:
     """Blocks of documents, their bit slices, and document counts of all terms."""
 
-    def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes: int = blocks.BYTES) -> None:
+    def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK) -> None:
         spark = prepare(docs.sparkSession)
         self.blocks = blocks.stored(docs, quoted(text), block_bytes, id=quoted(id).cast("long")).select("block", "data")
 
@@ -216,13 +217,19 @@ def _candidates(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=_names(CANDIDATE))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch one by one, as their slices may be large."""
+    for n in range(batch.num_rows):
+        yield {name: column[n].as_py() for name, column in zip(batch.schema.names, batch.columns)}
+
+
 def _highest(chunk: Chunk, best: int):
     """The documents of a task with the highest bounds, for each item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list[tuple]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 for item, bound in chunk.bounds(row):
                     held = kept.setdefault(item, [])
                     floor = held[-1][4] if len(held) == best else 0
@@ -244,7 +251,7 @@ def _reaching(chunk: Chunk, floors: dict[int, tuple[int, int | None]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
                 for item, bound in chunk.bounds(row):
                     floor, last = floors.get(item, (0, None))
