@@ -140,18 +140,26 @@ def _sums_before(array: str, block: int = 256) -> str:
     return _let("blocks", blocks, _let("starts", starts, sums))
 
 
-def _extended(spans: str, ahead: str, extent: str) -> str:
-    """SQL for the spans that have an extent, from the left, without those that begin inside an earlier one."""
-    seen = f"zip_with({spans}, {ahead}, (s, a) -> named_struct('x', concat(s.x, a), 'start', s.start, 'end', s.end))"
+def _extended(spans: str, ahead: str, extent: str, block: int = 256) -> str:
+    """SQL for the spans that have an extent, from the left, without those that begin inside an earlier one.
+
+    The spans that stay are gathered in blocks, so that many spans are not copied for each of them.
+    """
+    seen = f"zip_with({spans}, {ahead}, (s, a) -> named_struct('x', concat(s.x, a), 'start', s.start, 'end', s.end, 'n', s.n))"
     ended = (
         f"filter(transform({seen}, s -> named_struct('x', s.x, 'start', s.start, 'end', "
-        f"s.start + element_at(transform(array(s.x), x -> {extent}), 1))), s -> s.end IS NOT NULL)"
+        f"s.start + element_at(transform(array(s.x), x -> {extent}), 1), 'n', s.n)), s -> s.end IS NOT NULL)"
     )
-    inside = (
-        "aggregate(ended, named_struct('last', 0, 'starts', cast(array() AS array<int>)), (r, s) -> if(s.start < r.last, "
-        "named_struct('last', r.last, 'starts', array_append(r.starts, s.start)), named_struct('last', s.end, 'starts', r.starts)), r -> r.starts)"
+    kept = "array<struct<x:string,start:int,end:int,n:int>>"
+    one = (
+        f"aggregate(slice(ended, cast(k * {block} AS int) + 1, {block}), named_struct('last', r.last, 'held', cast(array() AS {kept})), (q, s) -> "
+        "if(s.start < q.last, q, named_struct('last', s.end, 'held', array_append(q.held, s))))"
     )
-    return _let("ended", ended, _let("inside", inside, "filter(ended, s -> NOT array_contains(inside, s.start))"))
+    every = (
+        f"aggregate(sequence(0, (size(ended) - 1) div {block}), named_struct('last', 0, 'blocks', cast(array() AS array<{kept}>)), (r, k) -> "
+        f"{_let('q', one, 'named_struct(' + chr(39) + 'last' + chr(39) + ', q.last, ' + chr(39) + 'blocks' + chr(39) + ', array_append(r.blocks, q.held))')}, r -> flatten(r.blocks))"
+    )
+    return _let("ended", ended, f"if(size(ended) = 0, ended, {every})")
 
 
 def spans_of(kind: Kind, text: str) -> Column:
@@ -164,15 +172,14 @@ def spans_of(kind: Kind, text: str) -> Column:
     lengths = f"flatten(zip_with(slice(gaps, 1, size(found)), found, (g, m) -> array(length(g), length(m))))"
     spans = (
         "zip_with(found, sequence(1, size(found)), (m, n) -> "
-        "named_struct('x', m, 'start', sums[2 * n - 1], 'end', sums[2 * n - 1] + length(m)))"
+        "named_struct('x', m, 'start', sums[2 * n - 1], 'end', sums[2 * n - 1] + length(m), 'n', n))"
     )
     if kind.extent:
         spans = _extended(spans, f"regexp_extract_all({text}, {pattern}, 1)", kind.extent)
     valid = f"filter({spans}, s -> exists(array(s.x), x -> {kind.valid}))"
-    near = (
-        f"lower(concat(substring({text}, greatest(s.start - {CONTEXT}, 0) + 1, s.start - greatest(s.start - {CONTEXT}, 0)), "
-        f"' ', substring({text}, s.end + 1, {CONTEXT})))"
-    )
+    # What lies around a match is the end of the stretch before it and the start of the one behind it.
+    behind = "substring(get(gaps, s.n), s.end - sums[2 * s.n - 1] - length(found[s.n - 1]) + 1, " + f"{CONTEXT})"
+    near = f"lower(concat(right(get(gaps, s.n - 1), {CONTEXT}), ' ', {behind}))"
     words = "|".join(kind.words)
     scored = (
         f"transform({valid}, s -> named_struct('kind', '{kind.name}', 'start', s.start, 'end', s.end, "

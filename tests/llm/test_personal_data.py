@@ -108,3 +108,29 @@ def test_awkward_rows(spark):
 def test_digest_of_no_spans(spark):
     row = personal_data.find(frame(spark, [(1, None, None, None)])).select(personal_data.joined(["email", "ip"]).alias("j")).first()
     assert row.j == "" and hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_time_grows_with_the_text(spark):
+    """A text of nothing but spans, four times as long, takes about four times as long."""
+    import time
+
+    def seconds(size, unit):
+        docs = frame(spark, [(1, unit * (size // len(unit)), "en", "a")], SCHEMA)
+        best = []
+        for _ in range(2):
+            began = time.perf_counter()
+            found = personal_data.find(docs).select(F.size("email").alias("e"), F.size("iban").alias("i")).first()
+            best.append(time.perf_counter() - began)
+        assert found.e + found.i == size // len(unit)
+        return min(best)
+
+    for unit in ("mail a@b.cc ", "iban GB82WEST12345698765432, "):
+        seconds(12_000, unit)  # warm
+        small, large = seconds(60_000, unit), seconds(240_000, unit)
+        assert large < 7 * small + 0.5, (unit, small, large)
+
+
+def test_context_is_found_next_to_many_spans(spark):
+    text = "123-45-6789 " * 3 + "my ssn 123-45-6780 and " + "x" * 50 + " 123-45-6781. " + "y" * 50 + " 123-45-6782 is the social security number"
+    found = personal_data.find(frame(spark, [(1, text, "en", "a")], SCHEMA)).first().ssn
+    assert [text[s.start : s.end] for s in found] == ["123-45-6789", "123-45-6780", "123-45-6782"]
