@@ -19,8 +19,14 @@ distance of an entry saves its computation in the same way. Comparisons leave ro
 and for ties, scores are computed in exact integers. Queries and pages meet in blocks of bounded
 size, so neither a page nor the queries of a page are gathered without limit.
 
-Results: ties go to the smaller id. A vector that is null, holds a null or a non-finite component,
-or a component beyond 2**24 after scaling takes no part. Shorter vectors count as padded with
+Vectors with a component of 2**24 or more after scaling are too wide for distances in doubles. They stay
+out of the tree and meet the others in blocks: all queries with the wide vectors, the wide queries with
+all vectors. There doubles with an error bound leave out what cannot be among the best of a block, and
+the rest is scored in Python's unbounded integers.
+
+Results: ties go to the smaller id. A vector that is null or holds a null or a non-finite component
+takes no part; every other one does, however large. A score beyond 64 bits, which a long cannot hold,
+counts as the largest or smallest long. Shorter vectors count as padded with
 zeros. A query's own row, and any other row of its id, is not its candidate. Repeated query rows
 count once, repeated candidates each. A null id is smaller than all others and never a query. An
 empty table gives an empty one.
@@ -28,6 +34,7 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,12 +54,19 @@ NO_ID = -(1 << 63)  # stands for a null id
 # --- vectors -------------------------------------------------------------------------------
 
 def whole_numbers(vector: Column) -> Column:
-    """floor(64 * x) of each component; null for vectors that take no part."""
+    """floor(64 * x) of each component; null for vectors that take no part in the tree."""
     scaled = F.transform(vector, lambda x: x.cast("double") * SCALE)
     fit = F.forall(scaled, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < LARGEST), F.lit(False)))
     return F.when(fit, F.transform(scaled, lambda x: F.floor(x).cast("int")))
 
 
+def is_wide(vector: Column) -> Column:
+    """Whether a vector takes part but is too wide for the tree."""
+    each = F.transform(vector, lambda x: x.cast("double"))
+    finite = F.forall(each, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
+    return F.coalesce(finite & F.exists(each, lambda x: F.abs(x) * SCALE >= LARGEST), F.lit(False))
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Vectors (as bytes of 32-bit integers) as a matrix of doubles."""
     data = b"".join(x.ljust(4 * width, b"\0") for x in column.to_pylist())
@@ -234,22 +248,102 @@ def _search(space: Space, pivots: np.ndarray, k: int):
     return search
 
 
+# --- wide vectors --------------------------------------------------------------------------
+
+WIDE_BLOCK = 4096
+TOP = (1 << 63) - 1
+
+
+def _integers(data: bytes, wide: bool) -> list[int]:
+    """Scaled components of a packed vector: 32-bit integers, or doubles yet to be scaled."""
+    if not wide:
+        return np.frombuffer(data, "<i4").tolist()
+    return [math.floor(x * SCALE) if abs(x) < 2.0**1000 else int(x) * SCALE for x in np.frombuffer(data, "<f8").tolist()]
+
+
+def _exact_best(query: list[int], rows: list[list[int]], near: np.ndarray, k: int, own: int, ids: np.ndarray) -> list[tuple[int, int]]:
+    """The best ``k`` of (score, id), from exact scores; those beyond a long are the largest or smallest one."""
+    with np.errstate(all="ignore"):
+        point = np.zeros(near.shape[1])
+        point[: len(query)] = [float(x) if abs(x) < 1 << 1000 else np.inf for x in query[: len(point)]]
+        about = near @ point
+        error = (np.abs(near) @ np.abs(point)) * (len(point) + 4) * 2.0**-50
+    at = np.flatnonzero(ids != own)
+    with np.errstate(invalid="ignore"):
+        held = bool((np.abs(about) + error < 2.0**62).all())
+    if len(at) > k and held:
+        floor = np.partition((about - error)[at], len(at) - k)[len(at) - k]
+        at = at[(about + error)[at] >= floor]
+    scored = [(max(-TOP - 1, min(TOP, sum(a * b for a, b in zip(query, rows[n])))), int(ids[n])) for n in at.tolist()]
+    return sorted(scored, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def _search_wide(k: int):
+    def search(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if len(queries) and len(candidates):
+            rows = [_integers(v, w) for v, w in zip(candidates["v"].to_pylist(), candidates["wide"].to_pylist())]
+            near = np.zeros((len(rows), max(1, max(map(len, rows)))))
+            for place, row in zip(near, rows):
+                place[: len(row)] = [float(x) if abs(x) < 1 << 1000 else np.inf for x in row]
+            ids = candidates["id"].to_numpy()
+            for q, own, v, wide in zip(*(queries[n].to_pylist() for n in ("q", "id", "v", "wide"))):
+                best = _exact_best(_integers(v, wide), rows, near, k, own, ids)
+                out += [(q, own, i, score) for score, i in best]
+        columns = zip(*out) if out else ((), (), (), ())
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["q", "query_id", "vec_id", "score"])
+
+    return search
+
+
+def _wide_products(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` candidates in each block of them for each query: ``queries`` q, id, v, wide; ``candidates`` id, v, wide, row."""
+    many, asked = candidates.count(), queries.count()
+    of, blocks = max(1, -(-many // WIDE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("q", "id", "v", "wide", block("q", blocks).alias("block"), every(of).alias("part"))
+    right = candidates.select("id", "v", "wide", block("row", of).alias("part"), every(blocks).alias("block"))
+    keys = ["part", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_search_wide(k), FOUND)
+
+
 def top_products(
     vectors: DataFrame, k: int = 20, every: int = 20, id: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the queries, rows whose id is divisible by ``every``."""
     spark = prepare(vectors.sparkSession)
-    rows = vectors.select(F.coalesce(quoted(id).cast("long"), F.lit(NO_ID)).alias("id"), whole_numbers(quoted(vector)).alias("w"))
-    packed = _pack()
+    named = vectors.select(F.coalesce(quoted(id).cast("long"), F.lit(NO_ID)).alias("id"), quoted(vector).alias("x"))
+    named = named.withColumn("row", F.monotonically_increasing_id())
+    rows = named.select("id", "row", whole_numbers(F.col("x")).alias("w"))
+    packed = _pack("<i4")
     rows = rows.where("w IS NOT NULL").select(
         "id", packed(F.col("w")).alias("v"), F.size("w").alias("width"),
         F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x).alias("norm"),
-        F.monotonically_increasing_id().alias("row"),
+        "row",
     )
     rows = rows.checkpoint()
+    doubles = _pack("<f8")
+    wide = named.where(is_wide(F.col("x"))).select("id", "row", doubles(F.transform("x", lambda x: x.cast("double"))).alias("v"), F.lit(True).alias("wide")).checkpoint()
+    is_query = (F.col("id") % every == 0) & (F.col("id") != NO_ID)
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    shown = lambda found: ranked(found).select(
+        "query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score"
+    )
     shape = rows.agg(F.max("width").alias("width"), F.max("norm").alias("norm"), F.count("*").alias("n")).first()
+    numbered = lambda asked: asked.select(F.xxhash64("id", "v").alias("q"), "id", "v").distinct()
+    wide_queries = numbered(wide.where(is_query)).withColumn("wide", F.lit(True))
+    in_tree = rows.select("id", "v", F.lit(False).alias("wide"), "row")
+    # Wide queries meet all vectors, the others the wide ones.
+    by_blocks = None
+    if not wide.isEmpty():
+        plain_queries = numbered(rows.where(is_query)).withColumn("wide", F.lit(False))
+        candidates = in_tree.unionByName(wide)
+        by_blocks = _wide_products(wide_queries, candidates, k).unionByName(_wide_products(plain_queries, wide, k))
     if not shape["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return empty if by_blocks is None else shown(by_blocks)
     space, width = Space(shape["norm"]), max(1, shape["width"])
     sample = rows.orderBy(F.xxhash64("v", "id"), "v").limit(SAMPLE).select("v").collect()
     pivots = choose_pivots(_matrix(pa.array([bytes(r.v) for r in sample]), width), space)
@@ -262,9 +356,7 @@ def top_products(
     number = F.pmod(F.xxhash64("row"), dealt[F.col("cell")]).cast("int")
     nodes = placed.withColumn("page", number).groupBy("cell", "page").applyInArrow(_build(space, pivots), NODE).checkpoint()
 
-    queries = placed.where((F.col("id") % every == 0) & (F.col("id") != NO_ID))
-    queries = queries.select(F.xxhash64("id", "v").alias("q"), "id", "v").distinct()
-    queries = queries.withColumn("home", _home(space, pivots)("v")).checkpoint()
+    queries = numbered(placed.where(is_query)).withColumn("home", _home(space, pivots)("v")).checkpoint()
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     block = F.pmod("q", F.lit(blocks)).cast("int").alias("block")
     spread = nodes.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
@@ -275,26 +367,24 @@ def top_products(
         keys = ["cell", "page", "block"]
         return sent.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(_search(space, pivots, k), FOUND)
 
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     none = F.lit(None).cast("long")
     at_home = searched(queries.select("q", "id", "v", none.alias("bound"), F.col("home").alias("cell")))
-    at_home = at_home.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank").checkpoint()
+    at_home = ranked(at_home).drop("rank").checkpoint()
     bounds = at_home.groupBy("q").agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
     radii = {c.cell: c.radius for c in cells}
     open_cells = _open_cells(space, pivots, radii)
     others = queries.join(bounds, "q", "left").select("q", "id", "v", "bound", F.explode(open_cells("v", "bound", "home")).alias("cell"))
     found = at_home.unionByName(searched(others))
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
+    return shown(found if by_blocks is None else found.unionByName(by_blocks))
 
 
-def _pack():
-    """Vectors as bytes of little-endian 32-bit integers."""
+def _pack(kind: str):
+    """Vectors as bytes of little-endian numbers."""
 
     @F.arrow_udf("binary")
     def packed(column: pa.Array) -> pa.Array:
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-        ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))) * 4
+        flat, size = column.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes(), np.dtype(kind).itemsize
+        ends = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)))) * size
         return pa.array([flat[a:b] for a, b in zip(ends[:-1], ends[1:])], pa.binary())
 
     return packed

@@ -1,4 +1,6 @@
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 from helpers import clashing
@@ -11,15 +13,17 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 def brute(rows, k=20, every=20):
     fit = []
     for vec, emb, _ in rows:
-        if emb is None or any(x is None or not np.isfinite(x) or abs(64 * x) >= search.LARGEST for x in emb):
+        if emb is None or any(x is None or not np.isfinite(x) for x in emb):
             continue
-        fit.append((vec, [int(np.floor(64.0 * float(np.float32(x)))) for x in emb]))
+        # Embeddings may be floats or doubles; either way the components are whole 64ths.
+        fit.append((vec, [math.floor(Fraction(float(x)) * 64) for x in emb]))
     out, seen = [], set()
     for vec, v in fit:
         if vec is None or vec % every or (vec, tuple(v)) in seen:
             continue
         seen.add((vec, tuple(v)))
-        scored = sorted(((-sum(a * b for a, b in zip(v, w)), -(1 << 63) if i is None else i) for i, w in fit if i != vec))[:k]
+        long = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+        scored = sorted(((-long(sum(a * b for a, b in zip(v, w))), -(1 << 63) if i is None else i) for i, w in fit if i != vec))[:k]
         out += [(vec, n + 1, None if i == -(1 << 63) else i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out, key=repr)
 
@@ -34,6 +38,7 @@ def test_equals_brute_force(spark, monkeypatch):
     rows += [(n, centres[0], 0) for n in range(600, 800)]  # one very common vector
     rows += [(900, None, 1), (920, [1.0, None], 1), (940, [float("nan")], 1), (960, [float("inf")] * 6, 1), (980, [1e30], 1)]
     rows += [(1000, [0.5, -0.5], 1), (1020, [], 1), (None, centres[1], 1), (1040, centres[2], 1), (1040, centres[2], 1), (1060, [3e4] * 6, 1)]
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], n) for i, v, n in rows]
     vectors = clashing(spark.createDataFrame(rows, SCHEMA), ["cell", "page", "q", "rank", "score"])
     got = search.top_products(vectors)
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
@@ -67,3 +72,26 @@ def test_few_rows_and_empty(spark):
     assert sorted(tuple(r) for r in search.top_products(spark.createDataFrame(rows, SCHEMA)).collect()) == brute(rows)
     assert search.top_products(spark.createDataFrame([(0, [1.0], 0)], SCHEMA)).collect() == []
     assert search.top_products(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_wide_vectors_take_part(spark, monkeypatch):
+    """Components of 1e6 and more, as candidates and as queries, next to small ones; and nothing but such."""
+    monkeypatch.setattr(search, "WIDE_BLOCK", 9)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 5)
+    dice = random.Random(3)
+    rows = [(n, [dice.gauss(0, 1) for _ in range(4)], 0) for n in range(200)]
+    wide = [(n, [dice.choice([1e6, -1e6, 262144.0, 2.5e5, 0.3]) * dice.choice([1, 0.5]) for _ in range(4)], 0) for n in range(300, 360)]
+    wide += [(400, [1e6, 1.0], 0), (401, [1e6, 1.0], 0), (401, [1e6, 1.0], 0), (420, [4194304.5, 1 / 3], 0), (None, [1e6] * 4, 0)]
+    for some in (rows + wide, wide, rows + wide[:1]):
+        vectors = spark.createDataFrame(some, "vec_id long, embedding array<double>, label int")
+        assert sorted((tuple(r) for r in search.top_products(vectors).collect()), key=repr) == brute(some)
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(n, [float(n), 1.0], 0) for n in range(1, 60)] + [(60, [1e30, 1.0], 0), (61, [-1e30, 0.0], 0), (80, [1e308, -1e308], 0)]
+    got = {}
+    for r in search.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    top = (1 << 63) - 1
+    assert got[20][0] == (60, top) and got[20][1] == (80, top) and len(got[20]) == 20 and len(got[60]) == 20
+    assert [s for _, s in got[60]] == [top] * 20
