@@ -8,9 +8,11 @@ gives ``lang_pred`` and ``score``. The state starts anew in each window, so wind
 texts run side by side as one matrix and memory depends on the block of windows, not on a text.
 
 The network is trained in numpy by backpropagation through time, on the driver, from a bounded
-sample of labelled rows: at most ``SAMPLE_ROWS`` rows, as even over the languages as these allow (those with
-the smallest hashes in ``SLOTS`` slots of each language), and from each at most ``PIECES`` pieces of ``WINDOW``
-characters. Prediction covers every whole text; language, source and id never enter it.
+sample of labelled rows: ``rows`` of them, as even over the languages as these allow (those with
+the smallest hashes in ``SLOTS`` slots of each language), and at least one of every language. Their whole
+texts are cut into windows at character borders; if these are more than ``windows``, as many are drawn from
+all of them by hash. Both bounds are arguments of ``fit``. Training goes over the windows ``EPOCHS`` times, or over
+many windows as often as ``PASSES`` allow. Prediction covers every whole text; language, source and id never enter it.
 
 Results: a text that is null or has no letter gets ``und`` and score 0, as does every text if no
 labelled row is there to learn from. Repeated rows get equal results. An empty table gives an
@@ -26,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, quoted, without
 
 WINDOW, HIDDEN = 64, 8
-SAMPLE_ROWS, PIECES = 2400, 2
+ROWS, WINDOWS = 800, 40_000
 SLOTS = 64
 EPOCHS, BATCH, RATE = 12, 128, 0.01
+PASSES, LEAST_EPOCHS = 100_000, 2  # windows gone over in all
 BLOCK = 2048  # windows run side by side
 PAD = 256  # symbol after the end of a text
 UNKNOWN = "und"
@@ -217,26 +221,60 @@ def held_out(id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(quoted(id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
-    """Train on the bounded sample; ``None`` if there is no labelled text."""
-    rows = docs.select(quoted(id).alias("id"), quoted(text).alias("text"), quoted(lang).alias("lang"))
-    rows = rows.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    pieces = [F.expr(f"substring(text, 1 + cast((length(text) - {WINDOW}) * {n} / {PIECES} AS int), {WINDOW})") for n in range(PIECES)]
-    short = F.when(F.length("text") > WINDOW * PIECES, F.array(*pieces)).otherwise(F.array(F.substring("text", 1, WINDOW)))
-    # A language is ranked in slots, so that a common one is spread over many tasks.
-    first = Window.partitionBy("lang", "slot").orderBy("hash", "pieces")
+def cut(text: bytes) -> list[bytes]:
+    """A text in pieces of at most ``WINDOW`` bytes that end at character borders."""
+    pieces, at = [], 0
+    while at < len(text):
+        end = min(at + WINDOW, len(text))
+        while end < len(text) and text[end] & 0xC0 == 0x80:
+            end -= 1
+        pieces.append(text[at:end])
+        at = end
+    return pieces
+
+
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
+def _pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([cut(value.as_py()) for value in batch], pa.list_(pa.binary()))
+
+
+def labelled_windows(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, windows: int = WINDOWS
+) -> DataFrame:
+    """``lang, piece`` to learn from: at most ``windows`` pieces of the whole texts of ``rows`` labelled rows, or of
+    one row per language where these are more."""
+    every = docs.select(quoted(id).alias("id"), quoted(text).alias("text"), quoted(lang).alias("lang"))
+    every = every.where(~held_out("id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = F.xxhash64("id", "text")
-    ranked = rows.select("lang", hashed.alias("hash"), F.pmod(hashed, F.lit(SLOTS)).alias("slot"), short.alias("pieces"))
-    ranked = ranked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= -(-SAMPLE_ROWS // SLOTS))
-    sample = ranked.orderBy("rank", "slot", "lang", "hash").limit(SAMPLE_ROWS).collect()
+    # A language is ranked in slots, so that a common one is spread over many tasks; texts stay behind.
+    slotted = every.select("lang", hashed.alias("hash"), F.pmod(hashed, F.lit(SLOTS)).alias("slot"))
+    first = Window.partitionBy("lang", "slot").orderBy("hash")
+    ranked = slotted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= -(-rows // SLOTS))
+    picked = ranked.orderBy("rank", "slot", "lang", "hash").limit(rows).select("lang", "hash")
+    lone = slotted.groupBy("lang").agg(F.min("hash").alias("hash"))
+    picked = picked.unionByName(lone).distinct()
+    # Rows of one id and text are one row to learn from.
+    sample = every.withColumn("hash", hashed).join(picked, ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
+    each = sample.select("lang", "hash", F.posexplode(_pieces(F.col("text").cast("binary"))).alias("n", "piece"))
+    return each.orderBy(F.xxhash64("hash", "n"), "lang").limit(windows).select("lang", "piece")
+
+
+def fit(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, windows: int = WINDOWS
+) -> Network | None:
+    """Train on the bounded sample; ``None`` if there is no labelled text."""
+    sample = labelled_windows(docs, id, text, lang, rows, windows).collect()
     if not sample:
         return None
+    sample.sort(key=lambda r: (r.lang, bytes(r.piece)))
     languages = sorted({r.lang for r in sample})
-    cut = [(piece.encode()[:WINDOW], languages.index(r.lang)) for r in sample for piece in r.pieces if piece]
-    windows = np.full((len(cut), WINDOW), PAD, np.int16)
-    for row, (piece, _) in zip(windows, cut):
-        row[: len(piece)] = np.frombuffer(piece, np.uint8)
-    return train(windows, np.array([label for _, label in cut]), languages)
+    number = {name: n for n, name in enumerate(languages)}
+    symbols = np.full((len(sample), WINDOW), PAD, np.int16)
+    for row, found in zip(symbols, sample):
+        row[: len(found.piece)] = np.frombuffer(bytes(found.piece), np.uint8)
+    epochs = int(np.clip(PASSES // len(sample), LEAST_EPOCHS, EPOCHS))
+    return train(symbols, np.array([number[r.lang] for r in sample]), languages, epochs)
 
 
 def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFrame:

@@ -83,3 +83,62 @@ def test_awkward_rows(spark):
     unlabelled = lid.identify(frame(spark, [(1, "some text", None, "a")])).collect()
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)]
     assert lid.identify(frame(spark, [], SCHEMA)).collect() == []
+
+
+def plain_document(net, text):
+    """Mean distribution over the bytes of a text, one number at a time."""
+    squash = lambda x: x / (1 + abs(x))
+    gate = lambda x: (1 + squash(x)) / 2
+    size = lid.HIDDEN
+
+    def states(layer, window):
+        state, out = [0.0] * size, []
+        for byte in window:
+            given = [float(x) for x in layer.table[byte]]
+            fed = [sum(float(w) * s for w, s in zip(row, state)) for row in layer.recurrent]
+            update = [gate(given[n] + fed[n]) for n in range(size)]
+            reset = [gate(given[size + n] + fed[size + n]) for n in range(size)]
+            new = [squash(given[2 * size + n] + reset[n] * fed[2 * size + n]) for n in range(size)]
+            state = [u * s + (1 - u) * c for u, s, c in zip(update, state, new)]
+            out.append(state)
+        return out
+
+    pooled = [0.0] * len(net.languages)
+    for at in range(0, len(text), lid.WINDOW):
+        window = list(text[at : at + lid.WINDOW])
+        window += [lid.PAD] * (lid.WINDOW - len(window))
+        left, right = states(net.forward, window), states(net.backward, window[::-1])[::-1]
+        for byte, a, b in zip(window, left, right):
+            if byte != lid.PAD:
+                logits = [sum(float(w) * x for w, x in zip(row, a + b)) + float(bias) for row, bias in zip(net.weights, net.bias)]
+                weights = [2.718281828459045 ** (x - max(logits)) for x in logits]
+                pooled = [p + w / sum(weights) for p, w in zip(pooled, weights)]
+    return [p / len(text) for p in pooled]
+
+
+def test_predictions_equal_plain_python(spark):
+    docs = frame(spark, labelled(60))
+    net = lid.fit(docs)
+    texts = [(1, "the house and that water", None, None), (2, "très déjà où", None, None), (3, "漢字 and λ " * 9, None, None), (4, "x", None, None), (5, "le 12 " * 40, None, None)]
+    for r in lid.predict(frame(spark, texts), net).collect():
+        wanted = plain_document(net, r.text.encode())
+        assert r.score == pytest.approx(max(wanted), abs=1e-4) and r.lang_pred == net.languages[wanted.index(max(wanted))]
+
+
+def test_whole_texts_are_learned_from(spark):
+    long = "é漢x" * 700
+    rows = [(1, long, "zz", "a"), (3, "short text", "en", "a"), (4, "y", "fr", "a"), (4, "y", "fr", "a")]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    found = lid.labelled_windows(frame(spark, rows)).collect()
+    texts = {r[1].encode() for r in rows}
+    assert sorted(bytes(r.piece) for r in found) == sorted(p for t in texts for p in lid.cut(t))
+    assert all(len(p) <= lid.WINDOW and p.decode() for p in lid.cut(long.encode())) and b"".join(lid.cut(long.encode())).decode() == long
+
+
+def test_bounds_of_the_sample(spark):
+    rows = [(n, f"text number {n} " * 30, f"l{n % 90}", "a") for n in range(900)]
+    docs = frame(spark, rows)
+    languages = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 5}
+    assert {r.lang for r in lid.labelled_windows(docs, rows=5).collect()} == languages  # one row each at least
+    few = lid.labelled_windows(docs, rows=200, windows=37).collect()
+    assert len(few) == 37 and len({r.lang for r in few}) > 10  # from all over, not from the first
