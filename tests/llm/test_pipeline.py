@@ -84,12 +84,38 @@ def test_run_and_registry(spark, folder):
     assert {"doc_id", "n_tokens", "ids"} <= set(made.columns) and made.count() > 100
 
 
+def test_least_score_follows_the_number_of_languages():
+    bounds = [corpus_pipeline.least_score(n) for n in (2, 3, 4, 40, 1000)]
+    assert bounds == sorted(bounds, reverse=True) and all(1 / n < b < 1 / n + 0.1 for n, b in zip((2, 3, 4, 40, 1000), bounds))
+
+
+@pytest.mark.parametrize("score, kept", [(0.54, False), (0.56, True)])
+def test_texts_near_an_even_guess_go(spark, monkeypatch, score, kept):
+    from pyspark.sql import functions as F
+
+    from tablewright.llm import language_id
+
+    class Two:
+        languages = ["en", "fr"]
+
+    monkeypatch.setattr(language_id, "fit", lambda docs: Two())
+    guess = lambda docs, net, text: docs.withColumns({"lang_pred": F.lit("en"), "score": F.lit(score)})
+    monkeypatch.setattr(language_id, "predict", guess)
+    docs = frame(spark, [(1, "any text", "en", "a", 8)], SCHEMA)
+    assert (corpus_pipeline.language_stage(spark, docs, "").count() == 1) == kept
+
+
+def test_one_language_rejects_nothing_readable(spark):
+    docs = frame(spark, [(n, f"some text of one language {n}", "en", "a", 9) for n in range(30)], SCHEMA)
+    assert corpus_pipeline.language_stage(spark, docs, "").count() == 30
+
+
 def test_no_labels(spark):
     docs = frame(spark, [(1, "some text", None, "a", 9), (2, "123", None, "a", 3), (3, None, None, None, None)], SCHEMA)
     assert [r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "").collect()] == [1]
 
 
-@pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 11)])
+@pytest.mark.parametrize("name", [f"op{n}" for n in range(1, 14)])
 def test_one_query_each(name):
     assert len([q for q in QUERIES if q.startswith(name + "_")]) == 1
 
