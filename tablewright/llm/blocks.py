@@ -1,8 +1,10 @@
-"""Documents in blocks of bounded size, stored once, for operators that come back to the texts.
+"""Documents in blocks of bounded size, for operators that come back to the texts.
 
-A block is a row: some documents as one compressed Arrow table. It is written to the shared folder
-with its number, so that what later stages find for a block (fingerprints, counts, candidates) meets
+A block is a row: some documents as one compressed Arrow table. ``stored`` writes the blocks to the shared
+folder with their numbers, so that what later stages find for a block (fingerprints, counts, candidates) meets
 the same documents again, also after an executor was lost, and texts move as compressed blocks.
+``numbered`` stores nothing: blocks are cut anew wherever they are used, and are the same each time if
+``docs`` is a stored table, whose splits do not change. They carry a digest, so that a user can tell.
 
 A block ends at ``BYTES`` bytes of text or at the end of an input split; a longer text is a block of
 its own. Nulls stay nulls; an empty table gives no block.
@@ -16,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +63,21 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
         yield block(parts, held)
 
 
+def _number(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    first = TaskContext.get().partitionId() << 33
+    for n, batch in enumerate(_cut(batches, size)):
+        digest = xxhash.xxh64_intdigest(batch.column("data")[0].as_buffer()) >> 1
+        columns = [pa.array([first + n], pa.int64()), *batch.columns, pa.array([digest], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "rows", "bytes", "data", "digest"])
+
+
+def numbered(docs: DataFrame, text: Column, size: int = BYTES, **columns: Column) -> DataFrame:
+    """``block, rows, bytes, data, digest`` as ``stored`` gives, cut anew at each use."""
+    prepare(docs.sparkSession)
+    rows = docs.select(*[c.alias(n) for n, c in columns.items()], text.cast("binary").alias("text"))
+    return rows.mapInArrow(lambda batches: _number(batches, size), f"block long, {SCHEMA}, digest long")
+
+
 def stored(docs: DataFrame, text: Column, size: int = BYTES, **columns: Column) -> DataFrame:
     """``block, rows, bytes, data`` of the documents, their text in bytes as ``text``, next to ``columns``."""
     spark = prepare(docs.sparkSession)

@@ -8,10 +8,14 @@ hashes each, and a text is scored by the model of the other half: nothing vouche
 
 *Scores.* The model is stored in parts, each a sorted array of 64-bit hashes with probabilities and back-off
 weights. A block asks the parts for the n-grams that it holds; what comes back is one probability for
-each distinct n-gram, so model and corpus may both be of any size: nothing is broadcast, a task holds one
+each distinct n-gram (and a weight for each context), so model and corpus may both be of any size: nothing is broadcast, a task holds one
 part or one block. Hashes stand for n-grams: two that share one (never seen below billions of n-grams)
 would share their probability.
 
+Documents are read twice, to count and to score, and have to come alike: a stored table does, and after a shuffle
+or another step that may deal rows differently they should be stored first. A block whose texts are not those
+that were counted is an error, never a wrong score.
+
 *Bands.* A language's bits per character over all documents that pass the counted rules give exact quartiles
 (of hundredths); the band reaches ``REACH`` interquartile ranges, at least ``LEAST_REACH`` bits, beyond them on
 both sides. Bands may also be given. Documents outside are rejected.
@@ -41,6 +45,9 @@ from .common import prepare, quoted
 
 ORDER = 3
 REACH, LEAST_REACH = 6.0, 0.4
+BLOCK = 8 * 1024 * 1024  # bytes of text in a block
+MOST_CODES = 1 << 24  # possible n-grams that are counted by code, not by sorting
+TEXTS = 1 << 20  # bytes of texts that are counted at once
 PART = 1 << 20  # entries of a part of the model, and n-grams a part is asked for
 NO_LANG, PAD = "und", "\n"
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -53,16 +60,25 @@ _SYMBOLS, _BLANKS = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 
 def repeated_words(words: list[list[bytes]]) -> np.ndarray:
     """For each text, its words in three-word windows that it holds twice or more."""
-    known: dict[bytes, int] = {}
     lengths = np.array([len(w) for w in words], np.int64)
-    ids = np.array([known.setdefault(w, len(known)) for text in words for w in text], np.int64)
+    ids = pa.array([w for text in words for w in text], pa.binary()).dictionary_encode().indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(len(words)), lengths)
     if len(ids) < 3:
         return np.zeros(len(words), np.int64)
-    whole = doc[:-2] == doc[2:]
-    two = np.unique(ids[:-1] << 32 | ids[1:], return_inverse=True)[1]
-    three = np.unique(two[:-1] << 32 | ids[2:], return_inverse=True)[1][whole]
-    place = np.flatnonzero(whole)
+    place = np.flatnonzero(doc[:-2] == doc[2:])
+    # Most windows are unlike all others already by a hash; only the rest are compared exactly.
+    with np.errstate(over="ignore"):
+        mixed = doc[place].astype(np.uint64)
+        for n in range(3):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + ids[place + n].astype(np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    ordered = np.sort(mixed)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return np.zeros(len(words), np.int64)
+    place = place[twice[np.minimum(np.searchsorted(twice, mixed), len(twice) - 1)] == mixed]
+    two = np.unique(ids[place] << 32 | ids[place + 1], return_inverse=True)[1]
+    three = np.unique(two << 32 | ids[place + 2], return_inverse=True)[1]
     _, at, count = np.unique(three << 32 | doc[place], return_inverse=True, return_counts=True)
     marked = np.zeros(len(ids), bool)
     for n in range(3):
@@ -92,6 +108,19 @@ def counted(texts: list[bytes]) -> dict[str, pa.Array]:
     return {name: pa.array(values, pa.int64()) for name, values in columns.items()}
 
 
+def _portions(texts: pa.ChunkedArray) -> Iterator[list[bytes]]:
+    """Texts, null as empty, a bounded number of bytes at a time (or one text)."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py() or b"")
+        size += len(held[-1])
+        if size >= TEXTS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 # --- n-grams of a block --------------------------------------------------------------------
 
 def _half(text: bytes) -> int:
@@ -115,12 +144,33 @@ class Grams:
         for n in range(order - 1):
             keep[ends - np.array(self.lengths) - 1 - n] = False
         starts = np.flatnonzero(keep) - (order - 1)
-        code = np.zeros(len(starts), np.uint64)
-        with np.errstate(over="ignore"):
+        del keep
+        # Characters by their number among those of the texts: few, so n-grams mostly have small codes.
+        used = np.zeros(0x110000, bool)
+        used[points] = True
+        letters = np.flatnonzero(used).astype(np.uint32)
+        rank = np.zeros(0x110000, np.int32)
+        rank[letters] = np.arange(len(letters), dtype=np.int32)
+        ids = rank[points]
+        del points, used, rank
+        if len(letters) ** order <= MOST_CODES:
+            code = np.zeros(len(starts), np.int32)
             for n in range(order):
-                code = code * np.uint64(0x9E3779B97F4A7C15) + (points[starts + n].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        _, first, self.at, self.counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
-        windows = points[starts[first][:, None] + np.arange(order)]
+                code = code * np.int32(len(letters)) + ids[starts + n]
+            often = np.bincount(code, minlength=1)
+            found = np.flatnonzero(often)
+            self.counts, place = often[found], np.zeros(len(often), np.int32)
+            place[found] = np.arange(len(found), dtype=np.int32)
+            self.at = place[code]
+            first = np.zeros(len(found), np.int64)
+            first[self.at] = np.arange(len(code))
+        else:
+            # Exact codes, one character more at a time.
+            code = ids[starts].astype(np.int64)
+            for n in range(1, order):
+                code = np.unique(code, return_inverse=True)[1].astype(np.int64) * len(letters) + ids[starts + n]
+            _, first, self.at, self.counts = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        windows = letters[ids[starts[first][:, None] + np.arange(order)]]
         self.grams = np.ascontiguousarray(windows).view(f"<U{order}").ravel().tolist()
 
 
@@ -136,20 +186,20 @@ def _groups(data: bytes) -> Iterator[tuple[str, int, np.ndarray, list[bytes]]]:
         yield lang, half, np.array(at), texts
 
 
-COUNTED = "block long, lang string, half int, grams array<string>, counts array<long>"
+COUNTED = "block long, digest long, lang string, half int, grams array<string>, counts array<long>"
 
 
 def _counter(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+            for block, digest, data in zip(batch.column("block").to_pylist(), batch.column("digest").to_pylist(), batch.column("data")):
                 for lang, half, _, texts in _groups(data.as_py()):
                     own = Grams(texts, order)
                     columns = [
-                        pa.array([block], pa.int64()), pa.array([lang]), pa.array([half], pa.int32()),
+                        pa.array([block], pa.int64()), pa.array([digest], pa.int64()), pa.array([lang]), pa.array([half], pa.int32()),
                         pa.array([own.grams], pa.list_(pa.string())), pa.array([own.counts.tolist()], pa.list_(pa.int64())),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=["block", "lang", "half", "grams", "counts"])
+                    yield pa.RecordBatch.from_arrays(columns, names=_names(COUNTED))
 
     return run
 
@@ -225,47 +275,68 @@ def stored_model(model: DataFrame) -> tuple[DataFrame, int]:
 
 # --- scores --------------------------------------------------------------------------------
 
-def _asker(parts: int):
-    """What a block needs to know: keys of its n-grams, their ends and contexts, by part."""
+def _asked(half: int, lang: str, grams: list[str], parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part, the keys that some texts need to know: first of the ends and contexts of their
+    n-grams (probability and weight), then of the n-grams (probability), each rising."""
+    shorter = {""}
+    for gram in grams:
+        for n in range(len(gram)):
+            shorter.add(gram[n + 1 :])
+            shorter.add(gram[n:-1])
+    low, top = (np.unique(_key(1 - half, lang, list(some))) for some in (shorter, grams))
+    return [(low[low % parts == part], top[top % parts == part]) for part in range(parts)]
+
 
+ASKED = "part int, block long, digest long, lang string, half int, n_low int, keys binary"
+
+
+def _asker(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                needed = {""}
-                for gram in row["grams"]:
-                    for n in range(len(gram)):
-                        needed.add(gram[n:])
-                        needed.add(gram[n:-1])
-                keys = np.sort(_key(1 - row["half"], row["lang"], list(needed)))
-                part = keys % parts
-                order = np.argsort(part, kind="stable")
-                keys, part = keys[order], part[order]
-                cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(keys)]))
-                columns = [
-                    pa.array(part[cuts[:-1]], pa.int32()), pa.array([row["block"]] * (len(cuts) - 1), pa.int64()),
-                    pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys"])
+                found = [(part, len(low), np.concatenate((low, top))) for part, (low, top) in enumerate(_asked(row["half"], row["lang"], row["grams"], parts)) if len(low) + len(top)]
+                same = [pa.array([row[name]] * len(found), kind) for name, kind in (("block", pa.int64()), ("digest", pa.int64()), ("lang", pa.string()), ("half", pa.int32()))]
+                columns = [pa.array([p for p, _, _ in found], pa.int32()), *same, pa.array([n for _, n, _ in found], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([k.tobytes() for _, _, k in found], pa.binary())], names=_names(ASKED))
 
     return run
 
 
-ANSWER = "block long, keys binary, probs binary, backoffs binary"
+ANSWER = "block long, digest long, lang string, half int, part int, probs binary, backoffs binary"
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
 def _answers(asked: pa.Table, model: pa.Table) -> pa.Table:
-    names = ["block", "keys", "probs", "backoffs"]
-    columns: dict[str, list] = {n: [] for n in names}
+    """What is asked for, in the order asked: 0 for n-grams that the model does not have, 1 for weights."""
+    known, of, left = np.empty(0, np.int64), np.zeros(1, np.float32), np.ones(1, np.float32)
     if model.num_rows:
-        known, probs, backoffs = (np.frombuffer(model.column(n)[0].as_py(), k) for n, k in (("keys", np.int64), ("probs", np.float32), ("backoffs", np.float32)))
-        for block, keys in zip(asked.column("block").to_pylist(), asked.column("keys")):
-            wanted = np.frombuffer(keys.as_py(), np.int64)
-            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-            at = at[known[at] == wanted]
-            for name, value in zip(names, (block, known[at].tobytes(), probs[at].tobytes(), backoffs[at].tobytes())):
-                columns[name].append(value)
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(columns[n], k) for n, k in zip(names, kinds)], names=names)
+        known, of, left = (np.frombuffer(model.column(n)[0].as_py(), k) for n, k in (("keys", np.int64), ("probs", np.float32), ("backoffs", np.float32)))
+    probs, backoffs = [], []
+    for keys, low in zip(asked.column("keys"), asked.column("n_low").to_pylist()):
+        wanted = np.frombuffer(keys.as_py(), np.int64)
+        at = np.clip(np.searchsorted(known, wanted), 0, max(0, len(known) - 1))
+        held = known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
+        probs.append(np.where(held, of[at], np.float32(0)).astype(np.float32).tobytes())
+        backoffs.append(np.where(held, left[at], np.float32(1))[:low].astype(np.float32).tobytes())
+    columns = [asked.column(n) for n in ("block", "digest", "lang", "half", "part")]
+    return pa.table([*columns, pa.array(probs, pa.binary()), pa.array(backoffs, pa.binary())], names=_names(ANSWER))
+
+
+def _learned(asked: list[tuple[np.ndarray, np.ndarray]], answers: dict[int, tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, rising, with their probabilities and weights, from the answers of all parts."""
+    keys, probs, backoffs = [np.empty(0, np.int64)], [np.empty(0, np.float32)], [np.empty(0, np.float32)]
+    for part, (low, top) in enumerate(asked):
+        if len(low) + len(top):
+            prob, backoff = answers[part]
+            keys += [low, top]
+            probs.append(np.frombuffer(prob, np.float32))
+            backoffs += [np.frombuffer(backoff, np.float32), np.ones(len(top), np.float32)]
+    keys, probs, backoffs = np.concatenate(keys), np.concatenate(probs), np.concatenate(backoffs)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], probs[order], backoffs[order]
 
 
 def log_probabilities(grams: list[str], half: int, lang: str, keys: np.ndarray, probs: np.ndarray, backoffs: np.ndarray) -> np.ndarray | None:
@@ -293,13 +364,13 @@ def log_probabilities(grams: list[str], half: int, lang: str, keys: np.ndarray,
 RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _scorer(order: int, kind: pa.DataType):
+def _scorer(order: int, parts: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        loaded = []
-        for name, of in (("keys", np.int64), ("probs", np.float32), ("backoffs", np.float32)):
-            loaded.append(np.concatenate([np.empty(0, of), *[np.frombuffer(v.as_py(), of) for v in answers.column(name)]]))
-        sort = np.argsort(loaded[0], kind="stable")
-        keys, probs, backoffs = (a[sort] for a in loaded)
+        given: dict[tuple[str, int], dict[int, tuple[bytes, bytes]]] = {}
+        for row in answers.to_pylist():
+            given.setdefault((row["lang"], row["half"]), {})[row["part"]] = (row["probs"], row["backoffs"])
+        if set(answers.column("digest").to_pylist()) - set(block.column("digest").to_pylist()):
+            raise RuntimeError("the documents came in another order when they were read again: store them first")
         made = []
         for data in block.column("data"):
             data = data.as_py()
@@ -307,23 +378,24 @@ def _scorer(order: int, kind: pa.DataType):
             bits = np.full(rows.num_rows, np.nan)
             for lang, half, at, texts in _groups(data):
                 own = Grams(texts, order)
-                cost = log_probabilities(own.grams, half, lang, keys, probs, backoffs)
+                learned = _learned(_asked(half, lang, own.grams, parts), given.pop((lang, half)))
+                cost = log_probabilities(own.grams, half, lang, *learned)
                 if cost is not None:
                     doc = np.repeat(np.arange(len(texts)), own.lengths)
                     bits[at] = -np.bincount(doc, cost[own.at], len(texts)) / np.array(own.lengths)
             langs = pa.array([NO_LANG if x is None else x for x in rows.column("lang").to_pylist()], pa.string())
-            rules = counted([t or b"" for t in rows.column("text").to_pylist()])
-            columns = [rows.column("id").combine_chunks(), langs, *rules.values(), pa.array(bits, from_pandas=True)]
+            rules = [pa.concat_arrays(c) for c in zip(*[counted(some).values() for some in _portions(rows.column("text"))])]
+            columns = [rows.column("id").combine_chunks(), langs, *rules, pa.array(bits, from_pandas=True)]
             made.append(pa.table(columns, names=["_tw_id", "lang", *RULES, "bits"]))
         return pa.concat_tables(made)
 
     return run
 
 
-def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, block_bytes: int = blocks.BYTES) -> DataFrame:
+def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, block_bytes: int = BLOCK) -> DataFrame:
     """``_tw_id, lang``, the counted rules and ``bits`` (per character, null without a model) of each document."""
     spark = prepare(docs.sparkSession)
-    held = blocks.stored(docs, quoted(text), block_bytes, id=quoted(id), lang=quoted(lang)).select("block", "data")
+    held = blocks.numbered(docs, quoted(text), block_bytes, id=quoted(id), lang=quoted(lang)).select("block", "digest", "data")
     path = f"{shared_folder(spark)}/grams-{uuid.uuid4()}"
     held.mapInArrow(_counter(order), COUNTED).write.parquet(path)
     own = spark.read.schema(COUNTED).parquet(path)
@@ -333,13 +405,13 @@ def scored(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     # As many parts as keep what one is asked for within bounds, whatever the number of blocks.
     asked = own.selectExpr("coalesce(sum(size(grams)), 0)").first()[0]
     pieces = max(1, -(-asked // (PART * parts)))
-    requests = own.mapInArrow(_asker(parts), "part int, block long, keys binary").withColumn("piece", F.pmod(F.xxhash64("block"), F.lit(pieces)).cast("int"))
+    requests = own.mapInArrow(_asker(parts), ASKED).withColumn("piece", F.pmod(F.xxhash64("block"), F.lit(pieces)).cast("int"))
     spread = model.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
     answers = requests.groupBy("part", "piece").cogroup(spread.groupBy("part", "piece")).applyInArrow(_answers, ANSWER)
     kind = docs.schema[id].dataType
     rules = ", ".join(f"{name} long" for name in RULES)
     pair = held.groupBy("block").cogroup(answers.groupBy("block"))
-    return pair.applyInArrow(_scorer(order, kind), f"_tw_id {kind.simpleString()}, lang string, {rules}, bits double")
+    return pair.applyInArrow(_scorer(order, parts), f"_tw_id {kind.simpleString()}, lang string, {rules}, bits double")
 
 
 def base_failed():
@@ -360,7 +432,7 @@ def bands(rows: DataFrame, reach: float = REACH, least: float = LEAST_REACH) ->
 
 def quality(
     docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER,
-    reach: float = REACH, given: DataFrame | None = None, block_bytes: int = blocks.BYTES,
+    reach: float = REACH, given: DataFrame | None = None, block_bytes: int = BLOCK,
 ) -> DataFrame:
     """One row per document: id, the counted rules, ``base_failed``, ``kept``, ``bits`` per character,
     and the ``low`` and ``high`` of its language. ``given`` replaces the bands by a table of one's own."""

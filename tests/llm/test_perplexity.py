@@ -125,9 +125,10 @@ def rows():
     return made + [(5000 + n, "many copies of one text with just enough words to be looked at " * 6, "de", "a") for n in range(200)]
 
 
-@pytest.mark.parametrize("order, block_bytes, part", [(ORDER, 1 << 23, 1 << 20), (2, 4000, 50), (4, 20000, 3000)])
-def test_equals_plain_python(spark, rows, order, block_bytes, part, monkeypatch):
+@pytest.mark.parametrize("order, block_bytes, part, codes", [(ORDER, 1 << 23, 1 << 20, 1 << 24), (2, 4000, 50, 0), (4, 20000, 3000, 1 << 24)])
+def test_equals_plain_python(spark, rows, order, block_bytes, part, codes, monkeypatch):
     monkeypatch.setattr(perplexity, "PART", part)
+    monkeypatch.setattr(perplexity, "MOST_CODES", codes)
     docs = clashing(frame(spark, rows), ["bits", "low", "gram", "half", "block", "id", "n_words", "prob"])
     got = perplexity.quality(docs, order=order, block_bytes=block_bytes)
     same(plain(got.select(*NAMES)), expected(rows, order))
@@ -169,3 +170,12 @@ def test_empty(spark):
     assert perplexity.quality(frame(spark, [])).collect() == []
     one = perplexity.quality(frame(spark, [(1, None, None, None), (None, "", "en", "a")])).collect()
     assert [(r.kept, r.bits, r.n_words) for r in one] == [(False, None, 0)] * 2
+
+
+def test_documents_that_come_in_another_order_are_an_error():
+    import pyarrow as pa
+
+    block = pa.table({"block": [1], "digest": [7], "data": [b""]})
+    answers = pa.table([[1], [8], ["en"], [0], [0], [b""], [b""]], names=perplexity._names(perplexity.ANSWER))
+    with pytest.raises(RuntimeError, match="store them first"):
+        perplexity._scorer(3, 1)(block, answers)
