@@ -254,8 +254,9 @@ def labelled_windows(
     picked = ranked.orderBy("rank", "slot", "lang", "hash").limit(rows).select("lang", "hash")
     lone = slotted.groupBy("lang").agg(F.min("hash").alias("hash"))
     picked = picked.unionByName(lone).distinct()
-    # Rows of one id and text are one row to learn from.
-    sample = every.withColumn("hash", hashed).join(picked, ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
+    # `rows` rows and one per language, as many as the network has outputs: small, so texts are not shuffled to meet
+    # them. Rows of one id and text are one row to learn from.
+    sample = every.withColumn("hash", hashed).join(F.broadcast(picked), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
     each = sample.select("lang", "hash", F.posexplode(_pieces(F.col("text").cast("binary"))).alias("n", "piece"))
     return each.orderBy(F.xxhash64("hash", "n"), "lang").limit(windows).select("lang", "piece")
 
