@@ -45,8 +45,8 @@ from .common import prepare, quoted
 
 ORDER = 3
 REACH, LEAST_REACH = 6.0, 0.4
-BLOCK = 8 * 1024 * 1024  # bytes of text in a block
-MOST_CODES = 1 << 24  # possible n-grams that are counted by code, not by sorting
+BLOCK = 4 * 1024 * 1024  # bytes of text in a block
+MOST_CODES = 1 << 22  # possible n-grams that are counted by code, not by sorting
 TEXTS = 1 << 20  # bytes of texts that are counted at once
 PART = 1 << 20  # entries of a part of the model, and n-grams a part is asked for
 NO_LANG, PAD = "und", "\n"
