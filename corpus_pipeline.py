@@ -49,8 +49,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one
-    with the smallest id, null ids last. Null and empty texts are copies of each other; of repeated rows one stays."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest
+    id, null ids last. The SimHash operator (pigeonring) and MinHash bands propose the pairs, the whole sets settle them.
+    Null and empty texts are copies of each other; of repeated rows one stays."""
     prepare(configure(spark))
     return shingles.drop_near_copies(docs)
 

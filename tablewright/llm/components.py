@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
+EDGES = 100_000  # edges of a partition
+
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root`` of every node of ``edges`` (``a``, ``b``): the root is the smallest node
@@ -15,12 +17,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round points all neighbours of a node to the smallest one, first the larger neighbours
     (so long chains halve), then the smaller ones (so the graph thins to stars). A round is two
     grouped minima and two joins on the node; a hub's edges are split by Spark's skew join. The
-    edges are checkpointed each round and nothing but one sum comes to the driver.
+    edges are checkpointed each round, in partitions that follow their number, as a round of a small
+    graph would else write as many files as one of a large one. Nothing but one sum comes to the driver.
     """
     prepare(edges.sparkSession)
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     seen = None
     for _ in range(rounds):
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
+        if state == seen:
+            break
+        seen = state
+        now = now.coalesce(1 + state["n"] // EDGES)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         # Larger neighbours of each node move to the least of its neighbourhood.
@@ -30,10 +38,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low, "a")
         turned = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = turned.unionByName(low.withColumnRenamed("m", "b")).distinct().checkpoint()
-        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")).first()
-        if state == seen:
-            break
-        seen = state
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     # Settled: every edge goes from a node to the root of its star.

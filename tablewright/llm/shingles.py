@@ -1,6 +1,7 @@
 """Near duplicates by word shingles: Jaccard similarity of the sets of five-word shingles, 0.8 or more.
 
-Candidates come from MinHash: ``ROWS`` least values make the key of a band, texts that share one of
+Candidates are the links that the SimHash operator finds by pigeonring (``simhash``, two bits or fewer), and, for
+copies with more edits than two bits take, those of MinHash: ``ROWS`` least values make the key of a band, texts that share one of
 ``BANDS`` keys meet. A pair of similarity s meets with probability 1 - (1 - s**5)**32: all but 3 of a
 million pairs at 0.8, all but 1 of 10**12 at 0.9. Every link is then checked on the whole shingle
 sets, so nothing below the bound is linked.
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 from . import bloom
 from .common import prepare, quoted, without
 from .components import components
-from .simhash import keep_one, shingle_hashes
+from .simhash import fingerprints, keep_one, print_groups, shingle_hashes
 
 WIDTH = 5
 SIMILAR = (4, 5)  # least similarity, as a fraction
@@ -169,29 +170,46 @@ def _near(size: str, other: str) -> str:
     return f"least({size}, {other}) * {of} >= greatest({size}, {other}) * {low}"
 
 
+def _print_links(made: DataFrame) -> DataFrame:
+    """``a, b``: pairs of a head (the least node) and each other node of the groups that ``simhash`` makes of the
+    fingerprints of ``made`` (column ``print``)."""
+    own = made.select("node", "size", "print").distinct()
+    placed = own.join(print_groups(own), "print", "left").withColumn("group", F.coalesce("group", "print"))
+    heads = placed.groupBy("group").agg(F.min(F.struct("node", "size")).alias("head"), F.max("node").alias("top")).where("head.node < top")
+    met = placed.join(heads, "group").where("node <> head.node").where(_near("size", "head.size"))
+    return met.selectExpr("head.node AS a", "node AS b").distinct()
+
+
 def _grouped(rows: DataFrame, id: str, text: str) -> DataFrame:
     """``_tw_id, _tw_hash, group`` of every row of ``rows``, which holds ``_tw_hash``."""
-    made = rows.select(quoted(id).alias("_tw_id"), "_tw_hash", sketches(quoted(text)).alias("s"))
-    made = made.select("_tw_id", "_tw_hash", "s.*").checkpoint()
+    made = rows.select(quoted(id).alias("_tw_id"), "_tw_hash", sketches(quoted(text)).alias("s"), fingerprints(quoted(text)).alias("print"))
+    made = made.select("_tw_id", "_tw_hash", "s.*", "print").checkpoint()
+    prints = _print_links(made).checkpoint()
     nodes = made.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
     met = keyed.join(heads, "key").select("key", "node", "size", "head").checkpoint()
 
-    # Shingle sets of the nodes that share a bucket.
-    suspects = made.join(met.select("node").distinct(), "node", "left_semi").select("_tw_hash").distinct()
+    # Shingle sets of the nodes that share a bucket or a group of fingerprints.
+    asked = met.select("node").union(prints.select("a")).union(prints.select("b")).distinct()
+    suspects = made.join(asked, "node", "left_semi").select("_tw_hash").distinct()
     held = bloom.filled(suspects, F.col("_tw_hash"))
     texts = bloom.tested(rows.select("_tw_hash", quoted(text).alias("_tw_text")), F.col("_tw_hash"), held, "_tw_listed")
     sets = texts.where("_tw_listed").select(named_sets("_tw_text").alias("s")).select("s.*")
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles")).checkpoint()
 
-    star = met.where("node <> head.node").where(_near("size", "head.size")).selectExpr("head.node AS a", "node AS b").distinct()
-    links = _checked(star, sets).checkpoint()
+    star = met.where("node <> head.node").where(_near("size", "head.size")).selectExpr("head.node AS a", "node AS b")
+    links = _checked(star.unionByName(prints).distinct(), sets).checkpoint()
     linked = components(links)
 
-    others = _open_pairs(met, links, linked, sets).checkpoint()
-    every = components(links.unionByName(_checked(others, sets)))
-    return made.join(every, "node", "left").select("_tw_id", "_tw_hash", F.coalesce("root", "node").alias("group"))
+    # Open pairs link components, of which each is one node by now.
+    root = linked.select(F.col("node").alias("b"), "root")
+    found = _checked(_open_pairs(met, links, linked, sets).checkpoint(), sets)
+    for end in ("a", "b"):
+        found = found.join(root.withColumnRenamed("b", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    joined = components(found).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    every = made.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left")
+    return every.select("_tw_id", "_tw_hash", F.coalesce("least", "root").alias("group"))
 
 
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

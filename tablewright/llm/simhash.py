@@ -209,6 +209,12 @@ def near_links(prints: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(_link_batches, "a long, b long")
 
 
+def print_groups(prints: DataFrame) -> DataFrame:
+    """``print, group`` of the fingerprints in ``prints`` that are linked to others: the group is the smallest one."""
+    near = components(near_links(prints.select("print").distinct()))
+    return near.select(F.col("node").alias("print"), F.col("root").alias("group"))
+
+
 # --- documents -----------------------------------------------------------------------------
 
 def _grouped(docs: DataFrame, id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -129,3 +129,45 @@ def test_clashing_columns_and_empty(spark):
         assert set(stage(spark, docs, "").columns) == set(docs.columns)
         assert stage(spark, docs.limit(0), "").collect() == []
     assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), "").collect() == []
+
+
+def test_near_stage_goes_through_simhash(spark, monkeypatch):
+    """Its links are candidates: enough where MinHash gives none, and checked on the whole sets."""
+    from tablewright.llm import shingles, simhash
+
+    dice = random.Random(5)
+    phrase, own = "the same words again and " * 60, [" ".join(f"{c}{n}" for n in range(30)) for c in "uv"]
+    unlike = [phrase + o for o in own]  # what comes often settles every bit, what differs most of the shingles
+    first = dice.choices([f"w{n}" for n in range(500)], k=900)
+    copies = [" ".join(first), " ".join([*first[:60], "edit", *first[61:]])]
+    far = lambda pair: bin(simhash.fingerprint(pair[0]) ^ simhash.fingerprint(pair[1])).count("1")
+    alike = lambda pair: shingles.similar(*map(shingles.shingle_set, pair))
+    assert far(unlike) <= 2 and not alike(unlike) and far(copies) <= 2 and alike(copies)
+    texts = [*unlike, *copies, "a text of its own that is like no other one"]
+    docs = frame(spark, [(n, text, "en", "a", 9) for n, text in enumerate(texts)], SCHEMA)
+    with monkeypatch.context() as patch:
+        patch.setattr(shingles, "_checked", lambda pairs, sets: pairs.select("a", "b").join(sets.select(sets.node.alias("b")), "b").select("a", "b"))
+        proposed = {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()}
+    assert proposed == {0, 2, 4}
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()} == {0, 1, 2, 4}
+
+
+def test_rounds_of_small_graphs_are_small(spark):
+    """A round of a few edges is one task at its start, however many partitions they came in."""
+    from pyspark.sql import functions as F
+
+    from tablewright.llm.components import components
+
+    before, kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true"), []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    frames = type(spark.range(1))
+    coalesce = frames.coalesce
+    try:
+        frames.coalesce = lambda self, n: kept.append((self.rdd.getNumPartitions(), n)) or coalesce(self, n)
+        edges = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(40)
+        made = components(edges).checkpoint()
+    finally:
+        frames.coalesce = coalesce
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert kept and all(n == 1 for _, n in kept) and kept[0][0] > 1
+    assert {r.root for r in made.collect()} == {0} and made.select("node").distinct().count() == 401
