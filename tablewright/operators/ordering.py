@@ -89,12 +89,13 @@ def carry_forward(
 
 
 def running_counts(rows: DataFrame, stream: Sequence[str], block: str, pos: str, **tests: Column) -> DataFrame:
-    """``rows`` with, for each test, how many rows of the stream hold it up to and including this one.
+    """``rows`` with, for each test, how many rows of the stream hold it up to and including this one; a number in place
+    of a test counts as so many.
 
     Blocks as in ``carry_forward``: counted inside a block by a window, and one row per block says what
     came before it.
     """
-    counted = rows.withColumns({f"_is_{name}": F.coalesce(test, F.lit(False)).cast("long") for name, test in tests.items()})
+    counted = rows.withColumns({f"_is_{name}": F.coalesce(test.cast("long"), F.lit(0)) for name, test in tests.items()})
     inside = Window.partitionBy(*stream, block).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     local = counted.withColumns({name: F.sum(f"_is_{name}").over(inside) for name in tests})
     earlier = Window.partitionBy(*stream).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)

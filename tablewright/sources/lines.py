@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ics import ics_unfold
 from ..functions.text import category_name, classify_menu_line, item_name, split_name_hours
 from ..operators.ordering import carry_forward, running_counts
+from ..session import checkpoint_ready
 
 FILE, SPLIT, PLACE = ["snapshot_id", "snapshot_ts"], "split", "place"
 
@@ -75,6 +77,25 @@ def read_menu_lines(spark: SparkSession, path: str) -> DataFrame:
 
 _BEGIN, _END = "BEGIN:VEVENT", "END:VEVENT"
 _MARK = rf"(?<={_BEGIN}|{_END})|(?={_BEGIN}|{_END})"
+_CHUNK_BITS = 7  # a chunk has 128 lines at most
+
+
+def _chunks(lines: DataFrame, folds: bool) -> DataFrame:
+    """``lines`` with up to 128 neighbours of a split as one text, its own folds joined.
+
+    Where folds are looked for, those that a chunk starts with are a text of their own: they go on from the chunk before.
+    """
+    chunk = F.shiftright(PLACE, _CHUNK_BITS).alias("_chunk")
+    listed = F.array_sort(F.collect_list(F.struct(PLACE, "line"))).alias("_l")
+    held = lines.groupBy(*FILE, SPLIT, chunk).agg(listed)
+    text = lambda part: F.array_join(F.transform(part, lambda l: l["line"]), "\n")
+    if not folds:
+        return held.select(*FILE, SPLIT, F.col("_l")[0][PLACE].alias(PLACE), text("_l").alias("line"))
+    head = F.array_position(F.transform("_l", lambda l: ~l["line"].rlike(r"^[ \t]")), F.lit(True))
+    cut = held.withColumn("_k", F.when(head > 0, head - 1).otherwise(F.size("_l")).cast("int"))
+    parts = F.array(F.slice("_l", F.lit(1), F.col("_k")), F.slice("_l", F.col("_k") + 1, F.size("_l")))
+    told = cut.select(*FILE, SPLIT, F.explode(parts).alias("_l")).where(F.size("_l") > 0)
+    return told.select(*FILE, SPLIT, F.col("_l")[0][PLACE].alias(PLACE), ics_unfold(text("_l")).alias("line"))
 
 
 def _unfolded(lines: DataFrame) -> DataFrame:
@@ -99,25 +120,45 @@ def calendar_blocks(lines: DataFrame, dialect: str = "strict") -> DataFrame:
     Begin and end marks count wherever they stand in a line. After a begin mark a piece of text is inside
     an event, after an end mark it is not, whatever came before; so the last mark before a
     piece settles where it is, and a mark that changes nothing is text. An event without an end is none.
+    Lines are worked in chunks; events that lie in one chunk are cut out there, the others are put together.
     """
-    joined = _unfolded(lines) if dialect == "strict" else lines
+    checkpoint_ready(lines.sparkSession)
+    # Stored, as every later step reads its input twice.
+    chunks = _chunks(lines, dialect == "strict").checkpoint()
+    joined = (_unfolded(chunks) if dialect == "strict" else chunks).withColumn("_parts", F.split("line", _END)).checkpoint()
     is_mark = lambda text: text.isin(_BEGIN, _END)
-    piece = lambda text, state: F.struct(text.alias("text"), state.alias("state"))
-    none, empty = F.lit(None).cast("string"), F.lit("")
-    # A mark is followed by an empty piece that says so: pieces see what is at or before them.
-    cut = F.transform(F.split("line", _MARK), lambda p: F.when(is_mark(p), F.array(piece(p, none), piece(empty, p))).otherwise(F.array(piece(p, none))))
-    pieces = joined.select(*FILE, SPLIT, PLACE, F.flatten(cut).alias("_cut")).select("*", F.posexplode("_cut").alias("_n", "_p"))
+    none, empty, zero = F.lit(None).cast("string"), F.lit(""), F.lit(0)
+    piece = lambda text, state, n=zero: F.struct(text.alias("text"), state.alias("state"), n.alias("events"))
+
+    def cut(text: Column) -> Column:
+        # A mark is followed by an empty piece that says so: pieces see what is at or before them.
+        pieces = F.transform(F.split(text, _MARK), lambda p: F.when(is_mark(p), F.array(piece(p, none), piece(empty, p))).otherwise(F.array(piece(p, none))))
+        return F.flatten(pieces)
+
+    # Between two end marks of one text lies at most one event, whatever came before: only what is outside of them
+    # goes on as pieces, with one piece that tells the number of these events.
+    inner = F.filter(F.slice("_parts", F.lit(2), F.greatest(F.size("_parts") - 2, zero)), lambda p: F.contains(p, F.lit(_BEGIN)))
+    outer = F.concat(cut(F.concat(F.col("_parts")[0], F.lit(_END))), F.array(piece(empty, F.lit(_END), F.size(inner))), cut(F.element_at("_parts", -1)))
+    pieces = joined.select(*FILE, SPLIT, PLACE, F.when(F.size("_parts") > 2, outer).otherwise(cut(F.col("line"))).alias("_cut"))
+    pieces = pieces.select("*", F.posexplode("_cut").alias("_n", "_p"))
     pieces = pieces.select(*FILE, SPLIT, F.struct(PLACE, "_n").alias("at"), "_p.*", (F.col("_n") == F.size("_cut") - 1).alias("ends"))
-    held = carry_forward(pieces, FILE, "at", [("_last", F.col("state").isNotNull(), F.col("state"))], SPLIT)
+    held = carry_forward(pieces, FILE, "at", [("_last", F.col("state").isNotNull(), F.col("state"))], SPLIT).checkpoint()
     within = F.coalesce(F.col("_last") == _BEGIN, F.lit(False))
     told = held.withColumns({"_opens": (F.col("text") == _BEGIN) & ~within, "_closes": (F.col("text") == _END) & within})
-    numbered = running_counts(told, FILE, SPLIT, "at", n_open=F.col("_opens"), n_closed=F.col("_closes"))
+    opened, closed = (F.col(c).cast("long") + F.col("events") for c in ("_opens", "_closes"))
+    numbered = running_counts(told, FILE, SPLIT, "at", n_open=opened, n_closed=closed).checkpoint()
     inside = (F.col("n_open") > F.col("n_closed")) | F.col("_closes")
     shown = F.col("text") if dialect == "strict" else F.when(F.col("_opens") | F.col("_closes"), "").otherwise(F.col("text"))
     text = F.concat(shown, F.when(F.col("ends"), "\n").otherwise(""))
     listed = numbered.where(inside).select(*FILE, (F.col("n_open") - 1).cast("int").alias("ord"), F.struct(SPLIT, "at", text.alias("text")).alias("_p"), "_closes")
     events = listed.groupBy(*FILE, "ord").agg(F.array_sort(F.collect_list("_p")).alias("_parts"), F.bool_or("_closes").alias("_closed"))
-    return events.where("_closed").select(*FILE, "ord", F.array_join(F.transform("_parts", lambda p: p["text"]), "").alias("block"))
+    across = events.where("_closed").select(*FILE, "ord", F.array_join(F.transform("_parts", lambda p: p["text"]), "").alias("block"))
+
+    first = numbered.where("events > 0").select(F.col(f"at.{PLACE}").alias(PLACE), (F.col("n_open") - F.col("events")).alias("_first"))
+    begin = F.lit(_BEGIN)
+    own = (lambda p: F.concat(F.substr(p, F.instr(p, begin)), F.lit(_END))) if dialect == "strict" else (lambda p: F.substr(p, F.instr(p, begin) + len(_BEGIN)))
+    whole = joined.join(first, PLACE).select(*FILE, "_first", F.posexplode(F.transform(inner, own)).alias("_n", "block"))
+    return across.unionByName(whole.select(*FILE, (F.col("_first") + F.col("_n")).cast("int").alias("ord"), "block"))
 
 
 def read_calendar_blocks(spark: SparkSession, path: str, dialect: str = "strict") -> DataFrame:

@@ -82,3 +82,13 @@ def test_events_of_split_calendars(spark, tmp_path):
     blocks = lines.read_calendar_blocks(spark, str(tmp_path)).drop("snapshot_ts")
     events = C.valid_events(C.event_projection(C.raw_fields(blocks, keep), keep))
     assert sorted(map(tuple, events.collect())) == sorted(map(tuple, whole.collect())) != []
+
+
+def test_calendar_lines_are_read_once(spark, tmp_path):
+    """Steps that read their input twice each do not add up, and events of one chunk are no pieces."""
+    event = "BEGIN:VEVENT\r\nUID:{0}\r\nSUMMARY:talk\r\n  {0}\r\nEND:VEVENT\r\n"
+    (tmp_path / "a.ics").write_text("BEGIN:VCALENDAR\r\n" + "".join(event.format(n) for n in range(300)) + "END:VCALENDAR\r\n", newline="")
+    made = lines.read_calendar_blocks(spark, str(tmp_path))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 1
+    whole = event_blocks(menus.read_snapshot_texts(spark, str(tmp_path)), ["snapshot_id", "snapshot_ts"])
+    assert sorted(map(tuple, made.select(*whole.columns).collect())) == sorted(map(tuple, whole.collect()))
