@@ -4,7 +4,7 @@ Spark cuts large files into splits, each read by a task of its own. A line's pla
 split and its number there; both only have to grow, so nothing is counted over a whole file. What lies
 above a line in its file (the restaurant and category in force, an open event) is found inside each
 split first, and one row per split carries it on to the splits behind. The result does not
-depend on where files are cut. A single line, and a single event, still have to fit in a row.
+depend on where files are cut. A single line, a single event and, in calendars, a chunk of 128 lines have to fit in a row.
 """
 
 from __future__ import annotations
