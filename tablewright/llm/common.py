@@ -24,6 +24,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Shuffle files of an execution go when it ends, not when the driver next collects its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` as a checkpoint, without the shuffle files that went into it."""
+    conf = rows.sparkSession.conf
+    before = conf.get(CLEANED, None)
+    conf.set(CLEANED, "true")
+    try:
+        return rows.select("*").checkpoint()  # the setting holds for frames made under it; ``rows`` may be used again
+    finally:
+        conf.unset(CLEANED) if before is None else conf.set(CLEANED, before)
+
+
 def without(rows: DataFrame, names: Iterable[str]) -> DataFrame:
     """``rows`` without columns of these names in any letter case: they give way to the
     operator's own columns."""

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import prepare, quoted, without
+from .common import prepare, quoted, stored, without
 from .components import components
 from .simhash import fingerprints, keep_one, print_groups, shingle_hashes
 
@@ -134,15 +134,15 @@ def _open_pairs(met: DataFrame, links: DataFrame, linked: DataFrame, sets: DataF
     ``links`` holds the links of heads (``a``) to their nodes (``b``), ``linked`` their components.
     """
     members = met.where("node <> head.node").select(F.col("head.node").alias("a"), F.col("node").alias("b"), "size").distinct()
-    members = members.join(linked.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    members = stored(members.join(linked.withColumnRenamed("node", "b"), "b", "left").withColumn("root", F.coalesce("root", "b")))
     mixed = members.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("a")
     open_ = members.join(mixed, "a").join(links.withColumn("near", F.lit(True)), ["a", "b"], "left")
-    open_ = open_.withColumn("near", F.coalesce("near", F.lit(False)))
+    open_ = stored(open_.withColumn("near", F.coalesce("near", F.lit(False))))
     made = _paired(open_, sets).select("a", "b", "size", "root", "near", _difference("left", "right").alias("d"))
     # Sets are similar if they differ in at most (of - low) / (of + low) of the sum of their sizes.
     low, of = SIMILAR
     far, all_ = of - low, of + low
-    made = made.withColumn("n", F.size("d").cast("long")).withColumn("w", F.col("n") * all_ - F.col("size") * far).checkpoint()
+    made = stored(made.withColumn("n", F.size("d").cast("long")).withColumn("w", F.col("n") * all_ - F.col("size") * far))
     least = made.groupBy("a").agg(F.min("w").alias("of_all"), F.min(F.when(~F.col("near"), F.col("w"))).alias("of_far"))
     # The least number of common entries that any similar partner of a node can have.
     other = F.when(F.col("near"), F.col("of_far")).otherwise(F.col("of_all"))
@@ -154,7 +154,7 @@ def _open_pairs(met: DataFrame, links: DataFrame, linked: DataFrame, sets: DataF
     own = Window.partitionBy("a", "b")
     shared = entries.join(often, ["a", "entry"])
     place = F.row_number().over(own.orderBy("often", "entry")) + F.col("n") - F.count("*").over(own)
-    posted = shared.withColumn("place", place).where("place <= most").drop("most", "often").checkpoint()
+    posted = stored(shared.withColumn("place", place).where("place <= most").drop("most", "often"))
     x, y = posted.alias("x"), posted.alias("y")
     common = f"cast(ceil((x.w + y.w) / {2 * all_}D) AS bigint)"
     on = F.expr(
@@ -183,12 +183,12 @@ def _print_links(made: DataFrame) -> DataFrame:
 def _grouped(rows: DataFrame, id: str, text: str) -> DataFrame:
     """``_tw_id, _tw_hash, group`` of every row of ``rows``, which holds ``_tw_hash``."""
     made = rows.select(quoted(id).alias("_tw_id"), "_tw_hash", sketches(quoted(text)).alias("s"), fingerprints(quoted(text)).alias("print"))
-    made = made.select("_tw_id", "_tw_hash", "s.*", "print").checkpoint()
-    prints = _print_links(made).checkpoint()
+    made = stored(made.select("_tw_id", "_tw_hash", "s.*", "print"))
+    prints = stored(_print_links(made))
     nodes = made.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(heads, "key").select("key", "node", "size", "head").checkpoint()
+    met = stored(keyed.join(heads, "key").select("key", "node", "size", "head"))
 
     # Shingle sets of the nodes that share a bucket or a group of fingerprints.
     asked = met.select("node").union(prints.select("a")).union(prints.select("b")).distinct()
@@ -196,15 +196,15 @@ def _grouped(rows: DataFrame, id: str, text: str) -> DataFrame:
     held = bloom.filled(suspects, F.col("_tw_hash"))
     texts = bloom.tested(rows.select("_tw_hash", quoted(text).alias("_tw_text")), F.col("_tw_hash"), held, "_tw_listed")
     sets = texts.where("_tw_listed").select(named_sets("_tw_text").alias("s")).select("s.*")
-    sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles")).checkpoint()
+    sets = stored(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
     star = met.where("node <> head.node").where(_near("size", "head.size")).selectExpr("head.node AS a", "node AS b")
-    links = _checked(star.unionByName(prints).distinct(), sets).checkpoint()
+    links = stored(_checked(stored(star.unionByName(prints).distinct()), sets))
     linked = components(links)
 
     # Open pairs link components, of which each is one node by now.
     root = linked.select(F.col("node").alias("b"), "root")
-    found = _checked(_open_pairs(met, links, linked, sets).checkpoint(), sets)
+    found = _checked(stored(_open_pairs(met, links, linked, sets)), sets)
     for end in ("a", "b"):
         found = found.join(root.withColumnRenamed("b", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
     joined = components(found).select(F.col("node").alias("root"), F.col("root").alias("least"))

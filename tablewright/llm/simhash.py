@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import columns, prepare, quoted, without
+from .common import columns, prepare, quoted, stored, without
 from .components import components
 
 DISTANCE = 2
@@ -262,7 +262,7 @@ def keep_one(rows: DataFrame, grouped: DataFrame, id: str) -> DataFrame:
     single = grouped.groupBy("group", "_tw_id", "_tw_hash").agg(F.count("*").alias("n")).join(best, "group")
     stays = F.col("best._tw_id").eqNullSafe(F.col("_tw_id")) & (F.col("best._tw_hash") == F.col("_tw_hash"))
     listed = single.select("_tw_id", F.col("_tw_hash").alias("_tw_same"), stays.alias("_tw_stays"), "n")
-    listed = listed.where("NOT _tw_stays OR n > 1").drop("n").checkpoint()
+    listed = stored(listed.where("NOT _tw_stays OR n > 1").drop("n"))
     held = bloom.filled(listed, F.xxhash64("_tw_id", "_tw_same"))
     marked = bloom.tested(rows, F.xxhash64(quoted(id), F.col("_tw_hash")), held, "_tw_listed")
     same = [quoted(id).eqNullSafe(F.col("_tw_id")), F.col("_tw_hash") == F.col("_tw_same")]

@@ -171,3 +171,64 @@ def test_rounds_of_small_graphs_are_small(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert kept and all(n == 1 for _, n in kept) and kept[0][0] > 1
     assert {r.root for r in made.collect()} == {0} and made.select("node").distinct().count() == 401
+
+
+def tasks(spark, group, work):
+    """Tasks that ``work`` ran, and what it returned."""
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        made = work()
+    finally:
+        context._jsc.clearJobGroup()
+    told = context.statusTracker()
+    jobs = [told.getJobInfo(n) for n in told.getJobIdsForGroup(group)]
+    return sum(stage.numCompletedTasks for job in jobs for n in job.stageIds if (stage := told.getStageInfo(n))), made
+
+
+def test_rounds_of_small_graphs_deal_nothing_out(spark):
+    """All rounds of a small graph take few tasks, however many shuffle partitions there are; large ones agree."""
+    from pyspark.sql import functions as F
+
+    from tablewright.llm import components as module
+
+    names = ["spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(name) for name in names]
+    chain = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    hub = spark.range(500, 900).select("id", F.lit(450).cast("long").alias("b")).toDF("a", "b")
+    edges = chain.unionByName(hub).coalesce(2)
+    limit, found = module.EDGES, {}
+    try:
+        for name, value in zip(names, ["false", "20"]):
+            spark.conf.set(name, value)
+        for module.EDGES in (limit, 100):
+            count, made = tasks(spark, f"rounds-{module.EDGES}", lambda: module.components(edges))
+            found[module.EDGES] = count, sorted(map(tuple, made.collect()))
+    finally:
+        module.EDGES = limit
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert found[limit][1] == found[100][1] == [(n, 0) for n in range(301)] + [(n, 450) for n in [450, *range(500, 900)]]
+    assert found[limit][0] < 150 < found[100][0]
+
+
+def test_stored_frames_leave_no_shuffle_files(spark):
+    """They go with the execution, not with the driver's garbage; the setting and the frame stay as they were."""
+    import time
+
+    from tablewright.llm.common import CLEANED, prepare, stored
+
+    prepare(spark)
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        found = disk.getAllFiles()
+        return {name for n in range(found.size()) if "shuffle_" in (name := found.apply(n).getName())}
+
+    before, setting = files(), spark.conf.get(CLEANED, None)
+    rows = spark.range(5000).selectExpr("id % 700 AS k").groupBy("k").count()
+    made, until = stored(rows), time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(CLEANED, None) == setting
+    assert made.count() == 700 and rows.count() == 700 and rows.agg({"count": "sum"}).first()[0] == 5000
