@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from . import bloom
 from .common import prepare, quoted, stored, without
 from .components import components
-from .simhash import fingerprints, keep_one, print_groups, shingle_hashes
+from .simhash import fingerprint, keep_one, print_groups, shingle_hashes
 
 WIDTH = 5
 SIMILAR = (4, 5)  # least similarity, as a fraction
@@ -74,15 +74,21 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.array(keys, np.uint64).view(np.int64)
 
 
-@F.arrow_udf(T.StructType().add("node", "long").add("size", "long").add("bands", T.ArrayType(T.LongType())))
+SKETCH = T.StructType().add("node", "long").add("size", "long").add("bands", T.ArrayType(T.LongType())).add("print", "long")
+
+
+@F.arrow_udf(SKETCH)
 def sketches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """What a text is found by. The fingerprint is made beside the bands: a function of its own would have every task
+    send its texts to a second Python process."""
     for batch in batches:
         sets = [shingle_set(t.as_py()) for t in batch]
+        prints = np.fromiter((fingerprint(t.as_py()) for t in batch), np.uint64, len(batch))
         columns = [
             pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
+            pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(prints.view(np.int64)),
         ]
-        yield pa.StructArray.from_arrays(columns, names=["node", "size", "bands"])
+        yield pa.StructArray.from_arrays(columns, names=SKETCH.names)
 
 
 @F.arrow_udf(T.StructType().add("node", "long").add("shingles", "binary"))
@@ -182,8 +188,8 @@ def _print_links(made: DataFrame) -> DataFrame:
 
 def _grouped(rows: DataFrame, id: str, text: str) -> DataFrame:
     """``_tw_id, _tw_hash, group`` of every row of ``rows``, which holds ``_tw_hash``."""
-    made = rows.select(quoted(id).alias("_tw_id"), "_tw_hash", sketches(quoted(text)).alias("s"), fingerprints(quoted(text)).alias("print"))
-    made = stored(made.select("_tw_id", "_tw_hash", "s.*", "print"))
+    made = rows.select(quoted(id).alias("_tw_id"), "_tw_hash", sketches(quoted(text)).alias("s"))
+    made = stored(made.select("_tw_id", "_tw_hash", "s.*"))
     prints = stored(_print_links(made))
     nodes = made.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     keyed = nodes.select("node", "size", F.explode("bands").alias("key"))
